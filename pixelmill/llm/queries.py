@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.llm.pii import find_pii
+from pixelmill.llm.secrets import find_secrets
 from pixelmill.llm.tokens import count_tokens
 
 
@@ -13,10 +15,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(_documents(spark, sf_dir)).drop("found")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_documents(spark, sf_dir)).drop("found")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     got = count_tokens(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chunks", "n_widened")
 
 
-QUERIES = {"op8_token_counts": op8_token_counts}
+QUERIES = {"op1_secret_scans": op1_secret_scans, "op3_pii": op3_pii, "op8_token_counts": op8_token_counts}
 ORACLES: dict[str, str] = {}
