@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +130,11 @@ def prefix_sums(
     offsets = totals.select(*keys, *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({f"_p_{k}": F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0)) for k in values})
-    joined = df.join(offsets, keys)
+    offsets = offsets.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    joined = df.join(offsets, same)
     return joined.withColumns({k: F.col(f"_p_{k}") + F.col(f"_o_{k}") for k in values}).drop(
-        "_coarse", "_bucket", *(f"_{x}_{k}" for k in values for x in "vpo")
+        *keys[len(by) :], *(f"_k_{k}" for k in keys), *(f"_{x}_{k}" for k in values for x in "vpo")
     )

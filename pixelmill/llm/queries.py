@@ -6,8 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.llm.jaccard import jaccard_components
+from pixelmill.llm.mixing import mix
 from pixelmill.llm.pii import find_pii
 from pixelmill.llm.secrets import find_secrets
+from pixelmill.llm.sharding import shard
 from pixelmill.llm.tokens import count_tokens
 
 
@@ -23,10 +26,30 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir)).drop("found")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_documents(spark, sf_dir), k=4, percent=85)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     got = count_tokens(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chunks", "n_widened")
 
 
-QUERIES = {"op1_secret_scans": op1_secret_scans, "op3_pii": op3_pii, "op8_token_counts": op8_token_counts}
+def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFrame:
+    got = shard(_documents(spark, sf_dir), shards)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+QUERIES = {
+    "op1_secret_scans": op1_secret_scans,
+    "op3_pii": op3_pii,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_token_counts": op8_token_counts,
+    "op9_sharding": op9_sharding,
+    "op10_source_mixing": op10_source_mixing,
+}
 ORACLES: dict[str, str] = {}

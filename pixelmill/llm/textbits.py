@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 U = np.uint64
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
