@@ -6,12 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.llm.decontam import contaminated
 from pixelmill.llm.jaccard import jaccard_components
+from pixelmill.llm.licenses import license_summary
 from pixelmill.llm.mixing import mix
 from pixelmill.llm.pii import find_pii
 from pixelmill.llm.secrets import find_secrets
 from pixelmill.llm.sharding import shard
 from pixelmill.llm.tokens import count_tokens
+from pixelmill.llm.toxicity import held_out, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,10 +29,23 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir)).drop("found")
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_summary(_documents(spark, sf_dir))
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir), k=4, percent=85)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     got = count_tokens(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chunks", "n_widened")
@@ -47,9 +63,23 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
     "op3_pii": op3_pii,
+    "op4_license_scans": op4_license_scans,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_token_counts": op8_token_counts,
     "op9_sharding": op9_sharding,
     "op10_source_mixing": op10_source_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_benchmark_decontamination": r"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5),
+n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
+m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared, n_shared / n_item AS containment
+FROM m JOIN n USING (item_id) WHERE n_shared * 100 >= 80 * n_item
+""",
+}
