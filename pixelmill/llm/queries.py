@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm.decontam import contaminated
+from pixelmill.llm.fingerprints import compare_with_edits
 from pixelmill.llm.jaccard import jaccard_components
 from pixelmill.llm.licenses import license_summary
 from pixelmill.llm.mixing import mix
@@ -25,6 +26,10 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(_documents(spark, sf_dir)).drop("found")
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(_documents(spark, sf_dir))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_documents(spark, sf_dir)).drop("found")
 
@@ -62,6 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scans": op1_secret_scans,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_pii": op3_pii,
     "op4_license_scans": op4_license_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
