@@ -24,7 +24,6 @@ from pixelmill.llm.common import arrow_map, pieces
 
 U = np.uint64
 HITS = "array<struct<item_id:long,n_item:long,n_shared:long>>"
-_HITS = pa.list_(pa.struct([("item_id", pa.int64()), ("n_item", pa.int64()), ("n_shared", pa.int64())]))
 _PROBE_BITS = 22
 
 
@@ -126,8 +125,8 @@ def _searcher(sent, k: int, percent: int):
             if any(more):
                 more = [a + b for a, b in zip(batch.column("hits").to_pylist(), more, strict=True)]
                 at = batch.schema.get_field_index("hits")
-                columns = [pa.array(more, _HITS) if i == at else c for i, c in enumerate(batch.columns)]
-                batch = pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+                columns = [pa.array(more, batch.schema.field(at).type) if i == at else c for i, c in enumerate(batch.columns)]
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
     return run
