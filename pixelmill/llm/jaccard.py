@@ -147,7 +147,8 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, per_task:
     """Those of the pairs (a, b, da, db) whose exact sets are similar enough.
 
     Each document's set is made once and sent along the pairs that it is the second of; the first's set is sent once for
-    every ``per_task`` partners, so a hot first one is dealt to many tasks.
+    every ``per_task`` partners, so a hot first one is dealt to many tasks.  A doc_id may be null or stand for several
+    texts; a set that has not the node's fingerprint is another text's.
     """
     second = pairs.select(F.col("db").alias("doc_id"), F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.lit(1 << 20)).alias("draw"), F.col("b").alias("node"))
     leads = pairs.groupBy("a", "da").agg(F.count("*").alias("partners"))
@@ -156,15 +157,20 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int, per_task:
     second = second.select("doc_id", "lead", F.pmod("draw", "parts").cast("int").alias("part"), "node")
     first = leads.select(F.col("da").alias("doc_id"), F.col("a").alias("lead"), F.explode(F.sequence(F.lit(0), (parts - 1).cast("int"))).alias("part"), F.lit(None).cast("long").alias("node"))
     roles = first.unionByName(second).groupBy("doc_id").agg(F.collect_list(F.struct("lead", "part", "node")).alias("roles"))
-    texts = docs.select("doc_id", "text").join(small(roles, 200_000), "doc_id")
+    roles = small(roles.withColumnRenamed("doc_id", "_doc"), 200_000)
+    texts = docs.select("doc_id", "text").join(roles, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("doc_id", "text", "roles")
 
     def sets(batches):
         for whole in batches:
             for batch in pieces(whole, "text", 1 << 20):
                 cols: tuple[list, ...] = ([], [], [], [])
                 for t, roles_ in zip(token_sets(batch.column("text"), k), batch.column("roles").to_pylist(), strict=True):
-                    body = t.tobytes()
+                    if not len(t):
+                        continue
+                    body, own = t.tobytes(), fingerprint(t, tb.mix(t ^ _MUL[2]))
                     for r in roles_:
+                        if own != (r["lead"] if r["node"] is None else r["node"]):
+                            continue  # another text of the same doc_id
                         for c, v in zip(cols, (r["lead"], r["part"], r["node"], body), strict=True):
                             c.append(v)
                         if len(cols[0]) >= 256:

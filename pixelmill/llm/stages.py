@@ -10,20 +10,20 @@ from pixelmill.llm.decontam import with_hits
 from pixelmill.llm.jaccard import jaccard_components
 from pixelmill.llm.mixing import mix
 from pixelmill.llm.sharding import shard
-from pixelmill.llm.toxicity import toxicity
+from pixelmill.llm.toxicity import not_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the classifier does not reject; it learns from the labels of documents outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity(docs, labels, keep=docs.columns).where("predicted = 0").select(*docs.columns)
+    return not_toxic(docs, labels)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least doc_id.
 
-    Rows of one doc_id are told apart by a hash of the row; of equal rows, and of rows with equal doc_id and text, one
-    stays.  Texts without words stay.
+    A doc_id that stands for several texts goes with any of them; of rows with equal doc_id and text, one stays.  Texts
+    without words stay, and so do rows without a doc_id.
     """
     groups = jaccard_components(docs, k=5, percent=80)
     leaders = written(groups.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct(), "not-leaders")

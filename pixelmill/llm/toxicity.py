@@ -111,9 +111,11 @@ def held_out(column: str):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def score(docs: DataFrame, weights: dict[int, float], keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` and its score; ``weights`` is small by the L1 term and the training bound."""
-    keep = keep or ["doc_id"]
+def classified(docs: DataFrame, weights: dict[int, float], keep: list[str]) -> DataFrame:
+    """k0, k1, ... (the columns ``keep``, whatever their names) and the score of each row.
+
+    ``weights`` is small by the L1 term and the training bound; it is broadcast.
+    """
     numbers = np.fromiter(sorted(weights), np.int64, len(weights))
     values = np.fromiter((weights[i] for i in sorted(weights)), np.float64, len(weights))
     sent = docs.sparkSession.sparkContext.broadcast((numbers, values))
@@ -132,15 +134,28 @@ def score(docs: DataFrame, weights: dict[int, float], keep: list[str] | None = N
             total = np.bincount(pairs >> BITS, weights=table[pairs & ((1 << BITS) - 1)], minlength=batch.num_rows) + table[1 << BITS]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*batch.schema.names[:-1], "score"])
 
-    rows = docs.select(*(F.col(c) for c in keep), F.col("text").alias("_text"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
     return arrow_map(rows, run, ", ".join([*kinds, "score double"]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **training) -> DataFrame:
-    """``keep`` (doc_id by default), score and predicted (1 if score >= 0.5) of each row, by a model trained on ``labels``."""
+    """``keep`` (doc_id by default), score and predicted (1 if score >= 0.5) of each row, by a model trained on ``labels``.
+
+    The operator's columns take the place of kept ones of the same name.
+    """
+    keep = keep or ["doc_id"]
+    weights = train(docs, labels, **training)
+    got = classified(docs, weights, keep)
+    predicted = (F.col("score") >= 0.5).cast("int") if weights else F.lit(0)
+    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in ("score", "predicted")]
+    return got.select(*named, "score", predicted.alias("predicted"))
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all their columns."""
     weights = train(docs, labels, **training)
-    got = score(docs, weights, keep)
     if not weights:
-        return got.withColumn("predicted", F.lit(0))
-    return got.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return docs
+    kept = classified(docs, weights, docs.columns).where("score < 0.5")
+    return kept.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
