@@ -5,11 +5,180 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from pixelmill.catalog import spark_query
+from pixelmill.operators import analysis, metadata, text
+from pixelmill.plans import cost
+from pixelmill.plans.ir import Plan
+from pixelmill.relation import Pixels, fixture
+from pixelmill.sources import images
+from pixelmill.streaming import windows
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark_query(lambda p: p)(spark, sf_dir)
+
+
+def _round_trip(kind: str, colors: int | None = None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return images.to_pixels(images.decoded(images.encoded(images.to_dense(pixels(spark, sf_dir)), kind, colors)))
+
+    return run
+
+
+def _scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = images.encoded(images.to_dense(pixels(spark, sf_dir)), "png")
+    return images.to_pixels(images.decoded(files, region=(1, 0, 7, 6), den=4))
+
+
+def _sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = images.to_dense(pixels(spark, sf_dir))
+    parts = [images.encoded(dense, k).select("image_id", images.sniffed(F.col("content")).alias("format")) for k in ("png", "bmp", "tiff")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("format").agg(F.count("*").alias("n"))
+
+
+def _probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = images.to_dense(pixels(spark, sf_dir))
+    both = images.encoded(dense, "png").unionByName(images.encoded(dense, "bmp"))
+    return images.probed(both).select("image_id", F.col("width").cast("long"), F.col("height").cast("long"), "format", F.col("channels").cast("long"), "has_alpha")
+
+
+def _crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.crc32("text").alias("crc"))
+
+
+def _adler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import zlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.adler32((x or "").encode()) for x in b.column(1).to_pylist()], pa.int64())], names=["doc_id", "adler"])
+
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(run, "doc_id long, adler long")
+
+
+def _histogram(slide: str | None) -> Query:
+    return lambda spark, sf_dir: windows.histogram(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour", slide)
+
+
+_BIN = "CAST(least(15, greatest(0, floor(value * 16 / 100.0e0))) AS BIGINT)"
+
+
+def _meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    meta = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
+    changed = metadata.remove_entry(metadata.set_entry(metadata.set_entry(meta, "type", "x"), "id", "7"), "user")
+    return rows.select("event_id", metadata.get_entry(changed, "type").alias("kind"), metadata.get_entry(changed, "id").alias("extra"), metadata.has_entry(changed, "user").alias("has_user"), metadata.entry_count(changed).cast("long").alias("n"))
+
+
+def _wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.lines_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40).select("doc_id", F.col("line").cast("long").alias("line"), "content", "width")
+
+
+def _chain(p: Pixels, fusion: bool = True) -> Pixels:
+    plan = Plan(p.width, p.height, fusion=fusion).crop(1, 1, 6, 6).rotate(90).rotate(270).flip_h().brightness(1.0).invert().invert().crop(0, 1, 5, 5).grayscale().hue(40).blur(1)
+    return plan.apply(p)
+
+
+_ENCODERS = [(f, w, h, q, ll, al, fast) for f in ("png", "jpeg", "webp", "avif", "bmp") for w, h in ((100, 80), (1920, 1080)) for q in (0, 60, 87) for ll in (0, 1) for al in (0, 1) for fast in (0, 1)]
+
+
+def _encode_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(_ENCODERS)], "i long, f string, w long, h long, q long, ll long, al long, fast long")
+    args = (F.col("f"), F.col("w"), F.col("h"), F.col("q"), F.col("ll") == 1, F.col("al") == 1, F.col("fast") == 1)
+    return rows.select("i", cost.encode_cost(*args).alias("point"), cost.encode_cost(*args, upper=True).alias("upper"))
+
+
+def _encode_cost_sql() -> str:
+    def case(table: dict, other: int) -> str:
+        return "CASE f " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {other} END"
+
+    rows = ",".join(f"({i},'{r[0]}',{','.join(map(str, r[1:]))})" for i, r in enumerate(_ENCODERS))
+    quality = "CASE f " + " ".join(f"WHEN '{k}' THEN CASE WHEN 2*q <= 125 THEN {v[0]} WHEN 2*q <= 160 THEN {v[1]} WHEN 2*q <= 175 THEN {v[2]} WHEN 2*q <= 185 THEN {v[3]} ELSE {v[4]} END" for k, v in cost.QUALITY.items()) + " ELSE 1000 END"
+    a, b, c = cost.LOSSLESS_WEBP
+    return f"""WITH t AS (SELECT * FROM (VALUES {rows}) v(i,f,w,h,q,ll,al,fast)),
+s0 AS (SELECT *, CAST(w AS BIGINT)*h*({case(cost.ENCODE, 0)}) // 1000000 AS c FROM t),
+s1 AS (SELECT *, CASE WHEN ll=1 AND f='webp' THEN c*(CASE WHEN w*h>=1000000 THEN {c} WHEN w*h>=100000 THEN {b} ELSE {a} END)//1000 WHEN q>0 THEN c*({quality})//1000 ELSE c END AS c1 FROM s0),
+s2 AS (SELECT *, CASE WHEN al=1 THEN c1*({case(cost.ALPHA, 1000)})//1000 ELSE c1 END AS c2 FROM s1),
+s3 AS (SELECT *, CASE WHEN fast=1 AND NOT (ll=1 AND f='webp') THEN c2*({case(cost.FAST_ENCODE, 1000)})//1000 ELSE c2 END AS c3 FROM s2)
+SELECT CAST(i AS BIGINT) AS i, CAST(c3 AS BIGINT) AS point, CAST(c3*({case(cost.UPPER_ENCODE, 1000)})//1000 AS BIGINT) AS upper FROM s3"""
+
+
+# Rows that stand for a calibration; a deployment passes its own tables.
+_LEVER = [(f, e, s, st, 60.0 - 6 * e - 4 * s - 5 * st) for f in ("jpeg", "webp") for e in (0, 1) for s in (0, 1) for st in (0, 1, 2)]
+_ENCODE = [(f, q, round(0.05 + q / 400 + (0.02 if f == "jpeg" else 0), 4), 20.0 + q / 4) for f in ("jpeg", "webp") for q in (50, 75, 85, 90, 95)]
+_VARIANTS = [(i, f, q, f != "jpeg", True, 100 + 10 * i) for i, (f, q) in enumerate([(f, q) for f in ("jpeg", "webp") for q in (50, 75, 85, 90, 95)])]
+
+
+def _select(objective: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        lattice = spark.createDataFrame([(i, i % 2, i // 2 % 2, i // 4) for i in range(12)], "candidate int, effort int, filter int, steps int")
+        cand = orders.select(F.col("o_orderkey").alias("request"), F.floor("o_totalprice").cast("long").alias("base")).crossJoin(F.broadcast(lattice))
+        cand = cand.select("request", "candidate", "effort", "filter", "steps", (F.col("base") - F.col("candidate") * 500).alias("cost_upper_us"), (F.col("base") * 100).alias("peak_bytes"))
+        variants = spark.createDataFrame(_VARIANTS, "variant int, format string, quality int, alpha_ok boolean, allowed boolean, upper_us long")
+        lever = F.broadcast(spark.createDataFrame(_LEVER, "format string, effort int, filter int, steps int, lever_db double"))
+        encode = F.broadcast(spark.createDataFrame(_ENCODE, "format string, quality int, bytes_per_pixel double, encode_db double"))
+        got = cost.select(cand, variants, lever, encode, objective, min_db=38.0, budget_us=200_000, peak_cap=25_000_000)
+        return got.select("request", F.col("candidate").cast("long").alias("candidate"), F.col("variant").cast("long").alias("variant"), "format", F.col("total_us").cast("long").alias("total_us"))
+
+    return run
+
+
+def _select_sql(objective: str) -> str:
+    tuples = lambda rows: ",".join("(" + ",".join(f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v!r}e0" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
+    order = {"min_bytes": "bpp, total_us", "min_time": "total_us, bpp", "max_quality": "-db, bpp"}[objective]
+    return f"""WITH l AS (SELECT * FROM (VALUES {tuples(_LEVER)}) v(format,effort,filter,steps,lever_db)), e AS (SELECT * FROM (VALUES {tuples(_ENCODE)}) v(format,quality,bpp,encode_db)),
+v AS (SELECT * FROM (VALUES {tuples(_VARIANTS)}) v(variant,format,quality,alpha_ok,allowed,upper_us)), k AS (SELECT range AS candidate, range % 2 AS effort, range // 2 % 2 AS filter, range // 4 AS steps FROM range(12)),
+s AS (SELECT o_orderkey AS request, candidate, variant, v.format, floor(o_totalprice) - candidate * 500 + upper_us AS total_us, floor(o_totalprice) * 100 AS peak, bpp, round(least(99e0, -10 * log10(pow(10e0, -lever_db / 10) + pow(10e0, -encode_db / 10))), 9) AS db
+ FROM orders CROSS JOIN k CROSS JOIN v JOIN l USING (format, effort, filter, steps) JOIN e ON e.format = v.format AND e.quality = v.quality)
+SELECT CAST(request AS BIGINT) AS request, CAST(candidate AS BIGINT) AS candidate, CAST(variant AS BIGINT) AS variant, format, CAST(total_us AS BIGINT) AS total_us
+FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {order}, candidate, variant) AS n FROM s WHERE db >= 38 AND total_us <= 200000 AND peak <= 25000000) q WHERE n = 1"""
+
+
+def _duck_pixels() -> str:
+    return fixture("duck").sql
+
+
+def _chain_sql() -> str:
+    return f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_chain(fixture('duck'), False).sql}) q"
+
+
+_SPECS: dict[str, tuple[Query, str | None]] = {
+    "png_roundtrip": (_round_trip("png"), _duck_pixels()),
+    "bmp_roundtrip": (_round_trip("bmp"), _duck_pixels()),
+    "tiff_roundtrip": (_round_trip("tiff"), _duck_pixels()),
+    "gif_roundtrip": (_round_trip("gif"), None),
+    "gif_quantized": (_round_trip("gif", 16), None),
+    "decode_region_scaled": (_scaled, None),
+    "sniff": (_sniffed, "SELECT f AS format, CAST(125 AS BIGINT) AS n FROM (VALUES ('png'), ('bmp'), ('tiff')) v(f)"),
+    "probe_all": (_probed, "SELECT i.range AS image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, f AS format, CAST(4 AS BIGINT) AS channels, true AS has_alpha FROM range(125) i CROSS JOIN (VALUES ('png'), ('bmp')) v(f)"),
+    "crc32": (_crc, None),
+    "adler32": (_adler, None),
+    "hist_tumbling": (_histogram(None), f"SELECT date_trunc('hour', ts) AS start, {_BIN} AS bin, count(*) AS n FROM events GROUP BY 1, 2"),
+    "hist_sliding": (
+        _histogram("30 minutes"),
+        f"SELECT time_bucket(INTERVAL 30 MINUTE, ts) - k * INTERVAL 30 MINUTE AS start, {_BIN} AS bin, count(*) AS n FROM events CROSS JOIN (VALUES (0), (1)) v(k) GROUP BY 1, 2",
+    ),
+    "metadata": (_meta, "SELECT event_id, 'x' AS kind, '7' AS extra, false AS has_user, CAST(2 AS BIGINT) AS n FROM events"),
+    "wrap_fixed": (_wrapped, None),
+    "palette": (lambda s, d: analysis.palette(pixels(s, d), 5), None),
+    "dominant_color": (lambda s, d: analysis.dominant_color(pixels(s, d)), None),
+    "remove_background": (lambda s, d: analysis.remove_background(pixels(s, d), 8, 8, 90), None),
+    "plan_fused_vs_eager": (spark_query(_chain), _chain_sql()),
+    "encode_cost": (_encode_cost, _encode_cost_sql()),
+    **{f"select_{o}": (_select(o), _select_sql(o)) for o in cost.OBJECTIVES},
+}
+
+
+def queries() -> dict[str, Query]:
+    return {k: v[0] for k, v in _SPECS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in _SPECS.items() if v[1]}
