@@ -274,6 +274,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     members = shared.select("id").distinct()
     info = base.where("sketch is not null").join(members, "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     info = written(info, "info")
+    whole, base = base, written(base.select("doc_id", "n", "id"), "ids")
+    forget(whole)
 
     star = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     star = _informed(star, info).where(_fits(percent)).groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("x"))
@@ -290,7 +292,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     more = _cross_pairs(buckets, percent).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     more = written(_informed(more, info).where(_fits(percent)).select("a", "b", "da", "db"), "more")
     late = written(verified(docs, more, k, percent), "late")
-    forget(shared, open_)
+    forget(shared, open_, tried, more, info)
     if late.limit(1).count():
         labels = components(found.unionByName(late))
 
