@@ -145,7 +145,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text", 1 << 20):
                 got = prints([(x or "").encode() for x in batch.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([as_text(x) for x in got])], names=["doc_id", "fingerprint"])
 
@@ -238,7 +238,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
         held: list[tuple[int | None, int, str]] = []
         size, closed = 0, None
         for whole in batches:
-            for batch in pieces(whole, "text", 2 << 20):
+            for batch in pieces(whole, "text", 1 << 20):
                 for doc_id, text, part, tail in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                     if tail:
                         if held and held[-1][1] == part and closed != part:
@@ -246,7 +246,7 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
                             held, size = [], 0
                         closed = part
                         continue
-                    if size > 2 << 20:
+                    if size > 1 << 20:
                         yield finish(held, text or "")
                         held, size = [], 0
                     held.append((doc_id, part, text or ""))
