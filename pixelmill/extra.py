@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.catalog import spark_query
-from pixelmill.operators import analysis, metadata, text
+from pixelmill.operators import analysis, geometry, metadata, resample, text
 from pixelmill.plans import cost
 from pixelmill.plans.ir import Plan
 from pixelmill.relation import Pixels, fixture
@@ -141,6 +141,19 @@ SELECT CAST(request AS BIGINT) AS request, CAST(candidate AS BIGINT) AS candidat
 FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {order}, candidate, variant) AS n FROM s WHERE db >= 38 AND total_us <= 200000 AND peak <= 25000000) q WHERE n = 1"""
 
 
+_IDS = "(SELECT DISTINCT vec_id // 4 AS image_id FROM embeddings) ids"
+
+
+def _gif_sql() -> str:
+    """GIF keeps colours exactly where alpha is 128 or more and clears the rest."""
+    body = ", ".join(f"CASE WHEN a < 128 THEN 0 ELSE {c} END AS {c}" for c in "rgb")
+    return f"SELECT image_id, y, x, {body}, CASE WHEN a < 128 THEN 0 ELSE 255 END AS a FROM ({fixture('duck').sql}) q"
+
+
+def _region_sql() -> str:
+    return resample.reduce(geometry.crop(fixture("duck"), 1, 0, 7, 6), 4).sql
+
+
 def _duck_pixels() -> str:
     return fixture("duck").sql
 
@@ -153,11 +166,11 @@ _SPECS: dict[str, tuple[Query, str | None]] = {
     "png_roundtrip": (_round_trip("png"), _duck_pixels()),
     "bmp_roundtrip": (_round_trip("bmp"), _duck_pixels()),
     "tiff_roundtrip": (_round_trip("tiff"), _duck_pixels()),
-    "gif_roundtrip": (_round_trip("gif"), None),
+    "gif_roundtrip": (_round_trip("gif"), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_gif_sql()}) z"),
     "gif_quantized": (_round_trip("gif", 16), None),
-    "decode_region_scaled": (_scaled, None),
-    "sniff": (_sniffed, "SELECT f AS format, CAST(125 AS BIGINT) AS n FROM (VALUES ('png'), ('bmp'), ('tiff')) v(f)"),
-    "probe_all": (_probed, "SELECT i.range AS image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, f AS format, CAST(4 AS BIGINT) AS channels, true AS has_alpha FROM range(125) i CROSS JOIN (VALUES ('png'), ('bmp')) v(f)"),
+    "decode_region_scaled": (_scaled, f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_region_sql()}) z"),
+    "sniff": (_sniffed, f"SELECT f AS format, count(*) AS n FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp'), ('tiff')) v(f) GROUP BY f"),
+    "probe_all": (_probed, f"SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, f AS format, CAST(4 AS BIGINT) AS channels, true AS has_alpha FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp')) v(f)"),
     "crc32": (_crc, None),
     "adler32": (_adler, None),
     "hist_tumbling": (_histogram(None), f"SELECT date_trunc('hour', ts) AS start, {_BIN} AS bin, count(*) AS n FROM events GROUP BY 1, 2"),

@@ -1,4 +1,4 @@
-"""Codecs for PNG, BMP, TIFF and GIF, sniffing for all eight formats and header probes, in numpy and zlib.
+"""Codecs for PNG, BMP, TIFF, GIF and (in its own module) baseline JPEG, sniffing for all eight formats and header probes, in numpy and zlib.
 
 They run on Arrow batches (see :mod:`pixelmill.sources.images`), one image at a time, so memory is bounded by one image.
 What a codec does not support raises; nothing is approximated.
@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from pixelmill.errors import CorruptError, TooLargeError, UnknownFormatError, UnsupportedCodecError, UnsupportedVariantError
+from pixelmill.sources import jpeg
 
 # Limits of one image, formats by their first bytes, extensions.
 MAX_PIXELS, MAX_BYTES = 16_000_000, 33_554_432
@@ -547,8 +548,8 @@ def median_cut(image: np.ndarray, count: int) -> np.ndarray:
 
 # registry
 
-DECODERS = {"png": decode_png, "bmp": decode_bmp, "tiff": decode_tiff, "gif": decode_gif}
-ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tiff": encode_tiff, "gif": encode_gif}
+DECODERS = {"png": decode_png, "bmp": decode_bmp, "tiff": decode_tiff, "gif": decode_gif, "jpeg": jpeg.decode}
+ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tiff": encode_tiff, "gif": encode_gif, "jpeg": jpeg.encode}
 
 
 def probe(data: bytes) -> Info:

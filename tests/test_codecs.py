@@ -1,6 +1,7 @@
 """Codecs by round trip and by damage, streams by a file source, text by worked layout."""
 
 import json
+import struct
 
 import numpy as np
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.errors import CorruptError, RasterError, UnknownFormatError, UnsupportedCodecError
 from pixelmill.operators import text
-from pixelmill.sources import codecs, images
+from pixelmill.sources import codecs, images, jpeg
 from pixelmill.streaming import windows
 
 
@@ -65,7 +66,7 @@ def test_damage_raises_typed_errors():
     with pytest.raises(UnknownFormatError):
         codecs.decode(b"not an image at all")
     with pytest.raises(UnsupportedCodecError):
-        codecs.decode(b"\xff\xd8\xff\xe0" + bytes(40))
+        codecs.decode(b"RIFF\0\0\0\0WEBPVP8 " + bytes(40))
     with pytest.raises(CorruptError):
         codecs.probe(b"\x89PNG\r\n\x1a\n")
 
@@ -77,6 +78,38 @@ def test_sniff():
     assert codecs.sniff(b"") == "unknown"
 
 
+def psnr(a, b):
+    return 10 * np.log10(255**2 / max(1e-9, ((a.astype(float) - b.astype(float)) ** 2).mean()))
+
+
+@pytest.mark.parametrize(("channels", "quality", "floor"), [(1, 90, 40), (3, 95, 40), (3, 80, 32), (3, 30, 26)])
+def test_jpeg_round_trip(channels, quality, floor):
+    y, x = np.mgrid[0:43, 0:61]
+    image = np.dstack([(128 + 100 * np.sin(x / 9 + c) * np.cos(y / 7)).astype(np.uint8) for c in range(channels)])
+    data = jpeg.encode(image, quality)
+    got = codecs.decode(data)
+    assert got.shape == image.shape and psnr(got, image) > floor
+    info = codecs.probe(data)
+    assert (info.width, info.height, info.format, info.progressive) == (61, 43, "jpeg", False)
+    for cut in (30, len(data) // 2):
+        with pytest.raises(RasterError):
+            codecs.decode(data[:cut])
+
+
+def test_jpeg_agrees_with_the_jvms_decoder(spark, tmp_path):
+    y, x = np.mgrid[0:24, 0:40]
+    image = np.dstack([(128 + 90 * np.sin(x / 9 + c) * np.cos(y / 7)).astype(np.uint8) for c in range(3)])
+    (tmp_path / "a.jpg").write_bytes(jpeg.encode(image, 92))
+    row = images.read_image_source(spark, str(tmp_path)).first()
+    theirs = np.frombuffer(bytes(row.data), np.uint8).reshape(24, 40, 3)
+    assert np.abs(theirs.astype(int) - codecs.decode((tmp_path / "a.jpg").read_bytes())).max() <= 3
+
+
+def test_orientation():
+    tiff = b"II*\0" + struct.pack("<IHHHIHH", 8, 1, 0x112, 3, 1, 6, 0)
+    assert jpeg.orientation(b"\xff\xd8\xff\xe1\0\x20Exif\0\0" + tiff) == 6 and jpeg.orientation(b"\xff\xd8") == 1
+
+
 def test_files_to_pixels_and_back(spark, tmp_path):
     shots = {"a.png": picture(4), "b.bmp": picture(3), "c.tiff": picture(1)}
     for name, image in shots.items():
