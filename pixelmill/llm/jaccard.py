@@ -8,7 +8,8 @@ as each differing element flips at most one place, sketches of two sets differ i
   blocks, and a set's block sketch is the XOR of its elements there.  At least 1 + e of a pair's block sketches agree, and
   a set with at most e empty blocks may leave these out.  A set stands in its own band and, as a larger partner, in the one
   below.  No linked pair escapes.
-* Filter.  A 1024-bit sketch of the whole set refuses pairs whose Hamming distance exceeds D.
+* Filter.  A sketch of the whole set, of 1024 bits or the first power of two from its size on, refuses pairs whose Hamming
+  distance exceeds D.  A longer sketch is folded to the shorter one's length by XOR of its halves.
 
 What passes is verified on the exact sets, read again from the texts.  Equal sets are one node from the start.  The first
 round compares each node of a bucket with the bucket's least node only; what links is one component.  The second round
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from pixelmill.llm import textbits as tb
 from pixelmill.llm.common import arrow_map, forget, pieces, small, written
 
 U = np.uint64
-_WORDS64 = 16
+_LEAST_BITS = 1024
 _SET = "doc_id long, n long, id long, sketch array<long>, sigs array<long>"
 _MUL = (U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9))
 
@@ -88,6 +90,13 @@ def fingerprint(t: np.ndarray, mixed: np.ndarray) -> int:
     return int(tb.mix(np.array([total], U)).view(np.int64)[0])
 
 
+def parities(mixed: np.ndarray) -> np.ndarray:
+    """The set's sketch: bit i tells whether an odd number of its elements have i as their low bits."""
+    size = max(_LEAST_BITS, 1 << max(0, len(mixed) - 1).bit_length())
+    bits = np.bincount((mixed & U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool)).view(np.int64)
+
+
 def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, id, sketch and block signatures; within a task only the first of equal sets carries its signatures."""
 
@@ -105,8 +114,7 @@ def sketched(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         lengths.append(-1)
                         continue
                     seen.add(ids[-1])
-                    bits = np.bincount((mixed & U(64 * _WORDS64 - 1)).astype(np.int64), minlength=64 * _WORDS64) & 1
-                    sketches.append(np.packbits(bits.astype(bool)).view(np.int64))
+                    sketches.append(parities(mixed))
                     s = block_sketches(t, mixed, bands)
                     sigs.append(s)
                     lengths.append(len(s))
@@ -127,12 +135,16 @@ def _differ(percent: int, a: Column, b: Column) -> Column:
 
 
 def _hamming(a: Column, b: Column) -> Column:
+    """Of two sketches of which one is at most twice as long as the other."""
+    n = F.least(F.size(a), F.size(b))
+    fold = lambda x: F.when(F.size(x) > n, F.zip_with(F.slice(x, 1, n), F.slice(x, n + 1, n), lambda p, q: p.bitwiseXOR(q))).otherwise(x)
+    a, b = fold(a), fold(b)
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
 def _fits(percent: int) -> Column:
     size = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return size & (_hamming(F.col("sa"), F.col("sb")) <= _differ(percent, F.col("na"), F.col("nb")))
+    return F.when(size, _hamming(F.col("sa"), F.col("sb")) <= _differ(percent, F.col("na"), F.col("nb"))).otherwise(False)
 
 
 def _informed(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -221,39 +233,48 @@ def components(edges: DataFrame) -> DataFrame:
 def _cross_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (sig, id, comp, n, sketch) of a bucket in different components whose sketches are near enough."""
 
-    def emit(n, ids, comps, sk):
-        order = np.argsort(n, kind="stable")
-        n, ids, comps, sk = n[order], ids[order], comps[order], sk[order]
+    def emit(n, ids, comps, sketches):
+        # rows ascend in n and so in the length of their sketches; each is compared with those from itself up to the
+        # largest set that it may link with, whose sketches are as long or twice as long
+        width = np.fromiter(map(len, sketches), np.int64, len(sketches))
         top = np.searchsorted(n, n * 100 // percent, "right")
-        step = max(1, (1 << 20) // (len(n) * _WORDS64))
-        for i in range(0, len(n), step):
-            j = min(len(n), i + step)
-            end = int(top[j - 1])
-            far = np.bitwise_count(sk[i:j, None, :] ^ sk[None, i:end, :]).sum(2, dtype=np.int64)
-            near = far <= (n[i:j, None] + n[None, i:end]) * (100 - percent) // (100 + percent)
-            near &= comps[i:j, None] != comps[None, i:end]
-            near &= np.arange(i, end)[None, :] > np.arange(i, j)[:, None]
-            x, y = np.nonzero(near)
-            yield ids[i + x], ids[i + y]
+        for w in np.unique(width):
+            lo, hi = (int(x) for x in np.searchsorted(width, (w, w), "left") + (0, int((width == w).sum())))
+            last = int(top[hi - 1])
+            own = [x if len(x) == w else x[:w] ^ x[w : 2 * w] for x in sketches[lo:last]]
+            table = np.stack(own)
+            step = max(1, (1 << 20) // (len(table) * int(w)))
+            for i in range(lo, hi, step):
+                j = min(hi, i + step)
+                end = int(top[j - 1])
+                far = np.bitwise_count(table[i - lo : j - lo, None, :] ^ table[None, i - lo : end - lo, :]).sum(2, dtype=np.int64)
+                near = far <= (n[i:j, None] + n[None, i:end]) * (100 - percent) // (100 + percent)
+                near &= comps[i:j, None] != comps[None, i:end]
+                near &= np.arange(i, end)[None, :] > np.arange(i, j)[:, None]
+                near &= n[None, i:end] * percent <= n[i:j, None] * 100
+                x, y = np.nonzero(near)
+                yield ids[i + x], ids[i + y]
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple] = []
 
         def flush(rows):
-            n, ids, comps, sk = (np.concatenate([r[c] for r in rows]) for c in range(1, 5))
-            for a, b in emit(n, ids, comps, sk):
+            n, ids, comps = (np.concatenate([r[c] for r in rows]) for c in range(1, 4))
+            sketches = [x for r in rows for x in r[4]]
+            for a, b in emit(n, ids, comps, sketches):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
             sig, ids, comps, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            sk = np.asarray(batch.column(4).flatten()).view(U).reshape(-1, _WORDS64)
+            ends = np.cumsum(pc.list_value_length(batch.column(4)).to_numpy(zero_copy_only=False))
+            sketches = np.split(batch.column(4).flatten().to_numpy(zero_copy_only=False).view(U), ends[:-1])
             cuts = np.concatenate([[0], np.flatnonzero(sig[1:] != sig[:-1]) + 1, [len(sig)]])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if held and held[0][0] != sig[a]:
                     yield from flush(held)
                     held = []
-                held.append((sig[a], n[a:b].copy(), ids[a:b].copy(), comps[a:b].copy(), sk[a:b].copy()))
+                held.append((sig[a], n[a:b].copy(), ids[a:b].copy(), comps[a:b].copy(), [x.copy() for x in sketches[a:b]]))
         if held:
             yield from flush(held)
 
@@ -266,6 +287,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     component_id is the least doc_id that links of ``percent`` or more lead to, the row's own included.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent is from 50 to 100: linked sets then differ in size by at most a factor of two")
     base = written(sketched(docs, k, percent), "sets")
     by_sig = Window.partitionBy("sig")
     rows = base.where("sigs is not null").select("id", F.explode("sigs").alias("sig"))
