@@ -121,7 +121,7 @@ def prefix_sums(
     buckets grows with ``rows``, the table's row count; bucket totals are summed in a small table and joined back on
     the same keys.
     """
-    buckets = max(8, -(-rows // part_rows))
+    buckets = max(32, -(-rows // part_rows))
     keys = [*by, "_coarse", "_bucket"]
     df = df.withColumns({"_coarse": coarse.cast("int"), "_bucket": F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(buckets)).cast("int")})
     df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
