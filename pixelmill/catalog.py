@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelmill.functions import color as C
 from pixelmill.functions import icc
 from pixelmill.functions import spaces as S
-from pixelmill.operators import analysis, auto, detect, display, draw, geometry, resample, stencil, tone
+from pixelmill.operators import analysis, auto, detect, display, draw, geometry, resample, stencil, text, tone
 from pixelmill.relation import Pixels, fixture, fixture_gray
 
+def _letters() -> text.FontSet:
+    glyph = {"A": (5, ["01100", "10010", "11110", "10010"]), "i": (2, ["10", "00", "10", "10"]), ".": (2, ["00", "00", "00", "10"])}
+    return text.FontSet(text.Font(4, 1, {ord(c): text.Glyph(w + 1, 0, 4, rows) for c, (w, rows) in glyph.items()}))
+
+
 def _display() -> display.DisplayList:
     d = display.DisplayList().rect(20, 20, 5, 5, (1, 2, 3, 255)).ellipse(4, 4, 1, 1, (255, 0, 0, 255)).rect(2, 2, 5, 5, (10, 200, 30, 255))
     d.save().translate(1, 2).rotate(20).round_rect(0, 0, 5, 3, 1, (200, 0, 90, 160)).ellipse(3, 1, 2, 1, (0, 0, 255, 255)).restore()
@@ -106,6 +111,7 @@ FORMS: dict[str, Form] = {
     "draw_tile": lambda p: draw.composite(p, geometry.crop(p, 0, 0, 3, 3), "normal", 1, 2, 0.7, "tile"), "draw_center": lambda p: draw.composite(p, geometry.crop(p, 1, 1, 4, 4), "screen", draw="center"), "draw_once": lambda p: draw.composite(p, geometry.rotate90(p), "normal", 3, -2, 0.5),
     "display_render": lambda p: _display().render(p), "icc_p3_to_srgb": lambda p: icc.to_srgb(p, icc.builtin("display-p3")), "icc_adobe_to_srgb": lambda p: icc.to_srgb(p, icc.builtin("adobe-rgb")),
     "blur_boxes": lambda p: detect.blur_boxes(p, "SELECT * FROM (VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) AS b_(image_id, x, y, width, height)", 1.0),
+    "draw_text": lambda p: text.draw_text(p, _letters(), "A i.", 0, 1, (*RED, 255), 8), "draw_text_styled": lambda p: text.draw_styled(p, _letters(), "Ai", 1, 1, (*RED, 255), (1, (*SEA, 200)), (1, 1, 1, (0, 0, 0, 180))),
     "draw_coverage": lambda p: draw.coverage(p, p.values(["y", "x", "v"], [(y, x, (40 * x + 60 * y) % 256) for y in range(4) for x in range(5)], "m"), 2, 1, (*RED, 220)),
 }
 

@@ -6,13 +6,14 @@ text, so it runs in Arrow batches over rows of texts; drawing is a join of pixel
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pixelmill.errors import CorruptError, RangeError
+from pixelmill.errors import CorruptError, RangeError, UnknownFormatError, UnsupportedVariantError
 from pixelmill.relation import Pixels
 
 FALLBACKS = 4
@@ -77,6 +78,52 @@ def load_bdf(text: str) -> Font:
     return font
 
 
+def load_psf(data: bytes) -> Font:
+    """A PSF face of version 1 or 2; without a Unicode table a glyph's number is its code point."""
+    if data[:2] == b"\x36\x04":
+        mode, height = data[2], data[3]
+        count, width, size, start = 512 if mode & 1 else 256, 8, height, 4
+        table = data[start + count * size :] if mode & 6 else b""
+        groups = [[c for c in struct.unpack(f"<{len(g) // 2}H", g) if c != 0xFFFE] for g in _psf1_groups(table)] if table else []
+    elif data[:4] == b"\x72\xb5\x4a\x86":
+        _, start, flags, count, size, height, width = struct.unpack_from("<7I", data, 4)
+        table = data[start + count * size :] if flags & 1 else b""
+        groups = [[ord(c) for c in g.split(b"\xfe")[0].decode("utf-8", "replace")] for g in table.split(b"\xff")[:count]] if table else []
+    else:
+        raise CorruptError("no PSF signature")
+    if len(data) < start + count * size:
+        raise CorruptError("a cut font")
+    stride, font = -(-width // 8), Font(height, 0)
+    for i in range(count):
+        raw = data[start + i * size : start + (i + 1) * size]
+        rows = ["".join(f"{b:08b}" for b in raw[y * stride : (y + 1) * stride])[:width] for y in range(height)]
+        for code in groups[i] if i < len(groups) else [] if groups else [i]:
+            font.glyphs[code] = Glyph(width, 0, height, rows)
+    return font
+
+
+def _psf1_groups(table: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at + 1 < len(table):
+        end = at
+        while end + 1 < len(table) and table[end : end + 2] != b"\xff\xff":
+            end += 2
+        out.append(table[at:end])
+        at = end + 2
+    return out
+
+
+def load_font(data: bytes) -> Font:
+    """By its first bytes; outlines are not supported."""
+    if data[:9] == b"STARTFONT":
+        return load_bdf(data.decode("latin-1"))
+    if data[:2] == b"\x36\x04" or data[:4] == b"\x72\xb5\x4a\x86":
+        return load_psf(data)
+    if data[:4] in (b"\0\1\0\0", b"OTTO", b"true", b"ttcf"):
+        raise UnsupportedVariantError("outlines")
+    raise UnknownFormatError("no known signature")
+
+
 class FontSet:
     """Up to four faces; a character is set in the first that has it, else in the first."""
 
@@ -171,6 +218,83 @@ def coverage_rows(fonts: FontSet, text: str, width: int | None = None, align: st
     return out
 
 
+@dataclass(frozen=True)
+class Box:
+    """How a text is laid out: wrap width, height, alignments, what happens beyond the height, leading."""
+
+    width: int
+    height: int = 0
+    align: str = "left"
+    valign: str = "top"
+    overflow: str = "clip"
+    leading: float = 1.0
+
+
+def lay_out(fonts: FontSet, text: str, box: Box) -> list[dict]:
+    """Lines with content, width, x, y, baseline, clipped and ellipsized."""
+    step = max(1, int(fonts.line_height * box.leading + 0.5))
+    lines = wrap(text, box.width, fonts.advance)
+    room = max(1, box.height // step) if box.height else len(lines)
+    cut = len(lines) > room
+    kept = lines[:room]
+    if cut and box.overflow == "ellipsis":
+        kept[-1] = ellipsis(kept[-1] + "\u2026" * box.width, box.width, fonts.advance)
+    slack = max(0, box.height - len(kept) * step) if box.height else 0
+    top = {"top": 0, "middle": slack // 2, "bottom": slack}[box.valign]
+    ascent, out = max(f.ascent for f in fonts.fonts), []
+    for i, line in enumerate(kept):
+        gap = box.width - fonts.width(line)
+        x = {"left": 0, "justify": 0, "center": gap // 2, "right": gap}[box.align]
+        last = i == len(kept) - 1
+        out.append({"content": line, "width": fonts.width(line), "x": x, "y": top + i * step, "baseline": top + i * step + ascent, "clipped": cut and last, "ellipsized": cut and last and box.overflow == "ellipsis"})
+    return out
+
+
+def grown(rows: list[tuple[int, int, int]], radius: int) -> list[tuple[int, int, int]]:
+    """A mask widened by a square radius: the stroke of a text."""
+    best: dict[tuple[int, int], int] = {}
+    for y, x, v in rows:
+        for dy in range(-radius, radius + 1):
+            for dx in range(-radius, radius + 1):
+                key = (y + dy, x + dx)
+                best[key] = max(best.get(key, 0), v)
+    return [(y, x, v) for (y, x), v in sorted(best.items())]
+
+
+def softened(rows: list[tuple[int, int, int]], radius: int) -> list[tuple[int, int, int]]:
+    """A mask after three box passes an axis: the shadow of a text."""
+    import numpy as np
+
+    if not rows or radius < 1:
+        return rows
+    ys, xs, vs = (np.array(c) for c in zip(*rows, strict=True))
+    pad = 3 * radius
+    top, left = ys.min() - pad, xs.min() - pad
+    mask = np.zeros((ys.max() - top + pad + 1, xs.max() - left + pad + 1), np.int64)
+    mask[ys - top, xs - left] = vs
+    span = 2 * radius + 1
+    for axis in (1, 0):
+        for _ in range(3):
+            wide = np.pad(mask, [(radius, radius) if a == axis else (0, 0) for a in (0, 1)])
+            mask = (sum(np.take(wide, range(i, i + mask.shape[axis]), axis) for i in range(span)) + span // 2) // span
+    return [(int(y) + int(top), int(x) + int(left), int(mask[y, x])) for y, x in zip(*np.nonzero(mask), strict=True)]
+
+
+def draw_styled(p: Pixels, fonts: FontSet, text: str, x: int, y: int, color: Sequence[int], stroke: tuple[int, Sequence[int]] | None = None, shadow: tuple[int, int, int, Sequence[int]] | None = None, width: int | None = None, align: str = "left") -> Pixels:
+    """Shadow (dx, dy, radius, colour), then stroke (radius, colour), then the fill, each one join with its mask."""
+    from pixelmill.operators.draw import coverage
+
+    rows = coverage_rows(fonts, text, width, align)
+    for mask, dx, dy, paint in (
+        *([(softened(rows, shadow[2]), shadow[0], shadow[1], shadow[3])] if shadow else []),
+        *([(grown(rows, stroke[0]), 0, 0, stroke[1])] if stroke else []),
+        (rows, 0, 0, color),
+    ):
+        if mask:
+            p = coverage(p, p.values(["y", "x", "v"], mask, "m"), x + dx, y + dy, paint)
+    return p
+
+
 def draw_text(p: Pixels, fonts: FontSet, text: str, x: int, y: int, color: Sequence[int], width: int | None = None, align: str = "left") -> Pixels:
     from pixelmill.operators.draw import coverage
 

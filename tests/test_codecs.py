@@ -190,3 +190,18 @@ def test_wrap():
     assert text.wrap("a\n\nb", 4, one) == ["a", "", "b"]
     assert text.ellipsis("abcdefgh", 6, one) == "abc..."
     assert json.dumps(text.wrap("", 4, one)) == '[""]'
+
+
+def test_psf_text_boxes_and_styles():
+    glyphs = bytes([0x18, 0x24, 0x3C, 0x24]) * 256
+    font = text.load_font(b"\x36\x04\x00\x04" + glyphs)
+    assert font.line_height == 4 and font.glyphs[65].rows == ["00011000", "00100100", "00111100", "00100100"]
+    two = struct.pack("<8I", 0x864AB572, 0, 32, 1, 1, 4, 4, 8) + glyphs[:4] + "\u00e9".encode() + b"\xff"
+    assert list(text.load_font(two).glyphs) == [0xE9]
+    with pytest.raises(RasterError):
+        text.load_font(b"\0\1\0\0")
+    fonts = text.FontSet(font)
+    lines = text.lay_out(fonts, "ab cd ef", text.Box(16, 9, "right", "bottom", "ellipsis"))
+    assert [x["y"] for x in lines] == [1, 5] and lines[1]["ellipsized"] and lines[0]["x"] == 0
+    rows = text.coverage_rows(fonts, "a")
+    assert set(rows) <= set(text.grown(rows, 1)) and max(v for *_, v in text.softened(rows, 1)) < 255

@@ -4,6 +4,7 @@ import pytest
 
 from pixelmill.errors import PlanError, RangeError
 from pixelmill.functions import color as C
+from pixelmill.plans import lattice
 from pixelmill.plans.ir import Plan
 from pixelmill.raster import Raster
 from pixelmill.relation import Pixels
@@ -79,3 +80,14 @@ def test_fused_equals_eager(spark, chain):
 def test_cost_orders_filters():
     price = lambda f: Plan(1000, 1000).resize(500, 500, f).resolve().cost
     assert price("bilinear") < price("catmull_rom") and Plan(1000, 1000).blur(3).resolve().cost > Plan(1000, 1000).invert().resolve().cost
+
+
+def test_lattice_and_ladder():
+    plan = Plan(1600, 1200).resize(300, 225).brightness(1.2)
+    found = lattice.enumerate_candidates(plan)
+    assert 2 <= len(found) <= 16 and not found[0].fast and found[0].steps == 0
+    full, lost = lattice.within_budget(plan, 10**9)
+    assert lost == [] and lattice.within_budget(plan, 1)[0].cost <= full.cost
+    assert lattice.weakest("exact", "bounded") == "bounded"
+    assert lattice.compose_db(None, None) == 99 and abs(lattice.compose_db(40, 40) - 36.9897) < 1e-3
+    assert found[0].peak_bytes >= 300 * 225 * 4
