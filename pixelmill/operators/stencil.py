@@ -11,6 +11,7 @@ from pixelmill.relation import CHANNELS, COLORS, Pixels, clamp, num
 
 def _axis_sum(p: Pixels, radius: int, axis: str) -> Pixels:
     """One pass of a box blur: a framed sum plus replicated edge samples, rounded; all channels, alpha too."""
+    p = p.by_image()
     other, last = ("y", p.width - 1) if axis == "x" else ("x", p.height - 1)
     span, part = 2 * radius + 1, f"PARTITION BY image_id, {other}"
     frame = f"OVER ({part} ORDER BY {axis} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
@@ -65,22 +66,30 @@ def clarity(p: Pixels, amount: float) -> Pixels:
     return unsharp_mask(p, max(2.0, min(p.width, p.height) / 40), amount)
 
 
-def _gather(p: Pixels, offsets: list[tuple], columns: list[str], aggregates: str) -> str:
-    """Rows of neighbours: each pixel with each offset (dx, dy, ...), edges clamped, aggregated by target pixel."""
-    # a source pixel is sent to the targets that it is a neighbour of; clamped edges make some sources serve twice
-    k = p.values(["dx", "dy", *columns], offsets, "k")
-    targets = f"(SELECT t.image_id, t.y, t.x, k.*, least(greatest(t.y + k.dy, 0), {p.height - 1}) AS sy, least(greatest(t.x + k.dx, 0), {p.width - 1}) AS sx FROM ({p.sql}) t CROSS JOIN {k})"
-    return f"SELECT n.image_id, n.y, n.x, {aggregates} FROM {targets} n JOIN ({p.sql}) s ON s.image_id = n.image_id AND s.y = n.sy AND s.x = n.sx GROUP BY n.image_id, n.y, n.x"
+def neighbors(p: Pixels) -> str:
+    """Each pixel with its 3 x 3 neighbours' colours as columns r0 to r8, g0 to g8, b0 to b8, row by row, edges clamped.
 
+    First the left and right ones along rows, then the upper and lower ones of these three along columns: two window
+    passes over an image's rows instead of nine copies of every pixel in a join.
+    """
+    p = p.by_image()
+    row, column = "OVER (PARTITION BY image_id, y ORDER BY x)", "OVER (PARTITION BY image_id, x ORDER BY y)"
+    across = ", ".join(f"coalesce(lag({c}) {row}, {c}) AS {c}l, {c} AS {c}m, coalesce(lead({c}) {row}, {c}) AS {c}h" for c in COLORS)
+    inner = f"(SELECT image_id, y, x, a, {across} FROM ({p.sql}) t)"
+    down = ", ".join(
+        f"coalesce(lag({c}{s}) {column}, {c}{s}) AS {c}{i}, {c}{s} AS {c}{i + 3}, coalesce(lead({c}{s}) {column}, {c}{s}) AS {c}{i + 6}" for c in COLORS for i, s in enumerate("lmh")
+    )
+    return f"(SELECT image_id, y, x, a, {down} FROM {inner} v)"
 
-RING = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+
+def _weighted(c: str, kernel: list[int]) -> str:
+    return "(" + (" + ".join(f"{w} * {c}{i}" for i, w in enumerate(kernel) if w) or "0") + ")"
 
 
 def convolve3(p: Pixels, kernel: list[int], divisor: int = 1, offset: int = 0) -> Pixels:
     """A 3 x 3 kernel on the colours, edges clamped, truncated, clamped; alpha stays."""
-    rows = [(dx, dy, w) for (dx, dy), w in zip(RING, kernel, strict=True)]
-    body = ", ".join(f"{clamp(p.div(f'CAST(sum(n.w * s.{c}) AS BIGINT)', str(divisor)) + f' + {offset}')} AS {c}" for c in COLORS)
-    return p.of(_gather(p, rows, ["w"], body + ", max(CASE WHEN n.dx = 0 AND n.dy = 0 THEN s.a END) AS a"))
+    body = ", ".join(f"{clamp(p.div(_weighted(c, kernel), str(divisor)) + f' + {offset}')} AS {c}" for c in COLORS)
+    return p.of(f"SELECT image_id, y, x, {body}, a FROM {neighbors(p)} n")
 
 
 def emboss(p: Pixels, strength: float) -> Pixels:
@@ -91,21 +100,20 @@ def emboss(p: Pixels, strength: float) -> Pixels:
 def sobel(p: Pixels) -> Pixels:
     """Root of the squared horizontal and vertical gradients of each colour."""
     gx, gy = [-1, 0, 1, -2, 0, 2, -1, 0, 1], [-1, -2, -1, 0, 0, 0, 1, 2, 1]
-    rows = [(dx, dy, a, b) for (dx, dy), a, b in zip(RING, gx, gy, strict=True)]
-    body = ", ".join(p.round8(f"sqrt(CAST(sum(n.gx * s.{c}) * sum(n.gx * s.{c}) + sum(n.gy * s.{c}) * sum(n.gy * s.{c}) AS DOUBLE))") + f" AS {c}" for c in COLORS)
-    return p.of(_gather(p, rows, ["gx", "gy"], body + ", max(CASE WHEN n.dx = 0 AND n.dy = 0 THEN s.a END) AS a"))
+    square = lambda e: f"{e} * {e}"
+    body = ", ".join(p.round8(f"sqrt(CAST({square(_weighted(c, gx))} + {square(_weighted(c, gy))} AS DOUBLE))") + f" AS {c}" for c in COLORS)
+    return p.of(f"SELECT image_id, y, x, {body}, a FROM {neighbors(p)} n")
 
 
 def despeckle(p: Pixels) -> Pixels:
     """The median of 3 x 3 for each colour."""
-    if p.spark:
-        body = ", ".join(f"sort_array(collect_list(s.{c}))[4] AS {c}" for c in COLORS)
-    else:
-        body = ", ".join(f"list_sort(list(s.{c}))[5] AS {c}" for c in COLORS)
-    return p.of(_gather(p, [(dx, dy, 0) for dx, dy in RING], ["w"], body + ", max(CASE WHEN n.dx = 0 AND n.dy = 0 THEN s.a END) AS a"))
+    nine = lambda c: ", ".join(f"{c}{i}" for i in range(9))
+    middle = (lambda c: f"sort_array(array({nine(c)}))[4]") if p.spark else (lambda c: f"list_sort([{nine(c)}])[5]")
+    return p.of(f"SELECT image_id, y, x, {', '.join(f'{middle(c)} AS {c}' for c in COLORS)}, a FROM {neighbors(p)} n")
 
 
 def _extreme(p: Pixels, radius: int, f: str) -> Pixels:
+    p = p.by_image()
     for axis, other in (("x", "y"), ("y", "x")):
         frame = f"OVER (PARTITION BY image_id, {other} ORDER BY {axis} ROWS BETWEEN {radius} PRECEDING AND {radius} FOLLOWING)"
         p = p.each(lambda c: f"{f}({c}) {frame}")

@@ -33,6 +33,7 @@ class Pixels:
     height: int
     dialect: str = "spark"
     channels: int = 4
+    dealt: bool = False
 
     # forms that differ between the dialects
 
@@ -75,6 +76,12 @@ class Pixels:
         """Rows 0 to n - 1."""
         return f"(SELECT id AS {column} FROM range({n})) AS {name}" if self.spark else f"(SELECT range AS {column} FROM range({n})) AS {name}"
 
+    def by_image(self) -> Pixels:
+        """The same rows dealt by image, once: windows over an image's rows and columns then need no exchange of their own."""
+        if self.dealt or not self.spark:
+            return self
+        return replace(self, sql=f"SELECT * FROM ({self.sql}) t DISTRIBUTE BY image_id", dealt=True)
+
     # building queries
 
     def select(self, r: str | None = None, g: str | None = None, b: str | None = None, a: str | None = None, y: str = "y", x: str = "x", where: str = "", **more) -> Pixels:
