@@ -68,7 +68,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, offs - start
 
 
-def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = WHITE, lower: bool = True, block: int = 4 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = WHITE, lower: bool = True, block: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first and end byte of each word, and for each text the number of words before it (n + 1 entries).
 
     Works in blocks of bytes cut where words end, so memory beyond the result stays bounded whatever a text's length.
