@@ -1,15 +1,14 @@
 """Prices of plans and encoders in microseconds, admission against a budget, and the constrained search of a variant.
 
 Rates are per million pixels or bytes on the machine on which they were measured; calibrate before use elsewhere.
-The search is relational: candidates x variants, left joins to two dimension tables, a CASE for the first reason to
-refuse, and the best by the objective.
+The search is relational: candidates x variants, left joins to two dimension tables, the checks as filters (or a CASE for
+the first reason to refuse), and the best by the objective.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from pixelmill.errors import RangeError
 from pixelmill.operators.resample import pick_filter
@@ -96,20 +95,29 @@ def select(candidates: DataFrame, variants: DataFrame, lever: DataFrame, encode:
     """
     if objective not in OBJECTIVES:
         raise RangeError(objective)
-    space = candidates.crossJoin(F.broadcast(variants))  # at most 16 candidates by 18 variants for a request
-    space = space.join(lever, ["format", "effort", "filter", "steps"], "left").join(encode, ["format", "quality"], "left")
+    # what does not depend on a request is joined and filtered first, on the small tables
+    fits = F.col("allowed") & F.col("alpha_ok") if alpha else F.col("allowed")
+    variants = variants.where(fits).join(encode, ["format", "quality"], "left")
+    space = candidates.where(F.col("peak_bytes") <= peak_cap).crossJoin(F.broadcast(variants))  # at most 16 by 18 for a request
+    space = space.join(lever, ["format", "effort", "filter", "steps"], "left")
     db = -10 * F.log10(F.pow(F.lit(10.0), -F.col("lever_db") / 10) + F.pow(F.lit(10.0), -F.col("encode_db") / 10))
     space = space.withColumn("db", F.round(F.least(F.lit(99.0), db), 9)).withColumn("total_us", F.col("cost_upper_us") + F.col("upper_us"))
-    reason = F.when(~F.col("allowed"), "format").when(F.lit(alpha) & ~F.col("alpha_ok"), "alpha")
     if refuse_unknown:
-        reason = reason.when(F.col("db").isNull(), "uncharacterized")
-    reason = reason.when(F.col("peak_bytes") > peak_cap, "peak")
+        space = space.where("db is not null")
     if min_db > 0:
-        reason = reason.when(F.col("db").isNull() | (F.col("db") < min_db), "quality")
+        space = space.where(F.col("db") >= min_db)
     if budget_us:
-        reason = reason.when(F.col("total_us") > budget_us, "budget")
+        space = space.where(F.col("total_us") <= budget_us)
     size, quality = F.coalesce("bytes_per_pixel", F.lit(3e38)), F.coalesce("db", F.lit(-1.0))
     order = {"min_bytes": [size, F.col("total_us")], "min_time": [F.col("total_us"), size], "max_quality": [-quality, size]}[objective]
-    ranked = space.withColumn("reason", reason.otherwise("none")).where("reason = 'none'")
-    first = Window.partitionBy("request").orderBy(*order, "candidate", "variant")
-    return ranked.withColumn("_k", F.row_number().over(first)).where("_k = 1").select("request", "candidate", "variant", "format", "quality", "total_us", "bytes_per_pixel", "db")
+    # the least struct is combined before the shuffle; sorting all of a request's rows is not needed
+    names = ["candidate", "variant", "format", "quality", "total_us", "bytes_per_pixel", "db"]
+    best = space.groupBy("request").agg(F.min(F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), *names)).alias("best"))
+    return best.select("request", *(F.col(f"best.{c}").alias(c) for c in names))
+
+
+def considered(space: DataFrame, min_db: float = 0.0, budget_us: int = 0, peak_cap: int = 1 << 26, alpha: bool = False) -> DataFrame:
+    """Every combination (allowed, alpha_ok, db, peak_bytes, total_us) with the first reason to refuse it, or none."""
+    reason = F.when(~F.col("allowed"), "format").when(F.lit(alpha) & ~F.col("alpha_ok"), "alpha").when(F.col("db").isNull(), "uncharacterized")
+    reason = reason.when(F.col("peak_bytes") > peak_cap, "peak").when(F.lit(min_db > 0) & (F.col("db") < min_db), "quality")
+    return space.withColumn("reason", reason.when(F.lit(budget_us > 0) & (F.col("total_us") > budget_us), "budget").otherwise("none"))
