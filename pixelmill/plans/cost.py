@@ -98,14 +98,16 @@ def select(candidates: DataFrame, variants: DataFrame, lever: DataFrame, encode:
     # what does not depend on a request is joined and filtered first, on the small tables
     fits = F.col("allowed") & F.col("alpha_ok") if alpha else F.col("allowed")
     variants = variants.where(fits).join(encode, ["format", "quality"], "left")
-    space = candidates.where(F.col("peak_bytes") <= peak_cap).crossJoin(F.broadcast(variants))  # at most 16 by 18 for a request
-    space = space.join(lever, ["format", "effort", "filter", "steps"], "left")
-    db = -10 * F.log10(F.pow(F.lit(10.0), -F.col("lever_db") / 10) + F.pow(F.lit(10.0), -F.col("encode_db") / 10))
-    space = space.withColumn("db", F.round(F.least(F.lit(99.0), db), 9)).withColumn("total_us", F.col("cost_upper_us") + F.col("upper_us"))
+    db = F.round(F.least(F.lit(99.0), -10 * F.log10(F.pow(F.lit(10.0), -F.col("lever_db") / 10) + F.pow(F.lit(10.0), -F.col("encode_db") / 10))), 9)
+    candidates = candidates.where(F.col("peak_bytes") <= peak_cap)
     if refuse_unknown:
-        space = space.where("db is not null")
-    if min_db > 0:
-        space = space.where(F.col("db") >= min_db)
+        # every characterised combination is a row of a small table, so requests meet only those that are good enough
+        known = variants.join(lever, "format").withColumn("db", db).where(F.col("db").isNotNull() & (F.col("db") >= min_db))
+        space = candidates.join(F.broadcast(known), ["effort", "filter", "steps"])  # at most 16 candidates by 18 variants for a request
+    else:
+        space = candidates.crossJoin(F.broadcast(variants)).join(lever, ["format", "effort", "filter", "steps"], "left").withColumn("db", db)
+        space = space.where(F.col("db") >= min_db) if min_db > 0 else space
+    space = space.withColumn("total_us", F.col("cost_upper_us") + F.col("upper_us"))
     if budget_us:
         space = space.where(F.col("total_us") <= budget_us)
     size, quality = F.coalesce("bytes_per_pixel", F.lit(3e38)), F.coalesce("db", F.lit(-1.0))
