@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelmill.llm import textbits as tb
-from pixelmill.llm.common import arrow_map, forget, pieces, small, written
+from pixelmill.llm.common import forget, pieces, small, written
 
 U = np.uint64
 _LEAST_BITS = 1024

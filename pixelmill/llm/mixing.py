@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import forget, prefix_sums, small, written
+from pixelmill.llm.common import prefix_sums, small, written
 
 # Fixed value: a word is a maximal run of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
