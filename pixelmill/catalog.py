@@ -121,11 +121,6 @@ def _sql(form: Form, dialect: str) -> str:
     return got if isinstance(got, str) else got.sql
 
 
-def _wide(sql: str) -> str:
-    """Integers of any width as bigints in both engines, other columns as they are."""
-    return sql
-
-
 def spark_query(form: Form) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
@@ -135,7 +130,6 @@ def spark_query(form: Form) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-DOUBLES = {"h", "s", "v", "l", "c", "m", "ye", "k", "fx", "fy", "c0", "c1", "c2", "c3"}
 _FLOATING = {"rgb_hsv": "hsv", "rgb_hsl": "hsl", "rgb_cmyk": ["c", "m", "ye", "k"], "focus_auto": ["fx", "fy"], "gradient_hsv": ["c0", "c1", "c2"], "gradient_cmyk": ["c0", "c1", "c2", "c3"], "multigradient_hsl_sized": ["c0", "c1", "c2"]}
 
 

@@ -6,7 +6,6 @@ from pixelmill.operators import stencil, tone
 from pixelmill.functions import color as C
 from pixelmill.relation import COLORS, Pixels, luma, num
 
-_IDENTITY_RANGE = (0, 255)
 
 
 def histogram(p: Pixels, channel: str = "luma") -> str:

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pixelmill.errors import RangeError
 from pixelmill.functions.color import check
 from pixelmill.operators import geometry as G
-from pixelmill.relation import COLORS, Pixels, num
+from pixelmill.relation import Pixels, num
 
 BLENDS = ("normal", "replace", "multiply", "screen", "overlay", "darken", "lighten", "difference", "exclusion", "hard_light", "soft_light", "add", "subtract")
 
