@@ -301,8 +301,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     forget(whole)
 
     star = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    star = _informed(star, info).where(_fits(percent)).groupBy("b").agg(F.min(F.struct("a", "da", "db")).alias("x"))
-    tried = written(star.select("x.a", "b", "x.da", "x.db"), "tried")
+    tried = written(_informed(star, info).where(_fits(percent)).select("a", "b", "da", "db"), "tried")
     found = written(verified(docs, tried, k, percent), "found")
     labels = components(found)
 
