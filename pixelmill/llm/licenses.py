@@ -1,11 +1,13 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Text is normalised to lower-cased runs of letters, digits and bytes beyond ASCII.  A place where a document's bigrams
-are bigrams of some template opens a region; hits that are at most ``gap`` words apart belong to one region.  A region of
-s bigrams can reach a Dice coefficient of t with a template of m bigrams only if m t / (2 - t) <= s <= m (2 - t) / t, so
-other templates are pruned by size before any set is compared; a region that is too long for a template is searched for
-its best window, between hits, of the template's own length.  Matches of at least ``threshold`` are kept, the best one
-where matches overlap.
+Text is normalised to lower-cased runs of letters, digits and bytes beyond ASCII.  For each template of m distinct
+bigrams, the places where its own bigrams stand are its hits.  A window of s distinct bigrams can reach a Dice
+coefficient of t only if it has at least m t / (2 - t) distinct hits, s <= m (2 - t) / t and at most 2 m (1 - t) / t
+distinct bigrams that are not the template's.  So a template is dropped from a document with fewer hits, and its hits are
+split where more foreign bigrams stand between two of them; neither loses a window.  Every hit that is left is tried as a
+left end with every right end that the bound on s allows: the best Dice counts, and the longest window where it is
+equal.  Matches of at least ``threshold`` are kept, the best one where matches overlap, unless another that overlaps it
+has at least twice as many bigrams in common with its own template (a whole licence goes before a line inside it).
 
 Templates are short notices and headers, and the licence texts' own key paragraphs.  Null and empty texts match nothing;
 repeated rows each give a row; a template of fewer than two words is refused.
@@ -13,6 +15,8 @@ repeated rows each give a row; a template of fewer than two words is refused.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,14 +63,20 @@ TEMPLATES = [
 class Scanner:
     """Templates as sets of bigram hashes."""
 
-    def __init__(self, templates: list[tuple[str, str]], threshold: float, gap: int):
-        self.names, self.threshold, self.gap = [t[0] for t in templates], threshold, gap
+    def __init__(self, templates: list[tuple[str, str]], threshold: float):
+        self.names, self.threshold = [t[0] for t in templates], threshold
         h, _, _, upto = tb.words(*tb.raw(pa.array([t[1] for t in templates])), _SEP)
         if (np.diff(upto) < 2).any():
             raise ValueError("a template has fewer than two words")
-        self.sets = [np.unique(x) for x in tb.shingles(h, upto, 2)]
-        self.lengths = (np.diff(upto) - 1).tolist()
-        self.known = np.unique(np.concatenate(self.sets))
+        sets = [np.unique(x) for x in tb.shingles(h, upto, 2)]
+        self.sizes = np.array([len(x) for x in sets])
+        self.least = self.sizes * threshold / (2 - threshold) - 1e-9
+        self.most = np.floor(self.sizes * (2 - threshold) / threshold + 1e-9).astype(np.int64)
+        self.foreign = np.floor(2 * self.sizes * (1 - threshold) / threshold + 1e-9).astype(np.int64)
+        self.known = np.unique(np.concatenate(sets))
+        self.member = np.stack([np.isin(self.known, x, assume_unique=True) for x in sets])
+        gram, self.owner = np.nonzero(self.member.T)
+        self.upto = np.searchsorted(gram, np.arange(len(self.known) + 1))
         self.probe = np.zeros(1 << _BITS, bool)
         self.probe[(self.known >> U(64 - _BITS)).astype(np.int64)] = True
 
@@ -82,53 +92,132 @@ class Scanner:
         at, doc = at[inside], doc[inside]
         if not len(at):
             return out
-        points, of = np.zeros(0, np.int64), -1
-        breaks = np.flatnonzero((np.diff(at) > self.gap) | (np.diff(doc) > 0)) + 1
-        for region in np.split(np.arange(len(at)), breaks):
-            d, places = int(doc[region[0]]), at[region]
-            best = self._matches(grams, places)
-            if best and of != d:
-                of, points = d, np.cumsum((data[offs[d] : offs[d + 1]] & 0xC0) != 0x80)  # code points up to each byte
+        which = np.searchsorted(self.known, grams[at])
+        for d, templates in self._possible(doc, which):
+            lo, hi = np.searchsorted(doc, (d, d + 1))
+            base = int(upto[d])
+            best = self._matches(grams[base : int(upto[d + 1]) - 1], at[lo:hi] - base, which[lo:hi], templates)
+            if not best:
+                continue
+            points = np.cumsum((data[offs[d] : offs[d + 1]] & 0xC0) != 0x80)  # code points up to each byte
             for start, end, dice, name in best:
-                a, b = int(s[start] - offs[d]), int(e[end + 1] - offs[d])
+                a, b = int(s[base + start] - offs[d]), int(e[base + end + 1] - offs[d])
                 out[d].append({"license": name, "start": int(points[a] - 1), "end": int(points[b - 1]), "dice": round(dice, 4)})
         return out
 
-    def _matches(self, grams: np.ndarray, places: np.ndarray) -> list[tuple[int, int, float, str]]:
-        """Best windows of a region, first and last bigram included, without overlap."""
-        t, got = self.threshold, []
-        span = int(places[-1] - places[0]) + 1
-        for name, own, length in zip(self.names, self.sets, self.lengths, strict=True):
-            if span < len(own) * t / (2 - t):
-                continue
-            mine = places[np.isin(grams[places], own)]
-            if len(mine) * 2 < t * len(own):
-                continue
-            left = 0
-            for right in range(len(mine)):
-                while mine[right] - mine[left] + 1 > length * (2 - t) / t:
-                    left += 1
-                for a in {left, int(np.searchsorted(mine, mine[right] - length + 1))}:
-                    if a > right or right - a + 1 < t * len(own) / 2:
-                        continue
-                    window = np.unique(grams[mine[a] : mine[right] + 1])
-                    dice = 2 * int(np.isin(window, own).sum()) / (len(window) + len(own))
-                    if dice >= t:
-                        got.append((int(mine[a]), int(mine[right]), dice, name))
+    def _possible(self, doc: np.ndarray, which: np.ndarray) -> list[tuple[int, list[int]]]:
+        """Documents with the templates of which they have enough distinct bigrams."""
+        d, g = np.divmod(np.unique(doc * len(self.known) + which), len(self.known))
+        n = self.upto[g + 1] - self.upto[g]
+        owner = self.owner[np.repeat(self.upto[g] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        pair, count = np.unique(np.repeat(d, n) * len(self.names) + owner, return_counts=True)
+        d, t = np.divmod(pair, len(self.names))
+        enough = count >= self.least[t]
+        out: dict[int, list[int]] = {}
+        for x, y in zip(d[enough].tolist(), t[enough].tolist(), strict=True):
+            out.setdefault(x, []).append(y)
+        return list(out.items())
+
+    def _matches(self, grams: np.ndarray, places: np.ndarray, which: np.ndarray, templates: list[int]) -> list[tuple[int, int, float, str]]:
+        """Best windows of a document, first and last bigram included, without overlap."""
+        order = np.argsort(grams, kind="stable")
+        again = np.flatnonzero(grams[order][1:] == grams[order][:-1])
+        before, after = np.full(len(grams), -1), np.full(len(grams), len(grams))
+        before[order[again + 1]], after[order[again]] = order[again], order[again + 1]
+        pieces, rows = [], []
+        for t in templates:
+            mine = places[self.member[t][which]]
+            far = [i for i in np.flatnonzero(np.diff(mine) - 1 > self.foreign[t]).tolist() if len(np.unique(grams[mine[i] + 1 : mine[i + 1]])) > self.foreign[t]]
+            for own in np.split(mine, np.asarray(far, np.int64) + 1):
+                if len(np.unique(grams[own])) >= self.least[t]:
+                    pieces.append((t, own))
+                    rows += [(*x, len(pieces) - 1) for x in self._windows(t, own, before, after)]
+        if not rows:
+            return []
+        # the greedy choice; what overlaps a kept window from the left is tried again up to where that begins
+        start, end, piece = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 4))
+        common, dice = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows])
+        name = [self.names[pieces[p][0]] for p in piece.tolist()]
+        key = lambda i: (-dice[i], start[i] - end[i], start[i], name[i], i)
+        heap, alive = [key(i) for i in range(len(rows))], np.ones(len(rows), bool)
+        heapq.heapify(heap)
         kept: list[tuple[int, int, float, str]] = []
-        for x in sorted(got, key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
-            if all(x[1] < y[0] or x[0] > y[1] for y in kept):
-                kept.append(x)
+        while heap:
+            top = heapq.heappop(heap)
+            i = top[-1]
+            if not alive[i] or top != key(i):
+                continue
+            while len(larger := np.flatnonzero(alive & (start <= end[i]) & (end >= start[i]) & (common >= 2 * common[i]))):
+                i = min(larger.tolist(), key=key)
+            kept.append((int(start[i]), int(end[i]), float(dice[i]), name[i]))
+            a, b = kept[-1][:2]
+            hit = np.flatnonzero(alive & (start <= b) & (end >= a))
+            alive[hit[start[hit] >= a]] = False
+            for j in hit[start[hit] < a].tolist():
+                t, own = pieces[piece[j]]
+                new = self._longest(t, own[(own >= start[j]) & (own < a)], before)
+                if new is None:
+                    alive[j] = False
+                else:
+                    end[j], common[j], dice[j] = new[1:]
+                    heapq.heappush(heap, key(j))
         return sorted(kept)
 
+    def _best(self, t: int, own: np.ndarray, fresh: np.ndarray, is_own: np.ndarray) -> tuple[int, int, int, float] | None:
+        """The best window from the first of ``own`` on; ``fresh`` are the places of bigrams that have not stood since."""
+        fresh = fresh[: self.most[t] + 1]
+        have = np.cumsum(is_own[fresh[: self.most[t]]])
+        if have[-1] < self.least[t]:
+            return None
+        dice = 2 * have / (np.arange(1, len(have) + 1) + self.sizes[t])
+        top = len(dice) - 1 - int(np.argmax(dice[::-1]))
+        if dice[top] < self.threshold:
+            return None
+        last = own[np.searchsorted(own, fresh[top + 1]) - 1] if top + 1 < len(fresh) else own[-1]
+        return int(own[0]), int(last), int(have[top]), float(dice[top])
+
+    def _longest(self, t: int, own: np.ndarray, before: np.ndarray) -> tuple[int, int, int, float] | None:
+        """The best window from the first of ``own`` to at most its last."""
+        lo, hi = int(own[0]), int(own[-1]) + 1
+        is_own = np.zeros(hi - lo, bool)
+        is_own[own - lo] = True
+        got = self._best(t, own - lo, np.flatnonzero(before[lo:hi] < lo), is_own)
+        return got and (got[0] + lo, got[1] + lo, *got[2:])
+
+    def _windows(self, t: int, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """For each left end the best window: start, end, bigrams in common, Dice.
+
+        The places of first occurrences from a left end on are kept sorted; a step to the right takes the first away
+        and puts the same bigram's next place in, so a step's cost does not depend on how far windows reach.
+        """
+        lo, hi = int(own[0]), int(own[-1]) + 1
+        is_own = np.zeros(hi - lo, bool)
+        is_own[own - lo] = True
+        own, out, done = own - lo, [], 0
+        fresh = np.flatnonzero(before[lo:hi] < lo)
+        begin, nexts = 0, np.minimum(after[lo:hi] - lo, hi - lo).tolist()
+        for left in range(hi - lo):
+            if is_own[left]:
+                got = self._best(t, own[done:], fresh[begin:], is_own)
+                done += 1
+                if got:
+                    out.append((got[0] + lo, got[1] + lo, *got[2:]))
+            if nexts[left] < hi - lo:
+                k = begin + int(np.searchsorted(fresh[begin:], nexts[left]))
+                fresh[begin : k - 1] = fresh[begin + 1 : k]
+                fresh[k - 1] = nexts[left]
+            else:
+                begin += 1
+        return out
+
 
-def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, gap: int = 6) -> DataFrame:
+def find_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> DataFrame:
     """doc_id and found (licence, start, end in code points, dice) for every row of ``docs`` (doc_id, text)."""
     chosen, held = templates or TEMPLATES, []
 
     def run(whole: pa.RecordBatch):
         if not held:
-            held.append(Scanner(chosen, threshold, gap))
+            held.append(Scanner(chosen, threshold))
         for batch in pieces(whole, "text"):
             found = pa.array(held[0].found(batch.column("text")), _FOUND)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], names=["doc_id", "found"])
