@@ -9,13 +9,16 @@ left end with every right end that the bound on s allows: the best Dice counts,
 equal.  Matches of at least ``threshold`` are kept, the best one where matches overlap, unless another that overlaps it
 has at least twice as many bigrams in common with its own template (a whole licence goes before a line inside it).
 
-Templates are short notices and headers, and the licence texts' own key paragraphs.  Null and empty texts match nothing;
+Templates are one-line mentions, the GNU header notices, opening paragraphs where they belong to one licence alone, and
+the whole texts in ``licences``.  AGPL-3.0 is made of GPL-3.0's text, see ``_affero``.  Null and empty texts match nothing;
 repeated rows each give a row; a template of fewer than two words is refused.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +42,9 @@ TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
@@ -59,6 +60,53 @@ TEMPLATES = [
     ("Proprietary", "All rights reserved."),
 ]
 
+#: SPDX name, the GNU licence's word and its version.
+_GNU = [("GPL-1.0", "", "1"), ("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.0", "Library ", "2"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")]
+_WHOLE = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"]
+
+
+def _headers() -> list[tuple[str, str]]:
+    """The header notices of the GNU licences, for one version alone and with later ones, of programs and libraries."""
+    out = []
+    for name, kind, version in _GNU:
+        for thing in ("program", "library"):
+            for suffix, which in (("", f"version {version} of the License"), ("-or-later", f"either version {version} of the License, or (at your option) any later version")):
+                body = f"This {thing} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, {which}. This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind}General Public License for more details."
+                out.append((name + suffix, body))
+    return out
+
+
+def _affero(gpl: str) -> str:
+    """GPL-3.0's text under the name of AGPL-3.0 and with its section 13; the preamble stays GPL-3.0's."""
+    head, rest = gpl.split("  13. Use with the GNU Affero General Public License.")
+    tail = rest[rest.index("  14. Revised Versions of this License.") :]
+    named = [re.sub(r"GNU(\s+)(General Public|GENERAL PUBLIC)", r"GNU Affero\1\2", x) for x in (head, tail)]
+    return named[0] + _SECTION_13 + named[1]
+
+
+_SECTION_13 = """13. Remote Network Interaction; Use with the GNU General Public License.
+Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently
+offer all users interacting with it remotely through a computer network (if your version supports such interaction) an
+opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a
+network server at no charge, through some standard or customary means of facilitating copying of software. This
+Corresponding Source shall include the Corresponding Source for any work covered by version 3 of the GNU General Public
+License that is incorporated pursuant to the following paragraph.
+Notwithstanding any other provision of this License, you have permission to link or combine any covered work with a work
+licensed under version 3 of the GNU General Public License into a single combined work, and to convey the resulting work.
+The terms of this License will continue to apply to the part which is the covered work, but the work with which it is
+combined will remain governed by version 3 of the GNU General Public License.
+"""
+
+
+def _texts() -> list[tuple[str, str]]:
+    """The whole licence texts."""
+    folder = resources.files("pixelmill.llm") / "licences"
+    out = [(name, (folder / f"{name}.txt").read_text("utf-8")) for name in _WHOLE]
+    return [*out, ("AGPL-3.0", _affero(dict(out)["GPL-3.0"]))]
+
+
+TEMPLATES += [*_headers(), *_texts()]
+
 
 class Scanner:
     """Templates as sets of bigram hashes."""

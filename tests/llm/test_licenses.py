@@ -30,7 +30,7 @@ def scan(text, templates, threshold=0.8):
 
 
 def test_a_run_of_words_inside_a_notice():
-    name, notice = next(t for t in TEMPLATES if t[0] == "MIT" and len(t[1]) > 200)
+    name, notice = next(t for t in TEMPLATES if t[0] == "MIT" and len(t[1]) > 200)  # the first paragraph
     for n in (1, 5, 9, 20):
         text = "before it " + notice.replace("and/or sell", " ".join(f"extra{i}" for i in range(n)) + " and/or sell") + " behind it"
         (got,) = scan(text, [(name, notice)])
@@ -50,3 +50,26 @@ def test_the_best_window_is_found():
         got, want = scan(text, [("T", template)], threshold), best_dice(text, template)
         assert (max(x["dice"] for x in got) == round(want, 4)) if want >= threshold else got == []
         assert all(a["end"] <= b["start"] for a, b in zip(got, got[1:], strict=False))
+
+
+def whole(name):
+    return max((t[1] for t in TEMPLATES if t[0] == name), key=len)
+
+
+def test_whole_licences_and_headers_get_their_own_names():
+    scanner, rng = Scanner(TEMPLATES, 0.8), random.Random(2)
+    for name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "MPL-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "Unlicense"):
+        words = whole(name).split()
+        edited = list(words)
+        for _ in range(len(words) // 60 + 1):
+            edited[rng.randrange(len(words))] = "changed"
+        for text in (words, edited):
+            got = scanner.found(pa.array(["Copyright 2020 Somebody. " + " ".join(text)]))[0]
+            assert [x["license"] for x in got] == [name] and got[0]["dice"] > 0.9, (name, got)
+    header = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version. This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details."
+    for name, kind, version in (("GPL-2.0", "", "2"), ("GPL-3.0", "", "3"), ("LGPL-2.1", "Lesser ", "2.1"), ("LGPL-3.0", "Lesser ", "3"), ("AGPL-3.0", "Affero ", "3")):
+        for thing in ("program", "library"):
+            text = header.format(thing, kind, version)
+            assert [x["license"] for x in scanner.found(pa.array([text]))[0]] == [name + "-or-later"]
+            text = text.replace("either ", "").replace(", or (at your option) any later version", "")
+            assert [x["license"] for x in scanner.found(pa.array([text]))[0]] == [name]
