@@ -69,8 +69,7 @@ def form(literal: str) -> float:
     kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     if kinds < 2:
         return 0.0
-    head = literal[:256]
-    entropy = -sum(c / len(head) * math.log2(c / len(head)) for c in Counter(head).values())
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     return min(1.0, 0.15 * kinds + 0.1 * entropy + 0.01 * min(n, 24))
 
 

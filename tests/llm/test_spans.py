@@ -2,7 +2,7 @@ import random
 import re
 
 from pixelmill.llm.pii import luhn, mod97, pii_spans
-from pixelmill.llm.secrets import base_spans, lexed_spans, secret_spans
+from pixelmill.llm.secrets import base_spans, form, lexed_spans, secret_spans
 
 
 def brute_pii(t):
@@ -58,3 +58,7 @@ def test_constants_reach_sensitive_names():
     assert [s[0] for s in secret_spans('clientSecretKey: "Zx81-kfe9Q2mmPl0"')] == ["literal"]
     assert lexed_spans('password = "changeme"') == [] == lexed_spans("url = 'http://a.b/c1D'")
     assert lexed_spans("=" * 100_000) == [] and lexed_spans('="' * 50_000) is not None
+
+
+def test_form_counts_the_whole_literal():
+    assert form("a" * 256 + "B7c9" * 64) > form("a" * 256 + "B7c9") and form("aaaa" * 64 + "B7" * 500) == form("B7" * 500 + "aaaa" * 64)
