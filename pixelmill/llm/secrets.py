@@ -40,6 +40,9 @@ _QUOTED = re.compile(r"""[bBrRuUfF]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: Length, characters, first and last ones of a literal, and whether it holds "://".
+Mix = tuple[int, Counter[str], str, str, bool]
+_EDGE = 1 + max(map(len, _PLACEHOLDERS))
 _NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-.$")
 
 
@@ -61,15 +64,60 @@ def sensitivity(name: str) -> float:
     return min(1.0, max(score, 0.9 if joined.endswith(("apikey", "secretkey", "accesskey", "privatekey")) else 0.0))
 
 
+class Value:
+    """What a name gets: literals (content, start, end) and other values in order; its form is that of all joined.
+
+    Values are shared, so a text's values take memory in proportion to the text.
+    """
+
+    __slots__ = ("mix", "parts")
+
+    def __init__(self, parts: list[tuple[str, int, int] | Value]):
+        self.parts, self.mix = parts, None
+
+    def form(self) -> float:
+        """0 to 1 from the joined literal's length and mix of characters; placeholders, references and prose are 0."""
+        todo = [self]
+        while todo:
+            value = todo[-1]
+            if value.mix is None and (missing := [x for x in value.parts if isinstance(x, Value) and x.mix is None]):
+                todo += missing
+                continue
+            todo.pop()
+            if value.mix is None:
+                value.mix = _joined([x.mix if isinstance(x, Value) else _mix(x[0]) for x in value.parts])
+        return _form(*self.mix)
+
+
+def _mix(literal: str) -> Mix:
+    return len(literal), Counter(literal), literal[:_EDGE], literal[-2:], "://" in literal
+
+
+def _joined(parts: list[Mix]) -> Mix:
+    """What :func:`_mix` gives for the joined literals."""
+    if len(parts) == 1:
+        return parts[0]
+    n, counts, head, tail, url = 0, Counter(), "", "", False
+    for n_, counts_, head_, tail_, url_ in parts:
+        url = url or url_ or "://" in tail + head_[:2]
+        head = head if n >= _EDGE else head + head_[: _EDGE - n]
+        n, tail = n + n_, (tail + tail_)[-2:]
+        counts.update(counts_)
+    return n, counts, head, tail, url
+
+
 def form(literal: str) -> float:
-    """0 to 1 from a literal's length and mix of characters; placeholders, references and prose are 0."""
-    n = len(literal)
-    if n < 6 or literal.lower() in _PLACEHOLDERS or literal.startswith(("${", "$(", "{{", "<", "%(")) or " " in literal or "://" in literal:
+    """The form of one literal."""
+    return _form(*_mix(literal))
+
+
+def _form(n: int, counts: Counter[str], head: str, _: str, url: bool) -> float:
+    if n < 6 or (n < _EDGE and head.lower() in _PLACEHOLDERS) or head.startswith(("${", "$(", "{{", "<", "%(")) or " " in counts or url:
         return 0.0
-    kinds = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     if kinds < 2:
         return 0.0
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
+    entropy = -sum(p * math.log2(p) for c in counts.values() if (p := c / n))
     return min(1.0, 0.15 * kinds + 0.1 * entropy + 0.01 * min(n, 24))
 
 
@@ -111,8 +159,8 @@ def _terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
 
 def lexed_spans(text: str, threshold: float = 0.75) -> list[Span]:
     """Literals that sensitive names get, directly or through constants."""
-    out: dict[tuple[int, int], Span] = {}
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Value] = {}
+    marked: list[tuple[float, str, Value]] = []
     at = 0
     while m := _OPERATOR.search(text, at):
         at = m.end()
@@ -122,26 +170,34 @@ def lexed_spans(text: str, threshold: float = 0.75) -> list[Span]:
         if not name or name[0].isdigit():
             continue
         terms, end = _terms(text, at)
-        literals: list[tuple[str, int, int]] = []
-        for content, a, b, quoted in terms:
-            if quoted:
-                literals.append((content, a, b))
-            elif _IDENTIFIER.match(content) and content in constants:
-                literals += constants[content]
-            else:
-                literals.append((content, a, b))
         if any(x[3] for x in terms):
             at = max(at, end)
-        if not literals:
+        if not terms:
             continue
-        constants[name] = literals[:8]
+        parts: list[tuple[str, int, int] | Value] = []
+        for content, a, b, quoted in terms:
+            if not quoted and _IDENTIFIER.match(content) and content in constants:
+                parts.append(constants[content])
+            else:
+                parts.append((content, a, b))
+        value = constants[name] = Value(parts)
         weight = sensitivity(name)
-        if weight:
-            whole = form("".join(x[0] for x in literals))
-            for _, a, b in literals:
-                score = weight * whole
-                if b > a and score >= threshold * 0.8 and score > out.get((a, b), ("", 0, 0, 0.0, ""))[3]:
+        if weight and (score := weight * value.form()) >= threshold * 0.8:
+            marked.append((score, name, value))
+    # from the highest score down, so each value is walked once
+    out: dict[tuple[int, int], Span] = {}
+    seen: set[int] = set()
+    for score, name, value in sorted(marked, key=lambda x: -x[0]):
+        todo: list[tuple[str, int, int] | Value] = [value]
+        while todo:
+            part = todo.pop()
+            if not isinstance(part, Value):
+                _, a, b = part
+                if b > a and (a, b) not in out:
                     out[a, b] = ("literal", a, b, round(score, 4), name)
+            elif id(part) not in seen:
+                seen.add(id(part))
+                todo += reversed(part.parts)
     return list(out.values())
 
 

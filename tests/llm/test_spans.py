@@ -62,3 +62,13 @@ def test_constants_reach_sensitive_names():
 
 def test_form_counts_the_whole_literal():
     assert form("a" * 256 + "B7c9" * 64) > form("a" * 256 + "B7c9") and form("aaaa" * 64 + "B7" * 500) == form("B7" * 500 + "aaaa" * 64)
+
+
+def test_constants_keep_all_their_literals():
+    parts = [f"k{i}X-" for i in range(40)]
+    t = "A = " + " + ".join(f'"{x}"' for x in parts) + "\nB = A + A\npassword = B\n"
+    assert [t[s[1] : s[2]] for s in sorted(lexed_spans(t), key=lambda s: s[1])] == parts
+    chain = "".join(f'A{i + 1} = A{i} + "x{i}Q"\n' for i in range(5000))
+    got = lexed_spans('A0 = "s0"\n' + chain + "token = A5000")
+    assert len(got) == 5001
+    assert [s[1:3] for s in lexed_spans('A = "Zx81-kfe9Q2mmPl0"\n' + "A = A + A\n" * 3000 + "password = A")] == [(5, 21)]
