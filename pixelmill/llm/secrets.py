@@ -3,7 +3,8 @@
 The lexer walks over the operators ``=``, ``:``, ``:=`` and ``=>`` of a text, reads the name to the left of each and the
 expression to the right: quoted literals, bare words and sums of these, in the syntax that source code, shell, YAML,
 JSON, INI and .env files share.  Literals that a name gets are kept as constants; a name to the right of a later
-operator stands for its constant, so ``A = "x1..."; password = A`` marks the literal ``x1...``.  A literal scores by how
+operator stands for its constant, so ``A = "x1..."; password = A`` marks the literal ``x1...``; so do ``$A`` and ``${A}``,
+bare or in double quotes, alone or several in a row.  A literal scores by how
 sensitive the words of its target name are and by its form (length, mix of characters, no placeholder).  Literals of at
 least ``threshold`` are spans of kind ``literal``.
 
@@ -39,6 +40,8 @@ _OPERATOR = re.compile(r":=|=>|==|!=|<=|>=|[:=]")
 _QUOTED = re.compile(r"""[bBrRuUfF]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
+_REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
+_REFERENCES = re.compile(rf"""(?:{_REFERENCE.pattern})+(?![^\s"'`,;()\[\]<>])""")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Length, characters, first and last ones of a literal, and whether it holds "://".
 Mix = tuple[int, Counter[str], str, str, bool]
@@ -144,7 +147,7 @@ def _terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
             at += 1
         if m := _QUOTED.match(text, at):
             out.append((m[1][1:-1], m.start(1) + 1, m.end(1) - 1, True))
-        elif m := _BARE.match(text, at):
+        elif m := _REFERENCES.match(text, at) or _BARE.match(text, at):
             out.append((m[0], m.start(), m.end(), False))
         else:
             return out, at
@@ -157,6 +160,17 @@ def _terms(text: str, at: int) -> tuple[list[tuple[str, int, int, bool]], int]:
         at = after + 1
 
 
+def _resolved(content: str, quoted: bool, before: str, constants: dict[str, Value]) -> list[Value]:
+    """The constants that a term stands for: a bare name, or references like $A and ${A}, bare or in double quotes."""
+    if not quoted and _IDENTIFIER.match(content) and content in constants:
+        return [constants[content]]
+    if "$" not in content or (quoted and before != '"') or not _REFERENCES.fullmatch(content):
+        return []
+    names = [m[1] or m[2] for m in _REFERENCE.finditer(content)]
+    found = [constants.get(x) or constants.get(f"${x}") for x in names]
+    return [] if None in found else found
+
+
 def lexed_spans(text: str, threshold: float = 0.75) -> list[Span]:
     """Literals that sensitive names get, directly or through constants."""
     constants: dict[str, Value] = {}
@@ -176,10 +190,7 @@ def lexed_spans(text: str, threshold: float = 0.75) -> list[Span]:
             continue
         parts: list[tuple[str, int, int] | Value] = []
         for content, a, b, quoted in terms:
-            if not quoted and _IDENTIFIER.match(content) and content in constants:
-                parts.append(constants[content])
-            else:
-                parts.append((content, a, b))
+            parts += _resolved(content, quoted, text[a - 1 : a], constants) or [(content, a, b)]
         value = constants[name] = Value(parts)
         weight = sensitivity(name)
         if weight and (score := weight * value.form()) >= threshold * 0.8:

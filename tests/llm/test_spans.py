@@ -72,3 +72,15 @@ def test_constants_keep_all_their_literals():
     got = lexed_spans('A0 = "s0"\n' + chain + "token = A5000")
     assert len(got) == 5001
     assert [s[1:3] for s in lexed_spans('A = "Zx81-kfe9Q2mmPl0"\n' + "A = A + A\n" * 3000 + "password = A")] == [(5, 21)]
+
+
+def test_shell_references_reach_sensitive_names():
+    secret = "Zx81-kfe9Q2mmPl0"
+    for made in (f"A={secret}", f'export A="{secret}"', f"$A = '{secret}';"):
+        for ref in ("$A", "${A}", '"$A"', '"${A}"', "$A; echo", '"${A}",'):
+            t = f"{made}\nexport DB_PASSWORD={ref}\n"
+            assert [(s[0], t[s[1] : s[2]]) for s in secret_spans(t)] == [("literal", secret)], t
+    t = 'A=Zx81-kf\nB="e9Q2mmPl0"\npassword: "${A}$B"\n'
+    assert sorted(t[s[1] : s[2]] for s in lexed_spans(t)) == ["Zx81-kf", "e9Q2mmPl0"]
+    for other in ("$C", "${C}", "'$A'", '"${A:-x}"'):
+        assert lexed_spans(f"A={secret}\nDB_PASSWORD={other}\n") == []
