@@ -7,8 +7,11 @@ neighbours differ; a phrase begins where a label is greater than those beside it
 neighbours only, phrases have 2 to about 10 symbols, and equal substrings get the same phrases in their interiors
 wherever they stand.  A phrase's name is a 64-bit hash of its symbols.
 
-The fingerprint of a text holds, for two rounds (phrases of about 10 and 30 bytes), the least hashes of its distinct
-names.  Likeness of two fingerprints is the mean over the rounds of the estimated Jaccard similarity of the name sets.
+The fingerprint of a text holds, for two rounds (phrases of about 10 and 30 bytes), the 32-bit hashes of its distinct
+names that are below 2**29, and at least the 24 least ones.  So one name in eight is kept however long a text is, by a
+rule that is the same in all texts, and a passage that two texts share shows in both.  Likeness of two fingerprints is the
+mean over the rounds of the estimated Jaccard similarity of the name sets: that of the names below 2**29, of the 24 least
+ones of both texts if there are fewer, or of all names where both texts have fewer than 24.
 
 A null text counts as empty; empty texts have the empty fingerprint, which is like itself (1) and unlike all others (0).
 """
@@ -16,6 +19,7 @@ A null text counts as empty; empty texts have the empty fingerprint, which is li
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +30,7 @@ from pixelmill.llm import textbits as tb
 from pixelmill.llm.common import pieces
 
 U = np.uint64
-ROUNDS, KEPT, NAMES = 3, (1, 2), 24
+ROUNDS, KEPT, NAMES, BELOW = 3, (1, 2), 24, 1 << 29
 
 
 def _toss_table() -> np.ndarray:
@@ -103,15 +107,21 @@ def phrase_names(column: pa.Array, rounds: int = ROUNDS) -> list[tuple[np.ndarra
     return out
 
 
+def _sample(top: np.ndarray) -> np.ndarray:
+    """The distinct ones below the limit, or the least ones if those are too few."""
+    low = np.unique(top[top < BELOW])
+    return low if len(low) >= NAMES else np.unique(top)[:NAMES]
+
+
 def prints(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """The fingerprints of texts: for each kept round the least 32-bit names, ascending."""
+    """The fingerprints of texts: for each kept round the 32-bit names that are kept, ascending."""
     column = pa.array(texts, pa.binary()).view(pa.string())
     rounds = phrase_names(column)
     per_round = []
     for r in KEPT:
         name, at = rounds[r]
         top = (tb.mix(name + U(r)) >> U(32)).astype(np.uint32)
-        per_round.append([np.unique(top[a:b])[:NAMES] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
+        per_round.append([_sample(top[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
     return list(zip(*per_round, strict=True))
 
 
@@ -128,8 +138,8 @@ def likeness(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> float:
             continue
         p, q = set(x.tolist()), set(y.tolist())
         least = sorted(p | q)
-        if len(x) == NAMES or len(y) == NAMES:
-            least = least[:NAMES]
+        if len(x) >= NAMES or len(y) >= NAMES:
+            least = least[: max(NAMES, bisect_left(least, BELOW))]
         total += sum(v in p and v in q for v in least) / len(least)
     return total / len(a)
 
