@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm.common import written
@@ -22,22 +22,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least doc_id.
 
-    A doc_id that stands for several texts goes with any of them; of rows with equal doc_id and text, one stays.  Texts
-    without words stay, and so do rows without a doc_id.
+    A row is told by its doc_id and text, so a doc_id may be null or stand for several texts; a null one stands behind
+    the others.  Of rows with equal doc_id and text one stays.  Texts without words stay, those with a null doc_id in
+    all their rows.
     """
-    groups = jaccard_components(docs, k=5, percent=80)
-    leaders = written(groups.where("n_shingles > 0 and doc_id != component_id").select("doc_id").distinct(), "not-leaders")
-    kept = docs.join(leaders, "doc_id", "left_anti").select(*docs.columns)
-    return _one_row_each(kept)
-
-
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """Drop the second and later rows of a doc_id where a table repeats doc_ids; only those rows are shuffled."""
-    repeated = written(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
+    mark = F.xxhash64("text", "doc_id")
+    groups = jaccard_components(docs.select(mark.alias("doc_id"), "text"), k=5, percent=80)
+    groups = groups.where("n_shingles > 0").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group")).distinct()
+    ids = docs.select(mark.alias("_row"), F.col("doc_id").alias("_id")).distinct()
+    rows = written(groups.join(ids, "_row"), "groups")
+    first = rows.groupBy("_group").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("_first"))
+    others = written(rows.join(first.select("_first._row"), "_row", "left_anti").select("_row"), "not-leaders")
+    kept = docs.withColumn("_row", mark).join(others, "_row", "left_anti").select(*docs.columns)
+    return _one_row_each(kept, mark)
+
+
+def _one_row_each(docs: DataFrame, mark: Column) -> DataFrame:
+    """Drop the second and later rows of a doc_id and text where a table repeats them; only those rows are shuffled."""
+    named = docs.where(F.col("doc_id").isNotNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    repeated = written(named.groupBy(mark.alias("_row")).count().where("count > 1").select("_row"), "repeated")
     if not repeated.limit(1).count():
         return docs
-    single = docs.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = docs.join(repeated, "doc_id", "left_semi").select(*docs.columns)
+    marked = docs.withColumn("_row", mark)
+    single = marked.join(repeated, "_row", "left_anti").select(*docs.columns)
+    several = marked.join(repeated, "_row", "left_semi").select(*docs.columns)
     return single.unionByName(several.dropDuplicates(["doc_id", "text"]))
 
 

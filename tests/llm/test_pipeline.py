@@ -73,3 +73,15 @@ def test_run_matches_brute_force(spark, tmp_path):
     for r in got:
         shards.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+
+
+def test_repeated_and_null_doc_ids_lose_no_text(spark, tmp_path):
+    rng = random.Random(31)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    near = lambda t: t + " more"
+    rows = [(5, a), (7, a), (5, b), (3, b), (None, c), (None, near(c)), (None, c), (9, d), (None, near(d)), (2, near(e)), (2, near(e)), (1, e), (None, ""), (None, ""), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS).repartition(3)
+    got = Counter((r.doc_id, r.text) for r in stages.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    nulls = [k for k in got if k[0] is None and k[1]]
+    assert len(nulls) == 1 and nulls[0][1] in (c, near(c)) and got.pop(nulls[0]) == 1
+    assert got == {(5, a): 1, (3, b): 1, (9, d): 1, (1, e): 1, (None, ""): 2, (4, None): 1}
