@@ -31,7 +31,8 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_pii(_documents(spark, sf_dir)).drop("found")
+    found = F.transform("found", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"], x["score"], x["why"]))
+    return find_pii(_documents(spark, sf_dir)).withColumn("scores", F.array_join(found, ",")).drop("found")
 
 
 def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,3 +84,13 @@ def test_shell_references_reach_sensitive_names():
     assert sorted(t[s[1] : s[2]] for s in lexed_spans(t)) == ["Zx81-kf", "e9Q2mmPl0"]
     for other in ("$C", "${C}", "'$A'", '"${A:-x}"'):
         assert lexed_spans(f"A={secret}\nDB_PASSWORD={other}\n") == []
+
+
+def test_pii_query_returns_scores_and_context_words(spark, tmp_path):
+    from pixelmill.llm.queries import op3_pii
+
+    texts = [(1, "mail to a.b@cd.org now"), (2, "nothing"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in op3_pii(spark, str(tmp_path)).collect()}
+    (found,) = pii_spans(texts[0][1])
+    assert got[1].scores == ":".join(map(str, found)) and got[2].scores == got[3].scores == ""
