@@ -6,10 +6,12 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pixelmill.llm import stages
+from pixelmill.llm import jaccard, stages
+from pixelmill.llm import textbits as tb
 from pixelmill.llm.decontam import contaminated, with_hits
 from pixelmill.llm.fingerprints import compare_with_edits, fingerprints, parse_likeness
 from pixelmill.llm.jaccard import Bands, components, jaccard_components
@@ -301,3 +303,44 @@ def test_stages_keep_columns_and_clean_rows(spark, rows, tmp_path):
     empty = docs.limit(0)
     for stage in (stages.drop_toxic, stages.drop_near_duplicates, stages.drop_contaminated, stages.mix_sources, stages.to_shards):
         assert stage(spark, empty, str(tmp_path)).collect() == []
+
+
+def test_near_copies_that_share_buckets_are_linked_in_few_rows(spark, monkeypatch):
+    """300 edits of one text, of which some link and many do not: brute force, and rows in proportion to the buckets'."""
+    rng = random.Random(17)
+    base = sentence(rng, 120).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for j in range(rng.randrange(1, 4)):
+            w[rng.randrange(len(w))] = f"edit{i}_{j}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    rows += [(1000 + i, rows[3][1], "en", "s", 1) for i in range(40)]
+    rows += [(2000 + i, " ".join(base[:60]) + " " + sentence(rng, 60), "en", "s", 1) for i in range(60)]
+    made = {}
+
+    def spied(df, name, keep=jaccard.written):
+        out = keep(df, name)
+        made.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "written", spied)
+    monkeypatch.setattr(jaccard, "CELL", 64)  # several cells for a bucket
+    monkeypatch.setattr(jaccard, "_TRIES", 1)
+    got = Counter(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, COLUMNS).repartition(3), 4, 85).collect())
+    assert got == brute_components(rows, 4, 85)
+    assert max(made["candidates"]) < made["buckets"][0] and sum(made["pairs"]) < 10 * len(rows)
+
+
+def test_a_cell_gives_the_nearest_pairs_of_components():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 200 - d], rng.integers(0, 1 << 63, d, dtype=np.uint64)])) for d in (0, 1, 2, 3, 9, 60)]
+    sketches = [jaccard.parities(tb.mix(t)).view(np.uint64) for t in sets]
+    n, ids, nothing = np.asarray([len(t) for t in sets]), np.arange(6), [None] * 6
+    pairs = lambda comps, gone, tries: sorted((i, int(x)) for i, j in jaccard.near_in_cell(n, ids, np.asarray(comps), sketches, gone, 85, tries) for x in j)
+    assert pairs([0, 0, 0, 0, 0, 0], nothing, 1) == []
+    assert pairs([0, 0, 0, 0, 4, 5], nothing, 1) == [(4, 0)]
+    assert pairs([0, 0, 0, 0, 4, 5], nothing, 3) == [(4, 0), (4, 1), (4, 2)]
+    assert pairs([0, 0, 0, 0, 4, 5], [None] * 4 + [[0, 1], None], 1) == [(4, 2)]
+    assert pairs([0, 0, 0, 0, 4, 5], [[4], [4], [4], [4], None, None], 9) == []
