@@ -22,8 +22,8 @@ def get_pixel(p: Pixels, x: int, y: int) -> Pixels:
 
 
 def is_transparent(p: Pixels) -> str:
-    """image_id, how many pixels are not opaque, how many partly."""
-    return f"SELECT image_id, CAST(sum(CASE WHEN a < 255 THEN 1 ELSE 0 END) AS BIGINT) AS clear, CAST(sum(CASE WHEN a > 0 AND a < 255 THEN 1 ELSE 0 END) AS BIGINT) AS part FROM ({p.sql}) t GROUP BY image_id"
+    """image_id, transparent: whether the images have an alpha channel, whatever is in it."""
+    return f"SELECT image_id, CAST({int(p.channels in (2, 4))} AS BIGINT) AS transparent FROM ({p.sql}) t GROUP BY image_id"
 
 
 def integral_image(p: Pixels) -> str:
@@ -145,9 +145,10 @@ def remove_background(pixels: DataFrame, width: int, height: int, tolerance: int
         beside[:-1] |= reach[1:]
         beside[:, 1:] |= reach[:, :-1]
         beside[:, :-1] |= reach[:, 1:]
-        soft = beside & ~reach & (far < 2 * (tolerance + 1))
+        colors = np.abs(data[..., :3] - data[0, 0, :3]).max(2)  # alpha counts for the fill, not for the feather
+        soft = beside & ~reach & (colors < 2 * (tolerance + 1))
         alpha = data[..., 3].copy()
-        alpha[soft] = alpha[soft] * far[soft] // (2 * (tolerance + 1))
+        alpha[soft] = alpha[soft] * colors[soft] // (2 * (tolerance + 1))
         alpha[reach] = 0
         return pdf.assign(a=alpha.ravel())[["image_id", "y", "x", *CHANNELS]]
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pixelmill.operators import stencil, tone
 from pixelmill.functions import color as C
-from pixelmill.relation import COLORS, Pixels, luma, num
+from pixelmill.functions.color import check
+from pixelmill.relation import COLORS, Pixels, clamp, luma, num
 
 
 
@@ -44,28 +45,37 @@ def auto_levels(p: Pixels) -> Pixels:
 
 
 def _means(p: Pixels) -> str:
-    part = "OVER (PARTITION BY image_id)"
-    means = ", ".join(f"CAST(sum({c}) {part} AS DOUBLE) / count(*) {part} AS m_{c}" for c in COLORS)
-    return p.derive(f"{means}, CAST(sum({luma()}) {part} AS DOUBLE) / count(*) {part} AS m_l")
+    """Pixels beside the means of their image; the aggregate is combined by map tasks and joined back."""
+    means = ", ".join(f"CAST(sum({c}) AS DOUBLE) / count(*) AS m_{c}" for c in COLORS)
+    small = f"(SELECT image_id, {means}, CAST(sum({luma()}) AS DOUBLE) / count(*) AS m_l FROM ({p.sql}) t GROUP BY image_id)"
+    return f"(SELECT t.*, k.m_r, k.m_g, k.m_b, k.m_l FROM ({p.sql}) t JOIN {small} k ON k.image_id = t.image_id)"
+
+
+def _gain(p: Pixels, c: str, factor: str) -> str:
+    """A sample times a positive factor in 16.16, rounded, clamped."""
+    return clamp(p.shr(f"{c} * {p.floor(f'({factor}) * 65536e0 + 0.5e0')} + 32768", 16))
 
 
 def auto_brightness(p: Pixels) -> Pixels:
     """Mean luma to 127.5 by a factor; an image darker than 1 stays."""
-    body = ", ".join(f"CASE WHEN m_l < 1e0 THEN {c} ELSE {p.round8(f'{c} * (127.5e0 / m_l)')} END AS {c}" for c in COLORS)
+    body = ", ".join(f"CASE WHEN m_l < 1e0 THEN {c} ELSE {_gain(p, c, 'CASE WHEN m_l < 1e0 THEN 1e0 ELSE 127.5e0 / m_l END')} END AS {c}" for c in COLORS)
     return p.of(f"SELECT image_id, y, x, {body}, a FROM {_means(p)} u")
 
 
 def auto_gamma(p: Pixels) -> Pixels:
-    """Gamma ln(0.5) / ln(mean / 255); images without a mean between black and white stay."""
-    g = "(ln(0.5e0) / ln(m_l / 255e0))"
+    """Gamma ln(0.5) / ln(mean / 255); images that are all black or all white stay."""
+    flat = "(m_l <= 0e0 OR m_l >= 255e0)"
+    g = f"(ln(0.5e0) / ln(CASE WHEN {flat} THEN 0.5e0 ELSE m_l / 255e0 END))"
     value = lambda c: p.round8(f"round(255e0 * pow({c} / 255e0, {g}), 6)")
-    body = ", ".join(f"CASE WHEN m_l < 1e0 OR m_l > 254e0 THEN {c} ELSE {value(c)} END AS {c}" for c in COLORS)
+    body = ", ".join(f"CASE WHEN {flat} THEN {c} ELSE {value(c)} END AS {c}" for c in COLORS)
     return p.of(f"SELECT image_id, y, x, {body}, a FROM {_means(p)} u")
 
 
 def auto_color(p: Pixels) -> Pixels:
-    """Grey world: each channel's mean to the mean of the three."""
-    body = ", ".join(f"CASE WHEN m_{c} < 1e0 THEN {c} ELSE {p.round8(f'{c} * ((m_r + m_g + m_b) / 3e0 / m_{c})')} END AS {c}" for c in COLORS)
+    """Grey world: each channel's mean to the mean of the three; an image with a mean below 1 stays as a whole."""
+    dark = f"(least({', '.join(f'm_{c}' for c in COLORS)}) < 1e0)"
+    factor = lambda c: f"CASE WHEN {dark} THEN 1e0 ELSE (m_r + m_g + m_b) / 3e0 / m_{c} END"
+    body = ", ".join(f"CASE WHEN {dark} THEN {c} ELSE {_gain(p, c, factor(c))} END AS {c}" for c in COLORS)
     return p.of(f"SELECT image_id, y, x, {body}, a FROM {_means(p)} u")
 
 
@@ -79,13 +89,19 @@ def shadows_highlights(p: Pixels, shadows: float, highlights: float) -> Pixels:
 
 
 def dehaze(p: Pixels, strength: float) -> Pixels:
-    """Dark channel prior: transmission from the eroded least colour, airlight from the haziest pixels."""
+    """Dark channel prior: transmission from the eroded least colour, one airlight for all colours from the haziest pixels.
+
+    The haziest are all pixels at or above the level that a thousandth of them (and one) reach from above.
+    """
+    check(0 <= strength <= 1, "dehaze")
     patch = max(3, min(p.width, p.height) // 32) // 2
-    least_ = p.select(*[f"least({', '.join(COLORS)})"] * 3)
-    dark = stencil.erode(least_, patch)
+    dark = stencil.erode(p.select(*[f"least({', '.join(COLORS)})"] * 3), patch)
     pair = stencil.paired(p, dark, "d_")
-    ranked = f"(SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY d_r DESC, y, x) AS k, count(*) OVER (PARTITION BY image_id) AS total FROM {pair} q)"
-    light = f"(SELECT image_id, {', '.join(f'CAST(sum({c}) AS DOUBLE) / count(*) AS l_{c}' for c in COLORS)} FROM {ranked} w WHERE k <= {p.div('total', '1000')} + 1 GROUP BY image_id)"
-    t = f"greatest(0.1e0, 1e0 - {num(strength)} * q.d_r / greatest(1e0, (l.l_r + l.l_g + l.l_b) / 3e0))"
-    body = ", ".join(f"{p.round8(f'(q.{c} - l.l_{c}) / ({t}) + l.l_{c}')} AS {c}" for c in COLORS)
-    return p.of(f"SELECT q.image_id, q.y, q.x, {body}, q.a FROM {pair} q JOIN {light} l ON l.image_id = q.image_id")
+    gray = " + ".join(f"{num(w)} * {c}" for w, c in zip(C.LUMA, COLORS, strict=True))
+    # luma in billionths: a sum of integers is the same in any order
+    counted = f"(SELECT image_id, d_r, count(*) AS n, sum({p.floor(f'({gray}) * 1e9 + 0.5e0')}) AS lit FROM {pair} q GROUP BY image_id, d_r)"
+    runs = f"(SELECT *, sum(n) OVER (PARTITION BY image_id ORDER BY d_r DESC) - n AS above FROM {counted} h)"
+    light = f"(SELECT image_id, greatest(1e0, CAST(sum(lit) AS DOUBLE) / 1e9 / CAST(sum(n) AS DOUBLE)) AS l FROM {runs} r WHERE above < {p.div(str(p.width * p.height), '1000')} + 1 GROUP BY image_id)"
+    t = f"greatest(0.1e0, 1e0 - {num(strength * 0.95)} * q.d_r / k.l)"
+    body = ", ".join(f"{p.round8(f'(q.{c} - k.l) / ({t}) + k.l')} AS {c}" for c in COLORS)
+    return p.of(f"SELECT q.image_id, q.y, q.x, {body}, q.a FROM {pair} q JOIN {light} k ON k.image_id = q.image_id")

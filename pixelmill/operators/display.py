@@ -40,8 +40,8 @@ class Shape:
         if self.kind == "ellipse":
             return [(g[0] + sx * g[2], g[1] + sy * g[3]) for sx in (-1, 1) for sy in (-1, 1)]
         if self.kind == "line":
-            r = g[4] / 2
-            return [(x + dx, y + dy) for x, y in ((g[0], g[1]), (g[2], g[3])) for dx in (-r, r) for dy in (-r, r)]
+            r = g[4] / 2 + 1
+            return [(x, y) for x in (g[0] - r, g[2] + r) for y in (g[1] - r, g[3] + r)]
         return list(zip(g[::2], g[1::2], strict=True))
 
     def bounds(self) -> tuple[float, float, float, float]:
@@ -154,19 +154,18 @@ def _drawn(p: Pixels, s: Shape) -> Pixels:
         return draw.draw_line(p, int(x0), int(y0), int(x1), int(y1), int(g[4] * math.sqrt(abs(a * d - b * c)) + 0.5), s.color)
     if s.upright and s.kind in ("rect", "round_rect"):
         x0, y0, x1, y1 = s.bounds()
-        x, y = math.floor(x0 + 0.5), math.floor(y0 + 0.5)
-        w, h = math.floor(x1 + 0.5) - x, math.floor(y1 + 0.5) - y
+        x, y, w, h = int(x0), int(y0), int(x1 - x0), int(y1 - y0)
         if s.kind == "rect":
             return draw.fill_rectangle(p, x, y, w, h, s.color, s.blend)
         return draw.fill_rounded_rectangle(p, x, y, w, h, int(g[4] * min(abs(a), abs(d)) + 0.5), s.color)
     if s.upright and s.kind == "ellipse":
         cx, cy = s.at(g[0], g[1])
-        test = geometry.ellipse_test(int(cx), int(cy), max(1, int(g[2] * abs(a) + 0.5)), max(1, int(g[3] * abs(d) + 0.5)))
-        return draw.paint(p, test, s.color, s.blend)
+        rx, ry = int(g[2] * abs(a) + 0.5), int(g[3] * abs(d) + 0.5)
+        return draw.paint(p, geometry.ellipse_test(int(cx), int(cy), rx, ry), s.color, s.blend) if rx and ry else p
     if s.kind == "ellipse":
         corners = [(g[0] + g[2] * math.cos(i * math.pi / 16), g[1] + g[3] * math.sin(i * math.pi / 16)) for i in range(32)]
     else:
         corners = s.outline()
     xs, ys = zip(*(s.at(*q) for q in corners), strict=True)
     rule = s.rule if s.kind == "polygon" else "nonzero"
-    return draw.paint(p, geometry.polygon_test(xs, ys, p.height, rule), s.color, s.blend)
+    return draw.strokes(p, geometry.polygon_spans(xs, ys, p.height, rule), s.color, s.blend)

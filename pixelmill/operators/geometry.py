@@ -10,6 +10,10 @@ from pixelmill.functions.color import check
 from pixelmill.relation import CHANNELS, Pixels
 
 
+#: First and last x of spans by row.
+Spans = dict[int, list[tuple[int, int]]]
+
+
 def crop(p: Pixels, x: int, y: int, width: int = 0, height: int = 0) -> Pixels:
     """A rectangle; an extent of 0 reaches to the edge, one past the edge is cut."""
     if x >= p.width or y >= p.height:
@@ -90,7 +94,7 @@ def crop_circle(p: Pixels, cx: int, cy: int, radius: int) -> Pixels:
     return crop_ellipse(p, cx, cy, radius, radius)
 
 
-def crossings(xs: Sequence[int], ys: Sequence[int], height: int) -> list[tuple[int, list[tuple[float, int]]]]:
+def crossings(xs: Sequence[float], ys: Sequence[float], height: int) -> list[tuple[int, list[tuple[float, int]]]]:
     """For each row the x of a polygon's edges at its middle, ascending, with their direction; edges are half open."""
     out = []
     for y in range(height):
@@ -100,27 +104,45 @@ def crossings(xs: Sequence[int], ys: Sequence[int], height: int) -> list[tuple[i
             if (y0 <= at < y1) or (y1 <= at < y0):
                 row.append((x0 + (at - y0) * (x1 - x0) / (y1 - y0), 1 if y1 > y0 else -1))
         if row:
-            out.append((y, sorted(row)))
+            out.append((y, sorted(row, key=lambda r: r[0])))
     return out
 
 
-def polygon_test(xs: Sequence[int], ys: Sequence[int], height: int, rule: str = "even_odd") -> str:
-    """Whether a pixel's middle is inside a polygon: spans of rows as literals."""
+def polygon_spans(xs: Sequence[float], ys: Sequence[float], height: int, rule: str = "even_odd") -> Spans:
+    """The spans of pixels whose middles a path encloses, row by row; an end on a middle counts on both sides."""
     check(len(xs) == len(ys) >= 3, "polygon")
-    rows = []
+    rows: Spans = {}
     for y, row in crossings(xs, ys, height):
-        spans, count = [], 0
+        count = 0
         for (a, da), (b, _) in zip(row, row[1:], strict=False):
             count += 1 if rule == "even_odd" else da
-            if (count % 2 if rule == "even_odd" else count) and b > a:
-                spans.append(f"(x >= {math.ceil(a - 0.5)} AND x < {math.ceil(b - 0.5)})")
-        if spans:
-            rows.append(f"WHEN y = {y} THEN {' OR '.join(spans)}")
-    return f"(CASE {' '.join(rows)} ELSE false END)" if rows else "false"
+            first, last = math.ceil(a - 0.5), math.floor(b - 0.5)
+            if (count % 2 if rule == "even_odd" else count) and first <= last:
+                rows.setdefault(y, []).append((first, last))
+    return rows
+
+
+def span_tests(rows: Spans) -> list[str]:
+    """Predicates of the pixels that lie in at least one span of their row, in at least two, and so on; at least one predicate."""
+    levels: list[dict[int, list[tuple[int, int]]]] = [{}]
+    for y, spans in sorted(rows.items()):
+        edges = sorted([(a, 1) for a, b in spans if a <= b] + [(b + 1, -1) for a, b in spans if a <= b])
+        depth, opened = 0, {}
+        for at, step in edges:  # of edges at one place the ends come first
+            if step > 0:
+                opened[depth] = at
+                depth += 1
+                if depth > len(levels):
+                    levels.append({})
+            else:
+                depth -= 1
+                if opened[depth] < at:
+                    levels[depth].setdefault(y, []).append((opened[depth], at - 1))
+    return ["(CASE " + " ".join(f"WHEN y = {y} THEN {' OR '.join(f'x BETWEEN {a} AND {b}' for a, b in spans)}" for y, spans in level.items()) + " ELSE false END)" if level else "false" for level in levels]
 
 
 def crop_polygon(p: Pixels, xs: Sequence[int], ys: Sequence[int]) -> Pixels:
-    return keep_inside(p, polygon_test(xs, ys, p.height))
+    return keep_inside(p, span_tests(polygon_spans([x + 0.5 for x in xs], [y + 0.5 for y in ys], p.height))[0])
 
 
 def rounded_test(p: Pixels, x: int, y: int, width: int, height: int, radius: int) -> str:

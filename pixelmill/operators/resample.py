@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pixelmill.errors import RangeError
-from pixelmill.functions.color import check
+from pixelmill.functions.color import check, fixed
 from pixelmill.operators import geometry as G
-from pixelmill.relation import CHANNELS, COLORS, Pixels, num
+from pixelmill.relation import CHANNELS, COLORS, Pixels, clamp, num
 
 FITS = ("scale_down", "contain", "cover", "crop", "aspect_crop", "aspect_contain", "aspect_cover", "pad", "stretch", "fill", "scale_up")
 GRAVITIES = ("center", "n", "s", "w", "e", "nw", "ne", "sw", "se")
@@ -33,70 +33,73 @@ def pick_filter(name: str, step: float, fast: bool = False) -> str:
 def taps(source: int, count: int, name: str = "auto", origin: float = 0.0, extent: float | None = None, fast: bool = False) -> list[tuple[int, int, int]]:
     """(output, source, weight in 16.16) of one axis; the weights of an output sum to 65536 exactly.
 
-    ``origin`` and ``extent`` are a window of the source; taps are clamped to the window, so what is cropped away does
-    not bleed back.
+    ``origin`` and ``extent`` are a window of the source.  An output takes the samples whose middles its filter reaches;
+    those outside the window are left out before the weights are normalised, so what is cropped away does not bleed back.
     """
     extent = source if extent is None else extent
     step = extent / count
     kind = pick_filter(name, step, fast)
     scale = max(step, 1.0)
-    first, last = max(0, math.floor(origin)), min(source - 1, math.ceil(origin + extent) - 1)
+    low = min(source - 1, max(0, math.floor(origin)))
+    high = min(source - 1, max(low, math.ceil(origin + extent) - 1))
+    held = lambda v, least: min(high, max(least, v))
     out = []
     for i in range(count):
         center = origin + (i + 0.5) * step
-        weights: dict[int, float] = {}
         if kind == "nearest":
-            weights[min(last, max(first, math.floor(center)))] = 1.0
-        elif kind == "box":
-            lo, hi = center - scale / 2, center + scale / 2
-            for j in range(math.floor(lo), math.ceil(hi)):
-                w = min(hi, j + 1) - max(lo, j)
-                if w > 0:
-                    k = min(last, max(first, j))
-                    weights[k] = weights.get(k, 0.0) + w
+            out.append((i, held(math.floor(center), low), 65536))
+            continue
+        reach = RADIUS[kind] * scale
+        first = math.ceil(center - reach - 0.5)
+        last = max(first, math.floor(center + reach - 0.5))
+        first = held(first, low)
+        samples = range(first, held(last, first) + 1)
+        if kind == "box":
+            weights = [max(0.0, min(center + reach, j + 1) - max(center - reach, j)) for j in samples]
         else:
-            reach = RADIUS[kind] * scale
-            for j in range(math.floor(center - reach), math.ceil(center + reach) + 1):
-                d = (j + 0.5 - center) / scale
-                w = max(0.0, 1 - abs(d)) if kind == "bilinear" else _catmull(d)
-                if w:
-                    k = min(last, max(first, j))
-                    weights[k] = weights.get(k, 0.0) + w
-        total = sum(weights.values())
-        fixed = {k: math.floor(w / total * 65536 + 0.5) for k, w in weights.items()}
-        top = max(fixed, key=lambda k: (fixed[k], -k))
-        fixed[top] += 65536 - sum(fixed.values())
-        out += [(i, k, w) for k, w in sorted(fixed.items()) if w]
+            away = [(j + 0.5 - center) / scale for j in samples]
+            weights = [max(0.0, 1 - abs(d)) if kind == "bilinear" else _catmull(d) for d in away]
+        total = sum(weights)
+        fixed_ = [fixed(w / (total if total > 0 else 1.0)) for w in weights]
+        fixed_[fixed_.index(max(fixed_))] += 65536 - sum(fixed_)
+        out += [(i, j, w) for j, w in zip(samples, fixed_, strict=True) if w]
     return out
 
 
+def _counted(rows: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Taps with a flag: 1 where the output is one sample as it is."""
+    many = {i for (i, _, _), (j, _, _) in zip(rows, rows[1:], strict=False) if i == j}
+    return [(i, j, w, int(i not in many)) for i, j, w in rows]
+
+
 def resize(p: Pixels, width: int, height: int, filter: str = "auto", window: tuple[float, float, float, float] | None = None, fast: bool = False) -> Pixels:
-    """Each output pixel is the sum of its source pixels by the product of two taps, rounded once, clamped.
+    """Sums of source pixels by the products of two taps, rounded once and clamped; columns are summed before rows.
 
-    A zero axis keeps the ratio.  Colours are weighted by alpha where an image has any pixel that is not opaque.
+    A zero axis keeps the ratio.  Colours are multiplied by alpha in whole samples before and divided by the rounded result
+    alpha after, except where an output is one source pixel as it is.  Both sums are exact, so their order does not show.
     """
     if not width and not height:
         raise RangeError("both axes are zero")
-    width = width or max(1, int(p.width * height / p.height + 0.5))
-    height = height or max(1, int(p.height * width / p.width + 0.5))
+    width = width or _round(p.width * height / p.height)
+    height = height or _round(p.height * width / p.width)
     ox, oy, ex, ey = window or (0.0, 0.0, float(p.width), float(p.height))
-    tx = p.values(["ox", "sx", "wx"], taps(p.width, width, filter, ox, ex, fast), "tx")
-    ty = p.values(["oy", "sy", "wy"], taps(p.height, height, filter, oy, ey, fast), "ty")
-    half = str(1 << 31)
-    sums = ", ".join(f"CAST(sum(t.{c} * t.a * (CAST(tx.wx AS BIGINT) * ty.wy)) AS DECIMAL(38,0)) AS p_{c}, CAST(sum(t.{c} * (CAST(tx.wx AS BIGINT) * ty.wy)) AS BIGINT) AS s_{c}" for c in COLORS)
-    gathered = (
-        f"(SELECT t.image_id, ty.oy AS y, tx.ox AS x, {sums}, CAST(sum(t.a * (CAST(tx.wx AS BIGINT) * ty.wy)) AS BIGINT) AS s_a, max(t.part) AS part "
-        f"FROM (SELECT *, max(CASE WHEN a < 255 THEN 1 ELSE 0 END) OVER (PARTITION BY image_id) AS part FROM ({p.sql}) q) t JOIN {tx} ON t.x = tx.sx JOIN {ty} ON t.y = ty.sy GROUP BY 1, 2, 3)"
-    )
-    plain = lambda c: f"least(greatest({p.shr(f's_{c} + {half}', 32)}, 0), 255)"
-    mixed = lambda c: p.round8(f"CAST(p_{c} AS DOUBLE) / CAST(s_a AS DOUBLE)")
-    body = ", ".join(f"CASE WHEN part = 0 THEN {plain(c)} WHEN s_a <= 0 THEN 0 ELSE {mixed(c)} END AS {c}" for c in COLORS)
-    return p.of(f"SELECT image_id, y, x, {body}, {plain('a')} AS a FROM {gathered} u", width=width, height=height)
+    tx = p.values(["ox", "sx", "wx", "onex"], _counted(taps(p.width, width, filter, ox, ex, fast)), "tx")
+    ty = p.values(["oy", "sy", "wy", "oney"], _counted(taps(p.height, height, filter, oy, ey, fast)), "ty")
+    p = p.by_image()
+    total = lambda e, name: f"CAST(sum({e}) AS BIGINT) AS {name}"
+    wide = ", ".join([total("t.a * CAST(tx.wx AS BIGINT)", "s_a"), *(total(f"t.{c} * CAST(tx.wx AS BIGINT)", f"s_{c}") for c in COLORS), *(total(f"{p.div(f't.{c} * t.a', '255')} * CAST(tx.wx AS BIGINT)", f"p_{c}") for c in COLORS)])
+    rows = f"(SELECT t.image_id, t.y, tx.ox AS x, max(tx.onex) AS one, {wide} FROM ({p.sql}) t JOIN {tx} ON t.x = tx.sx GROUP BY t.image_id, t.y, tx.ox)"
+    tall = ", ".join(total(f"u.{k} * CAST(ty.wy AS BIGINT)", k) for k in ["s_a", *(f"{k}_{c}" for k in "sp" for c in COLORS)])
+    both = f"(SELECT u.image_id, ty.oy AS y, u.x, max(u.one * ty.oney) AS one, {tall} FROM {rows} u JOIN {ty} ON u.y = ty.sy GROUP BY u.image_id, ty.oy, u.x)"
+    sample = lambda k: clamp(p.shr(f"{k} + {1 << 31}", 32))
+    made = f"(SELECT image_id, y, x, one, {', '.join(f'{sample(k)} AS {k}' for k in ['s_a', *(f'{k}_{c}' for k in 'sp' for c in COLORS)])} FROM {both} v)"
+    color = lambda c: f"CASE WHEN one = 1 THEN s_{c} WHEN s_a > 0 AND s_a < 255 THEN {clamp(p.div(f'p_{c} * 255 + {p.div("s_a", "2")}', 's_a'))} ELSE p_{c} END AS {c}"
+    return p.of(f"SELECT image_id, y, x, {', '.join(map(color, COLORS))}, s_a AS a FROM {made} w", width=width, height=height)
 
 
 def zoom(p: Pixels, factor: float) -> Pixels:
     check(factor > 0, "zoom")
-    return resize(p, max(1, int(p.width * factor + 0.5)), max(1, int(p.height * factor + 0.5)))
+    return resize(p, _round(p.width * factor), _round(p.height * factor))
 
 
 def reduce(p: Pixels, den: int) -> Pixels:
@@ -110,24 +113,39 @@ def _round(x: float) -> int:
     return 1 if x < 1 else math.floor(x + 0.5)
 
 
+#: What each mode does with a mismatch of shapes, and which way it may scale; "ratio" works at the source's size.
+_MODES = {
+    "scale_down": ("keep", "down"), "scale_up": ("keep", "up"), "contain": ("keep", "free"), "pad": ("pad", "free"), "aspect_contain": ("pad", "ratio"), "cover": ("cut", "free"),
+    "crop": ("cut", "down"), "fill": ("cut", "up"), "aspect_cover": ("cut", "ratio"), "aspect_crop": ("cut", "none"), "stretch": ("stretch", "free"),
+}
+
+
 def fit_geometry(w: int, h: int, tw: int, th: int, mode: str, gravity: str = "center", focus: tuple[float, float] | None = None) -> dict:
     """How a mode resolves: the size to scale to, the crop after it and the canvas to pad to."""
     check(mode in FITS and tw > 0 and th > 0, mode)
+    mismatch, way = _MODES[mode]
     fx, fy = tw / w, th / h
-    if mode in ("stretch", "fill"):
-        return {"scale": (tw, th), "crop": None, "canvas": None}
-    covers = mode in ("cover", "crop", "aspect_crop", "aspect_cover")
-    s = max(fx, fy) if covers else min(fx, fy)
-    if mode == "scale_down" or mode == "crop":
-        s = min(s, 1.0)
-    if mode == "scale_up":
-        s = max(s, 1.0)
-    sw, sh = _round(w * s), _round(h * s)
-    crop = None
-    if mode in ("cover", "crop", "aspect_crop") and (sw > tw or sh > th):
+    if mismatch == "stretch":
+        sw, sh = tw, th
+    elif way in ("ratio", "none"):
+        sw, sh = w, h
+    else:
+        s = max(fx, fy) if mismatch == "cut" else min(fx, fy)
+        s = min(s, 1.0) if way == "down" else max(s, 1.0) if way == "up" else s
+        sw, sh = _round(w * s), _round(h * s)
+    cw, ch = sw, sh
+    if mismatch == "cut" and way == "ratio":  # the largest window of the target's shape
+        cw, ch = (sw, min(sh, _round(sw * th / tw))) if fx > fy else (min(sw, _round(sh * tw / th)), sh)
+    elif mismatch == "cut":
         cw, ch = min(tw, sw), min(th, sh)
-        crop = (*anchor(sw - cw, sh - ch, gravity, focus and (focus[0] * sw - cw / 2, focus[1] * sh - ch / 2)), cw, ch)
-    canvas = (tw, th, *anchor(tw - sw, th - sh, gravity)) if mode == "pad" else None
+    pw, ph = cw, ch
+    if mismatch == "pad" and way == "ratio":  # the smallest canvas of the target's shape
+        pw, ph = (cw, max(ch, _round(cw * th / tw))) if fx < fy else (max(cw, _round(ch * tw / th)), ch)
+    elif mismatch == "pad":
+        pw, ph = max(tw, cw), max(th, ch)
+    place = lambda big, small: anchor(big[0] - small[0], big[1] - small[1], gravity, focus and (focus[0] * big[0] - small[0] / 2, focus[1] * big[1] - small[1] / 2))
+    crop = (*place((sw, sh), (cw, ch)), cw, ch) if (cw, ch) != (sw, sh) else None
+    canvas = (pw, ph, *place((pw, ph), (cw, ch))) if (pw, ph) != (cw, ch) else None
     return {"scale": (sw, sh), "crop": crop, "canvas": canvas}
 
 
@@ -159,8 +177,9 @@ def fit(p: Pixels, width: int, height: int, mode: str, gravity: str = "center",
 def warp(p: Pixels, width: int, height: int, sx: str, sy: str, background: Sequence[int] | None = None, clamp_edges: bool = False, drops: int = 9) -> Pixels:
     """Gather each output pixel from a fractional source place by four bilinear taps.
 
-    ``sx`` and ``sy`` are doubles of the output's x and y, in pixel middles.  Outside is the background or clear, or the
-    edge's sample with ``clamp_edges``.  Coordinates are rounded to ``drops`` digits, so that engines agree on edges.
+    ``sx`` and ``sy`` are doubles of the output's x and y, in pixel middles.  Outside, from half a pixel before the first
+    middle and half a pixel behind the last, is the background or clear, or the edge's sample with ``clamp_edges``.
+    Coordinates are rounded to ``drops`` digits, so that engines agree on edges.
     """
     fill = tuple(background) if background is not None else (0, 0, 0, 0)
     at = f"(SELECT g.image_id, g.y, g.x, round({sx}, {drops}) AS sx, round({sy}, {drops}) AS sy FROM {G.grid(p, width, height)} g)"
@@ -169,7 +188,7 @@ def warp(p: Pixels, width: int, height: int, sx: str, sy: str, background: Seque
     corner = (
         f"(SELECT q.image_id, q.y, q.x, least(greatest({p.floor('q.sx')} + k.dx, 0), {p.width - 1}) AS jx, least(greatest({p.floor('q.sy')} + k.dy, 0), {p.height - 1}) AS jy, "
         f"(CASE WHEN k.dx = 1 THEN {fx} ELSE 1e0 - {fx} END) * (CASE WHEN k.dy = 1 THEN {fy} ELSE 1e0 - {fy} END) AS w FROM {at} q CROSS JOIN {taps_}"
-        + ("" if clamp_edges else f" WHERE q.sx > -1e0 AND q.sx < {p.width} AND q.sy > -1e0 AND q.sy < {p.height}")
+        + ("" if clamp_edges else f" WHERE q.sx >= -0.5e0 AND q.sx < {num(p.width - 0.5)} AND q.sy >= -0.5e0 AND q.sy < {num(p.height - 0.5)}")
         + ")"
     )
     # a fixed order of the four products keeps double sums equal whatever the order of rows
@@ -188,20 +207,23 @@ def affine(p: Pixels, width: int, height: int, inverse: Sequence[float], backgro
 
 
 def rotate(p: Pixels, degrees: float, background=None) -> Pixels:
-    """Any angle, clockwise, on a canvas that holds the turned image; multiples of 90 are exact."""
+    """Any angle, clockwise, on a canvas of the turned image's rounded extent; multiples of 90 are exact."""
     turns = degrees / 90
-    if turns == int(turns):
-        return [lambda q: q, G.rotate90, G.rotate180, G.rotate270][int(turns) % 4](p)
+    whole = math.trunc(turns + math.copysign(0.5, turns))
+    if abs(turns - whole) < 1e-4:
+        return [lambda q: q, G.rotate90, G.rotate180, G.rotate270][whole % 4](p)
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    w, h = (math.ceil(abs(c) * p.width + abs(s) * p.height - 1e-6), math.ceil(abs(s) * p.width + abs(c) * p.height - 1e-6))
+    w, h = int(abs(c) * p.width + abs(s) * p.height + 0.5), int(abs(s) * p.width + abs(c) * p.height + 0.5)
     return affine(p, w, h, (c, s, 0, -s, c, 0), background)
 
 
 def shear(p: Pixels, kx: float, ky: float, background=None) -> Pixels:
+    """x + kx y, ky x + y from the first corner, moved into the canvas where a factor is negative."""
     det = 1 - kx * ky
-    check(abs(det) > 1e-6, "shear")
-    w, h = math.ceil(p.width + abs(kx) * p.height), math.ceil(p.height + abs(ky) * p.width)
-    return affine(p, w, h, (1 / det, -kx / det, 0, -ky / det, 1 / det, 0), background)
+    check(abs(det) >= 1e-4, "shear")
+    w, h = int(p.width + abs(kx) * p.height + 0.5), int(p.height + abs(ky) * p.width + 0.5)
+    x, y = f"(g.x + {num(0.5 - max(0.0, -kx * p.height))})", f"(g.y + {num(0.5 - max(0.0, -ky * p.width))})"
+    return warp(p, w, h, f"{num(1 / det)} * {x} + {num(-kx / det)} * {y} - 0.5e0", f"{num(-ky / det)} * {x} + {num(1 / det)} * {y} - 0.5e0", background)
 
 
 def homography(quad: Sequence[float], width: int, height: int) -> list[float]:
@@ -223,11 +245,15 @@ def homography(quad: Sequence[float], width: int, height: int) -> list[float]:
 
 
 def perspective(p: Pixels, quad: Sequence[float], background=None) -> Pixels:
-    """The image drawn into a quadrilateral of a canvas of its own extent."""
-    m = homography(quad, p.width, p.height)
+    """The image drawn into a quadrilateral, on a canvas of that one's rounded box."""
+    left, top = min(quad[::2]), min(quad[1::2])
+    w, h = int(max(quad[::2]) - left + 0.5), int(max(quad[1::2]) - top + 0.5)
+    check(w > 0 and h > 0, "quadrilateral")
+    m = homography([v - (top if i % 2 else left) for i, v in enumerate(quad)], p.width, p.height)
     x, y = "(g.x + 0.5e0)", "(g.y + 0.5e0)"
     line = lambda i: f"({num(m[i])} * {x} + {num(m[i + 1])} * {y} + {num(m[i + 2])})"
-    return warp(p, p.width, p.height, f"{line(0)} / {line(6)} - 0.5e0", f"{line(3)} / {line(6)} - 0.5e0", background)
+    below = f"(CASE WHEN abs({line(6)}) < 1e-6 THEN 1e-6 ELSE {line(6)} END)"
+    return warp(p, w, h, f"{line(0)} / {below} - 0.5e0", f"{line(3)} / {below} - 0.5e0", background)
 
 
 def _polar(p: Pixels) -> tuple[str, str, str]:
@@ -247,69 +273,94 @@ def swirl(p: Pixels, degrees: float) -> Pixels:
     """A turn that falls with the square of the distance from the middle."""
     dx, dy, d = _polar(p)
     span = math.hypot(p.width / 2, p.height / 2)
-    t = f"({num(math.radians(degrees))} * (1e0 - {d} / {num(span)}) * (1e0 - {d} / {num(span)}))"
+    near = f"greatest(0e0, 1e0 - {d} / {num(span)})"
+    t = f"({num(math.radians(degrees))} * {near} * {near})"
     return warp(p, p.width, p.height, f"{dx} * cos({t}) - {dy} * sin({t}) + {num(p.width / 2 - 0.5)}", f"{dx} * sin({t}) + {dy} * cos({t}) + {num(p.height / 2 - 0.5)}")
 
 
 def polar(p: Pixels, inverse: bool = False) -> Pixels:
-    """Rectangle to disc, or back: x is the angle from the top, y the radius."""
-    span = min(p.width, p.height) / 2
+    """Rectangle to disc, or back: x is the angle, from straight down all round, and y the radius up to half the diagonal."""
+    span = math.hypot(p.width / 2, p.height / 2)
     if inverse:
-        t, r = f"((g.x + 0.5e0) * {num(2 * math.pi / p.width)})", f"((g.y + 0.5e0) * {num(span / p.height)})"
+        t, r = f"((g.x + 0.5e0) * {num(2 * math.pi / p.width)} - {num(math.pi)})", f"((g.y + 0.5e0) * {num(span / p.height)})"
         return warp(p, p.width, p.height, f"{num(p.width / 2)} + {r} * sin({t}) - 0.5e0", f"{num(p.height / 2)} - {r} * cos({t}) - 0.5e0")
     dx, dy, d = _polar(p)
-    t = f"(atan2({dx}, -({dy})) + CASE WHEN {dx} < 0e0 THEN {num(2 * math.pi)} ELSE 0e0 END)"
+    t = f"(atan2({dx}, -({dy})) + {num(math.pi)})"
     return warp(p, p.width, p.height, f"{t} * {num(p.width / 2 / math.pi)} - 0.5e0", f"{d} * {num(p.height / span)} - 0.5e0")
 
 
 def arc(p: Pixels, degrees: float, background=None) -> Pixels:
-    """Columns lifted by a parabola; the canvas grows by |degrees| / 180 of half the height."""
-    grow = abs(degrees) / 180 * p.height / 2
-    h = p.height + math.ceil(grow)
+    """Columns moved by a parabola that is 0 in the middle; the canvas grows by |degrees| / 180 of half the height."""
+    check(-180 <= degrees <= 180, "arc")
+    if not degrees:
+        return p
+    bend = degrees / 180 * p.height / 2
     u = f"((g.x + 0.5e0 - {num(p.width / 2)}) / {num(p.width / 2)})"
-    lift = f"{num(grow)} * (1e0 - {u} * {u})" if degrees < 0 else f"{num(grow)} * {u} * {u}"
-    return warp(p, p.width, h, "g.x * 1e0", f"g.y - ({lift})", background)
+    return warp(p, p.width, p.height + int(abs(bend)), "g.x * 1e0", f"g.y - {num(bend)} * {u} * {u}", background)
 
 
-def _trail(p: Pixels, places: list[tuple[Callable[[Pixels], str], Callable[[Pixels], str]]]) -> Pixels:
-    """The rounded mean of several clamped gathers."""
-    parts = [warp(p, p.width, p.height, fx(p), fy(p), clamp_edges=True).sql for fx, fy in places]
-    union = " UNION ALL ".join(f"({s})" for s in parts)
-    n = len(parts)
-    body = ", ".join(f"{p.div(f'CAST(sum({c}) AS BIGINT) + {n // 2}', str(n))} AS {c}" for c in CHANNELS)
-    return p.of(f"SELECT image_id, y, x, {body} FROM ({union}) u GROUP BY image_id, y, x")
+def _trail(p: Pixels, names: Sequence[str], rows: Sequence[Sequence[float]], sx: str, sy: str) -> Pixels:
+    """The rounded mean of several clamped gathers, one for each row of a small table ``k`` of numbers.
+
+    ``sx`` and ``sy`` are in samples, of the pixel ``g`` and the row ``k``.  Each gather is rounded like one of its own.
+    """
+    steps = p.values(["i", *names], [(i, *map(float, r)) for i, r in enumerate(rows)], "k")
+    at = f"(SELECT g.image_id, g.y, g.x, k.i, round({sx}, 9) AS sx, round({sy}, 9) AS sy FROM ({p.sql}) g CROSS JOIN {steps})"
+    corners = p.values(["dx", "dy"], [(0, 0), (1, 0), (0, 1), (1, 1)], "e")
+    part = lambda axis: f"(CASE WHEN e.d{axis} = 1 THEN q.s{axis} - floor(q.s{axis}) ELSE 1e0 - (q.s{axis} - floor(q.s{axis})) END)"
+    place = lambda axis, last: f"least(greatest({p.floor(f'q.s{axis}')} + e.d{axis}, 0), {last}) AS j{axis}"
+    wide = f"(SELECT q.image_id, q.y, q.x, q.i, {place('x', p.width - 1)}, {place('y', p.height - 1)}, CAST(floor({part('x')} * {part('y')} * 16777216e0 + 0.5e0) AS BIGINT) AS w FROM {at} q CROSS JOIN {corners})"
+    sums = ", ".join(f"least(255, {p.shr(f'CAST(sum(n.w * t.{c}) AS BIGINT) + 8388608', 24)}) AS {c}" for c in CHANNELS)
+    each = f"(SELECT n.image_id, n.y, n.x, n.i, {sums} FROM {wide} n JOIN ({p.sql}) t ON t.image_id = n.image_id AND t.y = n.jy AND t.x = n.jx GROUP BY n.image_id, n.y, n.x, n.i)"
+    body = ", ".join(f"{p.div(f'CAST(sum({c}) AS BIGINT) + {len(rows) // 2}', str(len(rows)))} AS {c}" for c in CHANNELS)
+    return p.of(f"SELECT image_id, y, x, {body} FROM {each} v GROUP BY image_id, y, x")
+
+
+def _along(strength: float) -> list[float]:
+    """Places from -1/2 to 1/2, one more than the rounded strength, at most 129."""
+    n = min(128, max(1, int(strength + 0.5)))
+    return [i / n - 0.5 for i in range(n + 1)]
+
+
+def _from_middle(p: Pixels) -> tuple[str, str]:
+    """Distances of a sample's place from half the extents, which is half a pixel behind the middle one."""
+    return f"(g.x - {num(p.width / 2)})", f"(g.y - {num(p.height / 2)})"
 
 
 def motion_blur(p: Pixels, length: float, angle: float) -> Pixels:
-    """Samples along a line, one more than the rounded length, at most 129."""
-    n = min(128, max(1, int(length + 0.5))) + 1
+    """The mean along a line."""
+    check(length >= 0, "motion blur")
+    if not length:
+        return p
     c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-    return _trail(p, [(lambda _, t=t: f"g.x + {num(c * t)}", lambda _, t=t: f"g.y + {num(s * t)}") for t in (length * (i / (n - 1) - 0.5) for i in range(n))])
+    return _trail(p, ["ax", "ay"], [(c * t * length, s * t * length) for t in _along(length)], "g.x + k.ax", "g.y + k.ay")
 
 
-def radial_blur(p: Pixels, degrees: float, steps: int = 5) -> Pixels:
-    dx, dy, _ = _polar(p)
-    out = []
-    for i in range(steps):
-        t = math.radians(degrees) * (i / (steps - 1) - 0.5)
-        c, s = math.cos(t), math.sin(t)
-        out.append((lambda q, c=c, s=s: f"{dx} * {num(c)} - {dy} * {num(s)} + {num(q.width / 2 - 0.5)}", lambda q, c=c, s=s: f"{dx} * {num(s)} + {dy} * {num(c)} + {num(q.height / 2 - 0.5)}"))
-    return _trail(p, out)
+def radial_blur(p: Pixels, degrees: float) -> Pixels:
+    """The mean along an arc around the middle."""
+    check(degrees >= 0, "radial blur")
+    if not degrees:
+        return p
+    dx, dy = _from_middle(p)
+    turns = [math.radians(t * degrees) for t in _along(degrees)]
+    return _trail(p, ["c", "s"], [(math.cos(t), math.sin(t)) for t in turns], f"{num(p.width / 2)} + {dx} * k.c - {dy} * k.s", f"{num(p.height / 2)} + {dx} * k.s + {dy} * k.c")
 
 
-def zoom_blur(p: Pixels, strength: float, steps: int = 5) -> Pixels:
-    """Samples along rays from the middle, one per cent for each unit of strength."""
-    dx, dy, _ = _polar(p)
-    ks = [1 - strength / 100 * i / (steps - 1) for i in range(steps)]
-    return _trail(p, [(lambda q, k=k: f"{dx} * {num(k)} + {num(q.width / 2 - 0.5)}", lambda q, k=k: f"{dy} * {num(k)} + {num(q.height / 2 - 0.5)}") for k in ks])
+def zoom_blur(p: Pixels, strength: float) -> Pixels:
+    """The mean along a ray from the middle, to both sides of a place; one per cent of the way for each unit of strength."""
+    check(strength >= 0, "zoom blur")
+    if not strength:
+        return p
+    dx, dy = _from_middle(p)
+    return _trail(p, ["z"], [(1 + t * strength / 100,) for t in _along(strength)], f"{num(p.width / 2)} + {dx} * k.z", f"{num(p.height / 2)} + {dy} * k.z")
 
 
 def chromatic_aberration(p: Pixels, amount: float) -> Pixels:
     """Red is sampled further out, blue further in, by amount over the half diagonal."""
     from pixelmill.operators.stencil import paired
 
-    dx, dy, _ = _polar(p)
-    k = amount / math.hypot(p.width / 2, p.height / 2)
-    move = lambda f: warp(p, p.width, p.height, f"{dx} * {num(f)} + {num(p.width / 2 - 0.5)}", f"{dy} * {num(f)} + {num(p.height / 2 - 0.5)}", clamp_edges=True)
-    red = p.of(f"SELECT image_id, y, x, o_r AS r, g, b, a FROM {paired(p, move(1 + k))} u")
-    return p.of(f"SELECT image_id, y, x, r, g, o_b AS b, a FROM {paired(red, move(1 - k))} u")
+    dx, dy = _from_middle(p)
+    k = abs(amount) / math.hypot(p.width / 2, p.height / 2)
+    move = lambda f: warp(p, p.width, p.height, f"g.x + {dx} * {num(f)}", f"g.y + {dy} * {num(f)}", clamp_edges=True)
+    red = p.of(f"SELECT image_id, y, x, o_r AS r, g, b, a FROM {paired(p, move(k))} u")
+    return p.of(f"SELECT image_id, y, x, r, g, o_b AS b, a FROM {paired(red, move(-k))} u")

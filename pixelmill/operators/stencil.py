@@ -54,8 +54,8 @@ def with_other(p: Pixels, other: Pixels, form, alpha: bool = False) -> Pixels:
 
 def unsharp_mask(p: Pixels, sigma: float, amount: float, threshold: float = 0.0) -> Pixels:
     check(sigma >= 0 and amount >= 0 and threshold >= 0, "unsharp")
-    t = num(threshold)
-    return with_other(p, gaussian_blur(p, sigma), lambda c, o: f"CASE WHEN {c} - {o} > -{t} AND {c} - {o} < {t} THEN {c} ELSE {p.round8(f'{c} + {num(amount)} * ({c} - {o})')} END")
+    t = int(threshold)
+    return with_other(p, gaussian_blur(p, sigma), lambda c, o: f"CASE WHEN abs({c} - {o}) < {t} THEN {c} ELSE {p.round8(f'{c} + {num(amount)} * ({c} - {o})')} END")
 
 
 def sharpen(p: Pixels, amount: float) -> Pixels:
@@ -93,8 +93,8 @@ def convolve3(p: Pixels, kernel: list[int], divisor: int = 1, offset: int = 0) -
 
 
 def emboss(p: Pixels, strength: float) -> Pixels:
-    # The relief kernel of weight one.
-    return convolve3(p, [-2, -1, 0, -1, 1, 1, 0, 1, 2], 1, int(strength))
+    # The relief kernel of weight zero.
+    return convolve3(p, [-2, -1, 0, -1, 0, 1, 0, 1, 2], 1, int(strength))
 
 
 def sobel(p: Pixels) -> Pixels:
@@ -178,23 +178,25 @@ def blur_region(p: Pixels, x: int, y: int, width: int, height: int, sigma: float
 
 
 def glow(p: Pixels, sigma: float, strength: float) -> Pixels:
-    """The image screened with its blur, weakened by strength in 1/256."""
-    k = int(min(1.0, max(0.0, strength)) * 256 + 0.5)
+    """The image screened with its blur times strength, which has no upper bound."""
+    check(sigma >= 0 and strength >= 0, "glow")
 
     def screen(c: str, o: str) -> str:
-        lit = f"(({o} * {k} + 128) >> 8)"
-        return f"({c} + {lit} - {p.div(f'{c} * {lit} + 127', '255')})"
+        base, lit = f"({c} / 255e0)", f"({num(strength)} * {o} / 255e0)"
+        return p.round8(f"255e0 * ({base} + {lit} - {base} * {lit})")
 
     return with_other(p, gaussian_blur(p, sigma), screen)
 
 
-def drop_shadow(p: Pixels, dx: int, dy: int, sigma: float, color=(0, 0, 0, 128)) -> Pixels:
-    """The image on a larger canvas over its own blurred, toned and shifted alpha."""
+def drop_shadow(p: Pixels, dx: int, dy: int, sigma: float, color=(0, 0, 0, 255)) -> Pixels:
+    """The image on a larger canvas over its own toned, shifted and blurred alpha; the tone's alpha does not count."""
     from pixelmill.operators import draw, geometry
 
-    pad = int(3 * sigma) + 1
+    check(sigma >= 0, "sigma")
+    pad = int(3 * sigma + 1)
     left, top, right, bottom = (pad + max(0, -dx), pad + max(0, -dy), pad + max(0, dx), pad + max(0, dy))
     base = geometry.expand(p, left, top, right, bottom, (0, 0, 0, 0))
-    shade = p.select(str(color[0]), str(color[1]), str(color[2]), p.div(f"a * {color[3]} + 127", "255"))
-    moved = geometry.place(shade, base.width, base.height, left + dx, top + dy, (*color[:3], 0))
+    # a clear pixel of the silhouette leaves the canvas clear, so it has no tone
+    shade = p.select(*(f"CASE WHEN a > 0 THEN {v} ELSE 0 END" for v in color[:3]))
+    moved = geometry.place(shade, base.width, base.height, left + dx, top + dy, (0, 0, 0, 0))
     return draw.composite(gaussian_blur(moved, sigma), base)

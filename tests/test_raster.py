@@ -139,5 +139,11 @@ def test_background_fill(spark):
 
 
 def test_polygon_spans():
-    test = geometry.polygon_test([0, 4, 4, 0], [0, 0, 4, 4], 8)
-    assert "WHEN y = 3" in test and "WHEN y = 4" not in test
+    square = lambda half: geometry.polygon_spans([x + half for x in (0, 4, 4, 0)], [y + half for y in (0, 0, 4, 4)], 8)
+    assert square(0) == {y: [(0, 3)] for y in range(4)}  # a continuous path from edge to edge
+    assert square(0.5) == {y: [(0, 4)] for y in range(4)}  # vertices that name pixels
+
+
+def test_span_tests_count_layers():
+    assert geometry.span_tests({2: [(1, 4), (3, 6)], 5: [(0, 0)]}) == ["(CASE WHEN y = 2 THEN x BETWEEN 1 AND 6 WHEN y = 5 THEN x BETWEEN 0 AND 0 ELSE false END)", "(CASE WHEN y = 2 THEN x BETWEEN 3 AND 4 ELSE false END)"]
+    assert geometry.span_tests({}) == ["false"]
