@@ -86,21 +86,42 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
     return df.mapInArrow(run, schema)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch whose texts in ``column`` hold about ``limit`` bytes; a longer row is a slice of its own."""
+def slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Places (start, end) of runs of texts that hold about ``limit`` bytes; a longer text is a run of its own."""
     start, held = 0, 0
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    sizes = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
     for i, size in enumerate(sizes):
         if held and held + size > limit:
-            yield batch.slice(start, i - start)
+            yield start, i
             start, held = i, 0
         held += int(size)
-    if start < batch.num_rows:
-        yield batch.slice(start)
+    if start < len(column):
+        yield start, len(column)
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts in ``column`` hold about ``limit`` bytes."""
+    for start, end in slices(batch.column(column), limit):
+        yield batch.slice(start, end - start)
+
+
+def text_function(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """A column function of whole texts that sends nothing but the texts to Python.
+
+    ``make`` is called once in a task; what it returns gets about a megabyte of texts at a time.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = make()
+        for whole in batches:
+            out = [found(whole.slice(a, b - a)) for a, b in slices(whole)]
+            yield pa.concat_arrays(out) if out else found(whole)
+
+    return F.arrow_udf(run, kind)
 
 
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """Mark a table for broadcast if it holds at most ``rows`` rows; a larger one is left to a shuffled join."""
+    """Mark a written table for broadcast if it holds at most ``rows`` rows; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
@@ -118,23 +139,32 @@ def prefix_sums(
 
     The order is ``coarse`` (few distinct integers), then a hash bucket of ``spread``, then ``order``, which must be
     total up to rows that are equal.  No task gets a whole group: rows are dealt by (by, coarse, bucket); the number of
-    buckets grows with ``rows``, the table's row count; bucket totals are summed in a small table and joined back on
-    the same keys.
+    buckets grows with ``rows``, the table's row count; bucket totals are summed in two levels and joined back on the
+    same keys.
     """
     buckets = max(32, -(-rows // part_rows))
+    lot = max(1, round(buckets**0.5))
     keys = [*by, "_coarse", "_bucket"]
     df = df.withColumns({"_coarse": coarse.cast("int"), "_bucket": F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(buckets)).cast("int")})
     df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
-    totals = df.groupBy(*keys).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
-    before = Window.partitionBy(*by).orderBy("_coarse", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in values))
+    # totals of buckets, and of lots of buckets: no task sums more than about the root of a group's buckets in order
+    totals = df.groupBy(*keys).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values)).withColumn("_lot", F.floor(F.col("_bucket") / lot).cast("int"))
+    lots = totals.groupBy(*by, "_coarse", "_lot").agg(*(F.sum(f"_t_{k}").alias(f"_l_{k}") for k in values))
+    running = lambda w, name, k: F.coalesce(F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{k}")
+    outer = lots.select(*by, "_coarse", "_lot", *(running(Window.partitionBy(*by).orderBy("_coarse", "_lot"), f"_l_{k}", k) for k in values))
+    within = totals.select(*keys, "_lot", *(running(Window.partitionBy(*by, "_coarse", "_lot").orderBy("_bucket"), f"_t_{k}", k) for k in values))
+    offsets = _joined(within, outer, [*by, "_coarse", "_lot"], "_y_", {f"_o_{k}": "_x_" for k in values})
+    offsets = offsets.select(*keys, *((F.col(f"_o_{k}") + F.col(f"_x__o_{k}")).alias(f"_o_{k}") for k in values))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({f"_p_{k}": F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0)) for k in values})
-    offsets = offsets.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    joined = _joined(df, offsets, keys, "_k_", {})
+    return joined.withColumns({k: F.col(f"_p_{k}") + F.col(f"_o_{k}") for k in values}).drop(*keys[len(by) :], *(f"_{x}_{k}" for k in values for x in "vpo"))
+
+
+def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str], mark: str, renamed: dict[str, str]) -> DataFrame:
+    """An inner join on keys that may be null; columns in ``renamed`` get that prefix on the right side."""
+    right = right.withColumnsRenamed({k: f"{mark}{k}" for k in keys} | {k: f"{x}{k}" for k, x in renamed.items()})
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    joined = df.join(offsets, same)
-    return joined.withColumns({k: F.col(f"_p_{k}") + F.col(f"_o_{k}") for k in values}).drop(
-        *keys[len(by) :], *(f"_k_{k}" for k in keys), *(f"_{x}_{k}" for k in values for x in "vpo")
-    )
+        same = same & F.col(k).eqNullSafe(F.col(f"{mark}{k}"))
+    return left.join(right, same).drop(*(f"{mark}{k}" for k in keys))

@@ -5,25 +5,27 @@ its words, word pairs, pairs with one word skipped, and beginnings of words (4 t
 Per-coordinate learning rates and an L1 term leave few weights, which are broadcast; what a document holds besides them
 does not count.  Scores need one pass over the texts and no shuffle.
 
-Training takes at most ``max_rows`` labelled rows (documented bound; those with the least hash of their doc_id) in one task;
-the weights do not depend on the number of partitions.  Labels, languages, sources and ids are no inputs of a score.
+Training takes at most ``max_rows`` labelled documents (documented bound; those with the least hash of their doc_id) in one
+task, one row of each: of rows with one doc_id the one with the least hash of its text.  So the bound holds for rows too, and
+the weights do not depend on the order or number of partitions.  Labels, languages, sources and ids are no inputs of a score.
 
 A null or empty text has the score of the bias alone.  A doc_id with several labels counts as toxic if at least half of
-them do; null labels do not count.  Without any label every score is that of an untrained model, 0.5, and predicted 0.
-Repeated rows each give a row.
+them do; null labels and null ids do not count.  Without any label every score is that of an untrained model, 0.5, and so
+predicted 1; :func:`not_toxic` then rejects nothing.  Repeated rows each give a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelmill.llm import textbits as tb
-from pixelmill.llm.common import arrow_map, pieces
+from pixelmill.llm.common import pieces, text_function
 
 U = np.uint64
 BITS = 20
@@ -82,9 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
     chosen = folded.groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("first")).select("doc_id", "label", "first.text")
 
     def fit(batches):
-        seen: dict[tuple[int, int], tuple[np.ndarray, int]] = {}
+        seen: dict[int, tuple[np.ndarray, int]] = {}
         for whole in batches:
             for batch in pieces(whole, "text"):
                 at, doc = features(batch.column("text"))
@@ -93,9 +96,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
                 ids, ys = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
                 for i in range(batch.num_rows):
                     own = np.unique(at[order[cuts[i] : cuts[i + 1]]])
-                    seen[ids[i], i if (ids[i], 0) in seen else 0] = (np.append(own, 1 << BITS).astype(np.int32), ys[i])
+                    seen[ids[i]] = (np.append(own, 1 << BITS).astype(np.int32), ys[i])
         model = Ftrl(alpha, beta, l1, l2)
-        keys = sorted(seen, key=lambda k: (int(tb.mix(np.array([k[0]], np.int64).view(U))[0]), k))
+        keys = sorted(seen, key=lambda k: int(tb.mix(np.array([k], np.int64).view(U))[0]))
         for _ in range(epochs):
             for k in keys:
                 model.learn(*seen[k])
@@ -103,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, epochs: int
         w = model.weights(used)
         yield pa.RecordBatch.from_arrays([pa.array(used[w != 0].astype(np.int64)), pa.array(w[w != 0])], names=["at", "weight"])
 
-    return {r[0]: r[1] for r in rows.repartition(1).mapInArrow(fit, "at long, weight double").collect()}
+    return {r[0]: r[1] for r in one.repartition(1).mapInArrow(fit, "at long, weight double").collect()}
 
 
 def held_out(column: str):
@@ -111,32 +114,26 @@ def held_out(column: str):
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def classified(docs: DataFrame, weights: dict[int, float], keep: list[str]) -> DataFrame:
-    """k0, k1, ... (the columns ``keep``, whatever their names) and the score of each row.
-
-    ``weights`` is small by the L1 term and the training bound; it is broadcast.
-    """
+def classifier(spark: SparkSession, weights: dict[int, float]) -> Callable[[Column], Column]:
+    """The score of a column of texts.  ``weights`` is small by the L1 term and the training bound; it is broadcast."""
     numbers = np.fromiter(sorted(weights), np.int64, len(weights))
     values = np.fromiter((weights[i] for i in sorted(weights)), np.float64, len(weights))
-    sent = docs.sparkSession.sparkContext.broadcast((numbers, values))
-    held: list[np.ndarray] = []
-
-    def run(whole: pa.RecordBatch):
-        if not held:
-            table = np.zeros((1 << BITS) + 1)
-            table[sent.value[0]] = sent.value[1]
-            held.append(table)
-        table = held[0]
-        for batch in pieces(whole, "_text"):
-            at, doc = features(batch.column("_text"))
+    sent = spark.sparkContext.broadcast((numbers, values))
+
+    def make():
+        table = np.zeros((1 << BITS) + 1)
+        table[sent.value[0]] = sent.value[1]
+
+        def scores(texts: pa.Array) -> pa.Array:
+            at, doc = features(texts)
             hit = table[at] != 0
             pairs = np.unique(doc[hit] * (1 << BITS) + at[hit])
-            total = np.bincount(pairs >> BITS, weights=table[pairs & ((1 << BITS) - 1)], minlength=batch.num_rows) + table[1 << BITS]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], names=[*batch.schema.names[:-1], "score"])
+            total = np.bincount(pairs >> BITS, weights=table[pairs & ((1 << BITS) - 1)], minlength=len(texts)) + table[1 << BITS]
+            return pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+        return scores
 
-    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col("text").alias("_text"))
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return arrow_map(rows, run, ", ".join([*kinds, "score double"]))
+    return text_function(make, "double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **training) -> DataFrame:
@@ -144,18 +141,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     The operator's columns take the place of kept ones of the same name.
     """
-    keep = keep or ["doc_id"]
-    weights = train(docs, labels, **training)
-    got = classified(docs, weights, keep)
-    predicted = (F.col("score") >= 0.5).cast("int") if weights else F.lit(0)
-    named = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep) if c not in ("score", "predicted")]
-    return got.select(*named, "score", predicted.alias("predicted"))
+    score = classifier(docs.sparkSession, train(docs, labels, **training))
+    kept = [F.col(c) for c in keep or ["doc_id"] if c not in ("score", "predicted")]
+    return docs.select(*kept, score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, **training) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with all their columns."""
+    """The rows of ``docs`` that the model does not reject, with all their columns; all rows if there is no label."""
     weights = train(docs, labels, **training)
     if not weights:
         return docs
-    kept = classified(docs, weights, docs.columns).where("score < 0.5")
-    return kept.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return docs.where(classifier(docs.sparkSession, weights)(F.col("text")) < 0.5)

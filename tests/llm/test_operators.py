@@ -1,12 +1,15 @@
 """Every operator and stage on odd tables: nulls, empty and long texts, ties, repeated rows, no rows, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,11 +19,12 @@ from pixelmill.llm.decontam import contaminated, with_hits
 from pixelmill.llm.fingerprints import compare_with_edits, fingerprints, parse_likeness
 from pixelmill.llm.jaccard import Bands, components, jaccard_components
 from pixelmill.llm.licenses import find_licenses, license_summary
-from pixelmill.llm.mixing import balanced_rates, mix, source_targets
+from pixelmill.llm.mixing import balanced, mix, source_targets
 from pixelmill.llm.pii import find_pii
+from pixelmill.llm.queries import ORACLES
 from pixelmill.llm.secrets import find_secrets
 from pixelmill.llm.sharding import shard
-from pixelmill.llm.toxicity import classified, held_out, not_toxic, toxicity, train
+from pixelmill.llm.toxicity import BITS, features, held_out, not_toxic, toxicity, train
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,6 +138,11 @@ def test_contaminated_matches_brute_force(spark, docs, rows):
     assert got == want and len(want) > 8
     assert Counter(tuple(r)[:4] for r in contaminated(table, bench, block_bytes=300).collect()) == want
     assert contaminated(table, bench.limit(0)).collect() == []
+    con = duckdb.connect()
+    for name, kinds, values in (("documents", "doc_id BIGINT, text VARCHAR", [r[:2] for r in every]), ("benchmark", "item_id BIGINT, text VARCHAR", items)):
+        con.execute(f"CREATE TABLE {name} ({kinds})")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", values)
+    assert Counter(r[:4] for r in con.execute(ORACLES["op5_benchmark_decontamination"]).fetchall()) == want
 
 
 def test_mix_meets_its_targets(docs, rows):
@@ -163,10 +172,31 @@ def test_mix_meets_its_targets(docs, rows):
     assert Counter(map(str, got)) == Counter(map(str, mix(docs.repartition(3)).collect()))
 
 
-def test_newton_reaches_the_targets(spark):
-    sources = spark.createDataFrame([("a", 10), ("b", 1_000_000), ("c", 0), (None, 77)], "source string, source_size long")
-    for r in balanced_rates(source_targets(sources, 1.5, 2.0, (5, 2, 1)), 2.0).collect():
-        assert r.rate * r.source_size == pytest.approx(r.target)
+def test_rates_match_a_plain_solver(spark):
+    """Bisection on each source's dual over 50 documents, and the optimum's condition: log odds in proportion to sizes."""
+    rng = random.Random(12)
+    rows = [(rng.choice(["a", "b", "c", None]), rng.choice([0, 1, 7, 30, 200, 5000])) for _ in range(50)] + [("d", 0)]
+    sizes = spark.createDataFrame(rows, "source string, size long").groupBy("source", "size").agg(F.count("*").alias("n"))
+    sums = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    for r in balanced(sizes, source_targets(sums, 1.5, 2.0, (5, 2, 1)), 2).collect():
+        own = [n for s, n in rows if s == r.source and n]
+        if r.lam is None:
+            assert r.target in (0, pytest.approx(2 * sum(own)))
+            continue
+        mean = sum(own) / len(own)
+        total = lambda lam: sum(n * 2 / (1 + math.exp(-max(-700, min(700, lam * n / mean)))) for n in own)  # noqa: B023, E731
+        lo, hi = -1e4, 1e4
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if total(mid) < r.target else (lo, mid)
+        assert r.mean == pytest.approx(mean) and abs(total(r.lam) - r.target) <= 0.51 and abs(r.residual) <= 0.5
+        assert abs(total(lo) - total(r.lam)) <= 1.1
+    got = {}
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+    for r in mix(docs).where("rate > 0 and rate < 2 and size > 0").collect():
+        got.setdefault(r.source, []).append(math.log(r.rate / (2 - r.rate)) / r.size)
+        assert r.copies in (0, 1, 2)
+    assert got and all(max(x) - min(x) <= 1e-6 * max(map(abs, x)) + 1e-9 for x in got.values())
 
 
 def check_shards(got, rows, shards):
@@ -269,10 +299,41 @@ def test_toxicity_on_odd_tables(spark, docs, rows, empty):
     assert got.count() == len(rows)
     assert toxicity(empty, labels).collect() == []
     none = toxicity(docs, labels.limit(0)).collect()
-    assert {r.predicted for r in none} == {0} and all(r.score == 0.5 for r in none)
-    assert classified(empty, {}, ['doc_id']).collect() == []
+    assert {r.predicted for r in none} == {1} and all(r.score == 0.5 for r in none)
+    assert not_toxic(docs, labels.limit(0)).count() == len(rows)
     kept = not_toxic(docs, labels)
     assert kept.columns == docs.columns
+    assert kept.count() == toxicity(docs, labels).where("predicted = 0").count()
+
+
+def test_weights_match_a_scalar_ftrl_in_any_partitioning(spark):
+    """Plain FTRL-proximal over dictionaries; some doc_ids stand for several texts, of which one is learnt."""
+    docs, labels, _ = toxic_table(spark, 60)
+    docs = docs.unionByName(docs.where("doc_id % 7 = 3").withColumn("text", F.reverse("text"))).unionByName(docs.where("doc_id = 4"))
+    got = train(docs.coalesce(1), labels)
+    assert got == train(docs.repartition(7), labels) and len(got) > 10
+    text = {}
+    for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        text[r.doc_id] = min(text.get(r.doc_id, (r.h, r.text)), (r.h, r.text))
+    folded = {r.doc_id: r.toxic for r in labels.where(~held_out("doc_id")).collect()}
+    order = sorted(folded, key=lambda i: int(tb.mix(np.array([i], np.int64).view(np.uint64))[0]))
+    z, n, alpha, beta, l1, l2 = {}, {}, 0.5, 1.0, 3.0, 1.0
+
+    def weight(f):
+        lasso = 0.0 if f == 1 << BITS else l1
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= lasso else ((1 if v > 0 else -1) * lasso - v) / ((beta + n[f] ** 0.5) / alpha + l2)
+
+    for _ in range(4):
+        for i in order:
+            own = {*features(pa.array([text[i][1]]))[0].tolist(), 1 << BITS}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(map(weight, own)))))) - folded[i]
+            for f, w in [(f, weight(f)) for f in own]:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / alpha * w
+                n[f] = before + g * g
+    want = {f: w for f in z if (w := weight(f))}
+    assert set(want) == set(got) and all(abs(want[f] - got[f]) < 1e-9 for f in want)
 
 
 def test_operators_on_no_rows(empty, spark):
