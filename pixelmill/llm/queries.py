@@ -63,7 +63,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str, shards: int = 24) -> DataFram
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
 
 
 QUERIES = {
@@ -82,11 +82,13 @@ ORACLES: dict[str, str] = {
     "op5_benchmark_decontamination": r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
 d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 3, 2))) AS i) WHERE len(w) > 0),
-ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 3)) AS i) WHERE len(w) >= 5),
-n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id),
-m AS (SELECT doc_id, item_id, count(*) AS n_shared FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
+ks AS MATERIALIZED (SELECT *, row_number() OVER () AS item_row, least(5, len(w)) AS k FROM b WHERE len(w) > 0),
+bs AS (SELECT DISTINCT item_row, item_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM ks, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i)),
+dr AS MATERIALIZED (SELECT *, row_number() OVER () AS doc_row FROM d),
+ds AS (SELECT DISTINCT doc_row, doc_id, k, array_to_string(w[i:i+k-1], ' ') AS s FROM dr, (SELECT DISTINCT k FROM ks), LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) WHERE len(w) >= k),
+n AS (SELECT item_row, count(*) AS n_item FROM bs GROUP BY item_row),
+m AS (SELECT doc_row, doc_id, item_row, item_id, count(*) AS n_shared FROM ds JOIN bs USING (k, s) GROUP BY doc_row, doc_id, item_row, item_id)
 SELECT doc_id, item_id, CAST(n_item AS BIGINT) AS n_item, CAST(n_shared AS BIGINT) AS n_shared, n_shared / n_item AS containment
-FROM m JOIN n USING (item_id) WHERE n_shared * 100 >= 80 * n_item
+FROM m JOIN n USING (item_row) WHERE n_shared * 100 >= 80 * n_item
 """,
 }
