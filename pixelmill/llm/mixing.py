@@ -1,31 +1,38 @@
 """Mixing sources to target weights by entropy balancing, in DataFrame functions only.
 
-Each source has a target of tokens.  Among all document rates the ones of least relative entropy (with the documents'
-tokens as base measure) that meet the targets are exponentially tilted: rate = exp(lambda of the source).  The dual is
-convex and separable; Newton steps on lambda start at 0 and run on each source's token sum, which a map-side combined
-aggregation over all documents gives: the gradient at lambda is that sum times exp(lambda), less the target.
-
-Rates are rounded into whole copies in two passes without a random number.  First, systematic rounding: documents stand
-in an order fixed by hashes, and a document gets the number of multiples of one that its interval of accumulated rates
-holds, floor or ceil of its rate.  Then, what a source's copies miss of its target is made up by giving one copy more
-(or less) to its shortest documents, as long as each still fits, so the rest is about as long as a short document.
-No document gets more than ``cap`` copies.  Orders need prefix sums within a source, which may hold a third of all rows:
-see :func:`pixelmill.llm.common.prefix_sums`.
-
-Null texts have size 0; the null source is a source of its own and comes last.  A document of size 0 takes part with its
-rate but adds no token.  An empty table gives an empty result.  Rows with the same doc_id are separate rows.
+Each source has a target of tokens.  Among all rates of its documents from 0 to ``cap`` that meet the target, the ones of
+least relative entropy against one copy of each are exponentially tilted by the documents' sizes: the odds rate : (cap -
+rate) are those of one copy, times exp(lambda x), where x is the document's size over its source's mean.  The dual is convex
+in the sources' lambdas.  Newton steps run on all documents at once: the gradient (tokens at the present rates less the
+target) and the Hessian of each source come from one aggregation over all documents a step, pre-aggregated once to the
+number of documents of each source and size, of which the rate is a function.  A step that leaves the interval in which the
+solution is known to lie halves that interval instead.  Steps stop when every source is within half a token.  All sums are
+of decimals, so they do not depend on the order of rows.
+
+Rates are rounded into whole copies without a random number.  First, systematic rounding: documents stand in an order
+fixed by hashes, and a document gets the number of multiples of one that its interval of accumulated rates holds, floor or
+ceil of its rate.  Then what a source's copies miss of its target is made up by one copy more (or less) of some documents:
+first of documents in the order of a hash of at most an eighth of what is missing, then, for the little that is left, of
+the shortest.  No document gets more than ``cap`` copies.  Orders need prefix sums within a source, which may hold a third
+of all rows: see :func:`pixelmill.llm.common.prefix_sums`.
+
+Null texts have size 0; the null source is a source of its own and comes last.  A document of size 0 has the rate of one
+copy but adds no token.  An empty table gives an empty result.  Rows with the same doc_id are separate rows; equal rows may
+get different numbers of copies.  Texts are counted whole, whatever their length; columns besides those named are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pixelmill.llm.common import prefix_sums, small, written
+from pixelmill.llm.common import forget, prefix_sums, small, written
 
 # Fixed value: a word is a maximal run of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
-_STEPS = 24
+_STEPS = 100
 
 
 def word_count(text: Column) -> Column:
@@ -55,19 +62,43 @@ def source_targets(sources: DataFrame, share: float, cap: float, weights: tuple[
     return leveled.withColumn("target", target).select("source", "source_size", "target")
 
 
-def balanced_rates(targets: DataFrame, cap: float) -> DataFrame:
-    """Add ``rate``: Newton's iterations on the dual, all in one projection of the table of sources.
+def tilted(size: Column, mean: Column, lam: Column, cap: int) -> Column:
+    """The rate of documents of a size at lambda: ``cap`` times a logistic function that is 1 (cap / 2 if less) at 0."""
+    least = min(1.0, cap / 2)
+    return F.lit(float(cap)) / (F.lit(1.0) + F.exp(F.lit(math.log((cap - least) / least)) - lam * size / mean))
+
 
-    Above the solution a Newton step converges at once; below it a step may overshoot and is held to 4, which keeps the
-    iteration monotone afterwards.  A source without tokens has rate 0.
+def balanced(sizes: DataFrame, targets: DataFrame, cap: int, within: float = 0.5) -> DataFrame:
+    """source, source_size, target, mean, lam and residual (tokens at the rates less the target) for every source.
+
+    ``sizes`` are the numbers ``n`` of documents of each source and size.  A source without tokens or whose target is 0
+    has no lambda, nor has one whose target is ``cap`` times its size: rates are 0, or all ``cap``.
     """
-    held = targets.withColumn("lam", F.lit(0.0))
+    exact = lambda x: F.sum(F.round(x, 6).cast("decimal(38,6)")).cast("double")
+    documents = sizes.where("size > 0").groupBy(F.col("source").alias("_source")).agg(F.sum("n").alias("_n"))
+    state = targets.join(documents, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    free = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < F.lit(float(cap)) * F.col("source_size"))
+    state = state.select("source", "source_size", "target", (F.col("source_size") / F.col("_n")).alias("mean"), F.when(free, F.lit(0.0)).alias("lam"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(None).cast("double").alias("residual"))
+    state = written(state, "mix-dual")
     for _ in range(_STEPS):
-        mass = F.col("source_size") * F.exp(F.col("lam"))
-        step = F.when(mass > 0, (F.col("target") - mass) / mass).otherwise(F.lit(0.0))
-        held = held.withColumn("lam", F.col("lam") + F.greatest(F.lit(-4.0), F.least(F.lit(4.0), step)))
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.lit(float(cap)), F.exp("lam"))).otherwise(F.lit(0.0))
-    return held.withColumn("rate", rate).drop("lam")
+        here = small(state.where("lam is not null").withColumnRenamed("source", "_source"))
+        x = sizes.join(here, F.col("source").eqNullSafe(F.col("_source")))
+        rate = tilted(F.col("size"), F.col("mean"), F.col("lam"), cap)
+        mass = F.col("n") * F.col("size") * rate
+        sums = x.groupBy("source").agg(exact(mass).alias("_f"), exact(mass * F.col("size") / F.col("mean") * (1 - rate / float(cap))).alias("_g"))
+        now = state.drop("residual").join(sums.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        miss = F.col("_f") - F.col("target")
+        lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
+        now = now.select("source", "source_size", "target", "mean", "lam", lo.alias("lo"), hi.alias("hi"), miss.alias("residual"), F.when(F.col("_g") > 0, -miss / F.col("_g")).alias("step"))
+        inner = F.when(F.col("hi") == float("inf"), F.col("lo") + 4).when(F.col("lo") == float("-inf"), F.col("hi") - 4).otherwise((F.col("lo") + F.col("hi")) / 2)
+        to = F.col("lam") + F.col("step")
+        held = F.when((to > F.col("lo")) & (to < F.col("hi")) & (F.abs("step") <= 4), to).otherwise(inner)
+        lam = F.when(F.abs("residual") <= within, F.col("lam")).when(F.col("lam").isNotNull(), held)
+        before, state = state, written(now.select("source", "source_size", "target", "mean", lam.alias("lam"), "lo", "hi", "residual"), "mix-dual")
+        forget(before)
+        if not state.where(F.abs("residual") > within).limit(1).count():
+            break
+    return state
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, ...] = (5, 2, 1), carry: list[str] | None = None) -> DataFrame:
@@ -78,14 +109,19 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
     """
     carry = carry or []
     slim = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text", "source", "doc_id").alias("_mark"), *(F.col(c).alias(f"_c_{i}") for i, c in enumerate(carry)))
-    slim = written(slim, "mix-sizes")
-    rows = slim.count()
-    sums = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
-    rates = written(balanced_rates(source_targets(sums, share, cap, weights), cap), "mix-rates")
-    near = small(rates).withColumnRenamed("source", "_source")
+    slim = written(slim, "mix-rows")
+    sizes = written(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    rows = sizes.agg(F.sum("n")).first()[0] or 0
+    sums = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
+    state = balanced(sizes, source_targets(sums, share, cap, weights), cap)
+    forget(sizes)
+    near = small(state.select(F.col("source").alias("_source"), "source_size", "target", "mean", "lam"))
     dealt = slim.join(near, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    whole = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.lit(float(cap))).otherwise(F.lit(0.0))
+    rate = F.when(F.col("lam").isNull(), whole).otherwise(tilted(F.col("size"), F.col("mean"), F.col("lam"), cap))
+    dealt = dealt.withColumn("rate", rate).drop("lam", "mean")
 
-    # Systematic rounding in an order that mixes lengths: integers of 1e-9 keep the sums exact in any order.
+    # Systematic rounding in an order that mixes hashes within lengths: integers of 1e-9 keep the sums exact in any order.
     unit = 1_000_000_000
     dealt = dealt.withColumn("_r", F.round(F.col("rate") * unit).cast("long"))
     order = [F.col("_mark"), F.col("doc_id"), F.col("size")]
@@ -93,17 +129,22 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights: tuple[int, .
     first = prefix_sums(dealt, ["source"], -octave, order, F.col("_mark"), {"_at": F.col("_r")}, rows)
     half = F.lit(unit // 2)
     copies = F.floor((F.col("_at") + F.col("_r") + half) / unit) - F.floor((F.col("_at") + half) / unit)
-    first = written(first.withColumn("copies", F.least(F.lit(cap), copies).cast("int")).drop("_at", "_r"), "mix-first")
+    got = written(first.withColumn("copies", F.least(F.lit(cap), copies).cast("int")).drop("_at", "_r"), "mix-first")
+    forget(slim)
+    got = written(_made_up(got, cap, F.lit(0), order, 8, rows), "mix-second")
+    got = _made_up(got, cap, octave, [F.col("size"), *order], 1, rows)
+    return got.select(
+        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry))
+    )
+
 
-    # Make up for what is missing with the shortest documents that can take one copy more, or less.
-    gaps = first.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
+def _made_up(rows: DataFrame, cap: int, coarse: Column, order: list[Column], part: int, count: int) -> DataFrame:
+    """One copy more (or less) of documents in an order, each of at most 1 / ``part`` of what its source misses, while they fit."""
+    gaps = rows.groupBy("source").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("_gap"))
     gaps = small(written(gaps, "mix-gaps")).withColumnRenamed("source", "_source")
-    wide = first.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    wide = rows.join(gaps, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     able = (F.col("size") > 0) & F.when(F.col("_gap") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0)
-    room = F.when(able & (F.col("size") <= F.abs("_gap")), F.col("size")).otherwise(F.lit(0))
-    second = prefix_sums(wide.withColumn("_room", room), ["source"], octave, [F.col("size"), *order], F.col("_mark"), {"_used": F.col("_room")}, rows)
+    room = F.when(able & (F.col("size") * part <= F.abs("_gap")), F.col("size")).otherwise(F.lit(0))
+    summed = prefix_sums(wide.withColumn("_room", room), ["source"], coarse, order, F.col("_mark"), {"_used": F.col("_room")}, count)
     change = F.when((F.col("_room") > 0) & (F.col("_used") + F.col("_room") <= F.abs("_gap")), F.signum("_gap")).otherwise(F.lit(0)).cast("int")
-    second = second.withColumn("copies", (F.col("copies") + change).cast("int"))
-    return second.select(
-        "doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(F.col(f"_c_{i}").alias(c) for i, c in enumerate(carry))
-    )
+    return summed.withColumn("copies", (F.col("copies") + change).cast("int")).drop("_gap", "_room", "_used")

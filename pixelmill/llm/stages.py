@@ -52,16 +52,33 @@ def _one_row_each(docs: DataFrame, mark: Column) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text holds no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hidden = [c for c in docs.columns if c != "hits"]
+    if len(hidden) < len(docs.columns):  # a column of that name is the table's own
+        found = with_hits(docs.withColumnRenamed("hits", "_own_hits"), benchmark, [*hidden, "_own_hits"])
+        return found.where(F.size("hits") == 0).drop("hits").withColumnRenamed("_own_hits", "hits").select(*docs.columns)
     return with_hits(docs, benchmark, docs.columns).where(F.size("hits") == 0).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in as many copies as the mix takes of them; rows of equal doc_id, source and text share the largest number."""
-    mark = F.xxhash64("text", "source", "doc_id")
-    copies = mix(docs.withColumn("_row", mark), carry=["_row"]).groupBy("_row").agg(F.max("copies").alias("_copies"))
-    copies = written(copies, "copies")
-    joined = docs.withColumn("_row", mark).join(copies, "_row").where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Rows in as many copies as the mix takes of them.
+
+    Copies come back by two hashes of the row, the key of 128 bits that tells rows; rows that are equal in text, source
+    and doc_id are told by their order, so together they come in as many copies as the mix takes of all of them.  Null
+    texts have no words and the rate of one copy; ties, long texts and empty tables are as in :func:`mix`.
+    """
+    row = ["text", "source", "doc_id"]
+    marks = {"_row": F.xxhash64(*row), "_row2": F.xxhash64(F.lit(17), *row)}
+    keys = list(marks)
+    marked = docs.withColumns(marks)
+    copies = mix(marked, carry=keys).groupBy(*keys).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_equal"))
+    copies = written(copies.where("_copies > 0"), "copies")
+    joined = marked.join(copies, keys)
+    each = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
+    if not copies.where("_equal > 1").limit(1).count():
+        return joined.select(*docs.columns, each).select(*docs.columns)
+    one = joined.where("_equal = 1").select(*docs.columns, each).select(*docs.columns)
+    several = joined.where("_equal > 1").dropDuplicates(keys).select(*docs.columns, each).select(*docs.columns)
+    return one.unionByName(several)
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
