@@ -10,8 +10,8 @@ Afterwards sizes are made even: overfull shards release documents, unlinked ones
 these fill the gaps of the others, both by prefix sums (see :func:`pixelmill.llm.common.prefix_sums`).  So sizes differ
 by about one short document.  Slots are ranks within a shard, made the same way.
 
-Sizes are UTF-8 bytes plus 8; a null text has 8 and is linked with nothing.  Rows with the same doc_id are separate rows.
-An empty table gives an empty result.
+Sizes are UTF-8 bytes plus 8; a null text has 8 and is linked with nothing, whatever its doc_id.  Rows with the same doc_id
+are separate rows, empty texts are equal ones.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -113,8 +113,8 @@ def shard(docs: DataFrame, shards: int = 24, rounds: int = 3, evenings: int = 3)
         "doc_id",
         (F.coalesce(F.octet_length(text), F.lit(0)) + OVERHEAD).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
-        F.when(text.isNull(), F.xxhash64("doc_id", F.lit(1))).otherwise(F.xxhash64(text)).alias("k1"),
-        F.when(text.isNull(), F.lit(-1)).otherwise(F.xxhash64(F.lit(11), text)).cast("long").alias("k2"),
+        F.when(text.isNotNull(), F.xxhash64(text)).alias("k1"),  # null texts have no key and so no link
+        F.when(text.isNotNull(), F.xxhash64(F.lit(11), text)).alias("k2"),
         F.xxhash64("doc_id", text).alias("mark"),
     )
     base = written(base, "shard-base")
