@@ -11,7 +11,9 @@ has at least twice as many bigrams in common with its own template (a whole lice
 
 Templates are one-line mentions, the GNU header notices, opening paragraphs where they belong to one licence alone, and
 the whole texts in ``licences``.  AGPL-3.0 is made of GPL-3.0's text, see ``_affero``.  Null and empty texts match nothing;
-repeated rows each give a row; a template of fewer than two words is refused.
+repeated rows each give a row; an empty table gives an empty result; columns besides doc_id and text are not read.  Of
+matches with one Dice the longer goes first, then the one that begins first, then the name that sorts first.  A template
+of fewer than two words is refused.
 """
 
 from __future__ import annotations
@@ -182,6 +184,8 @@ class Scanner:
                     rows += [(*x, len(pieces) - 1) for x in self._windows(t, own, before, after)]
         if not rows:
             return []
+        rows.sort(key=lambda r: r[0])
+        reach = max(r[1] - r[0] for r in rows)
         # the greedy choice; what overlaps a kept window from the left is tried again up to where that begins
         start, end, piece = (np.array([r[c] for r in rows], np.int64) for c in (0, 1, 4))
         common, dice = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows])
@@ -190,16 +194,23 @@ class Scanner:
         heap, alive = [key(i) for i in range(len(rows))], np.ones(len(rows), bool)
         heapq.heapify(heap)
         kept: list[tuple[int, int, float, str]] = []
+        # windows stand by their starts and only get shorter, so those that overlap one are in a slice
+        around = lambda a, b: slice(*np.searchsorted(start, (a - reach, b + 1)).tolist())
         while heap:
             top = heapq.heappop(heap)
             i = top[-1]
             if not alive[i] or top != key(i):
                 continue
-            while len(larger := np.flatnonzero(alive & (start <= end[i]) & (end >= start[i]) & (common >= 2 * common[i]))):
+            while True:
+                near = around(start[i], end[i])
+                larger = near.start + np.flatnonzero(alive[near] & (start[near] <= end[i]) & (end[near] >= start[i]) & (common[near] >= 2 * common[i]))
+                if not len(larger):
+                    break
                 i = min(larger.tolist(), key=key)
             kept.append((int(start[i]), int(end[i]), float(dice[i]), name[i]))
             a, b = kept[-1][:2]
-            hit = np.flatnonzero(alive & (start <= b) & (end >= a))
+            near = around(a, b)
+            hit = near.start + np.flatnonzero(alive[near] & (start[near] <= b) & (end[near] >= a))
             alive[hit[start[hit] >= a]] = False
             for j in hit[start[hit] < a].tolist():
                 t, own = pieces[piece[j]]

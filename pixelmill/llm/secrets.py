@@ -8,14 +8,19 @@ bare or in double quotes, alone or several in a row.  A literal scores by how
 sensitive the words of its target name are and by its form (length, mix of characters, no placeholder).  Literals of at
 least ``threshold`` are spans of kind ``literal``.
 
+A bare word ends before the next operator, so the lexer's time is in proportion to the text.  Quoted literals and names
+end where a line ends, comments are read like code, and a name has the literal it got last: scopes are not told apart.
+
 Base kinds assign, access and hex are found by patterns and always kept.  A null or empty text has no spans; repeated
-rows each give a row.
+rows each give a row; an empty table gives an empty result; columns besides doc_id and text are not read.  Where spans
+begin at one place, the kinds stand in the order assign, access, hex, literal.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -38,7 +43,8 @@ _PLACEHOLDERS = {"changeme", "example", "placeholder", "password", "secret", "to
 
 _OPERATOR = re.compile(r":=|=>|==|!=|<=|>=|[:=]")
 _QUOTED = re.compile(r"""[bBrRuUfF]{0,2}("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)""")
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+#: A bare word ends before the next operator; the = that pad base64 at its end belong to it.
+_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>=:]+(?:={1,2}(?![^\s"'`,;(){}\[\]<>]))?""")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.]*\Z")
 _REFERENCE = re.compile(r"\$(?:\{([A-Za-z_][A-Za-z0-9_]*)\}|([A-Za-z_][A-Za-z0-9_]*))")
 _REFERENCES = re.compile(rf"""(?:{_REFERENCE.pattern})+(?![^\s"'`,;()\[\]<>])""")
@@ -217,8 +223,14 @@ def secret_spans(text: str) -> list[Span]:
     base = base_spans(text)
     if "=" not in text and ":" not in text:
         return base
-    taken = [s for s in base if s[0] == "assign"]
-    return base + [s for s in lexed_spans(text) if not any(t[1] <= s[1] and s[2] <= t[2] for t in taken)]
+    taken = [(s[1], s[2]) for s in base if s[0] == "assign"]  # in order, without overlap
+    starts = [a for a, _ in taken]
+
+    def covered(a: int, b: int) -> bool:
+        i = bisect_right(starts, a) - 1
+        return i >= 0 and b <= taken[i][1]
+
+    return base + [s for s in lexed_spans(text) if not covered(s[1], s[2])]
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
