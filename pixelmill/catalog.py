@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelmill.functions import color as C
 from pixelmill.functions import icc
 from pixelmill.functions import spaces as S
+from pixelmill.oracles import HAND
 from pixelmill.operators import analysis, auto, detect, display, draw, geometry, resample, stencil, text, tone
 from pixelmill.relation import Pixels, fixture, fixture_gray
 
@@ -142,7 +143,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_query(name, form) for name, form in FORMS.items()}
+    """Queries written by hand where there are some, else the operator in the other dialect."""
+    return {name: f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({HAND[name]}) q" if name in HAND else duck_query(name, form) for name, form in FORMS.items()}
 
 
 __all__ = ["FORMS", "fixture_gray", "oracle_sql", "queries"]
