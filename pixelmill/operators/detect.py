@@ -145,3 +145,45 @@ def blur_boxes(p: Pixels, boxes: str, sigma: float) -> Pixels:
     blurred = stencil.gaussian_blur(p, sigma)
     body = ", ".join(f"CASE WHEN u.hit THEN o.{c} ELSE u.{c} END AS {c}" for c in "rgba")
     return p.of(f"SELECT u.image_id, u.y, u.x, {body} FROM {inside} u JOIN ({blurred.sql}) o ON o.image_id = u.image_id AND o.y = u.y AND o.x = u.x")
+
+
+def pixelate_boxes(p: Pixels, boxes: str, size: int) -> Pixels:
+    """Block means inside each box of the same image, blocks counted from the box's corner; ``boxes`` as for a blur.
+
+    A pixel in several boxes takes the means of the one that begins last, by rows and then columns.
+    """
+    if size < 2:
+        return p
+    inside = "b.image_id = t.image_id AND t.x >= b.x AND t.x < b.x + b.width AND t.y >= b.y AND t.y < b.y + b.height"
+    cells = f"(SELECT t.*, b.x AS bx, b.y AS by_, {p.div('t.y - b.y', str(size))} AS cy, {p.div('t.x - b.x', str(size))} AS cx FROM ({p.sql}) t JOIN ({boxes}) b ON {inside})"
+    means = ", ".join(f"{p.div(f'CAST(sum({c}) AS BIGINT) + {p.div("count(*)", "2")}', 'count(*)')} AS m_{c}" for c in "rgba")
+    blocks = f"(SELECT image_id, bx, by_, cy, cx, {means} FROM {cells} q GROUP BY image_id, bx, by_, cy, cx)"
+    ranked = f"(SELECT q.image_id, q.y, q.x, m.m_r, m.m_g, m.m_b, m.m_a, row_number() OVER (PARTITION BY q.image_id, q.y, q.x ORDER BY q.by_ DESC, q.bx DESC) AS k FROM {cells} q JOIN {blocks} m ON m.image_id = q.image_id AND m.bx = q.bx AND m.by_ = q.by_ AND m.cy = q.cy AND m.cx = q.cx)"
+    body = ", ".join(f"coalesce(n.m_{c}, t.{c}) AS {c}" for c in "rgba")
+    return p.of(f"SELECT t.image_id, t.y, t.x, {body} FROM ({p.sql}) t LEFT JOIN (SELECT * FROM {ranked} z WHERE k = 1) n ON n.image_id = t.image_id AND n.y = t.y AND n.x = t.x")
+
+
+def focused_fit(pixels: DataFrame, extent: tuple[int, int], target: tuple[int, int], mode: str, where: DataFrame) -> DataFrame:
+    """Fit images to a target around a focus (image_id, fx, fy) of their own: the middle of faces, or of detail.
+
+    Images without a focus keep their middle.  The crop's place is a column that is joined by image and filters pixels.
+    """
+    from pixelmill.operators import geometry, resample
+
+    w, h = extent
+    how = resample.fit_geometry(w, h, *target, mode)
+    scaled = Pixels("SELECT image_id, y, x, r, g, b, a FROM {pixels}", w, h)
+    if how["scale"] != (w, h):
+        scaled = resample.resize(scaled, *how["scale"])
+    session = pixels.sparkSession
+    if not how["crop"]:
+        out = geometry.place(scaled, *how["canvas"][:2], *how["canvas"][2:], (0, 0, 0, 0)) if how["canvas"] else scaled
+        return session.sql(out.sql, pixels=pixels)
+    (sw, sh), (_, _, cw, ch) = how["scale"], how["crop"]
+    place = lambda f, n, c: F.least(F.lit(n - c), F.greatest(F.lit(0), F.floor(f * n - c / 2 + 0.5))).cast("int")
+    spots = pixels.select("image_id").distinct().join(where.select("image_id", place(F.col("fx"), sw, cw).alias("_l"), place(F.col("fy"), sh, ch).alias("_t")), "image_id", "left")
+    middle = how["crop"][:2]
+    spots = spots.select("image_id", F.coalesce("_l", F.lit(middle[0])).alias("_l"), F.coalesce("_t", F.lit(middle[1])).alias("_t"))
+    rows = session.sql(scaled.sql, pixels=pixels).join(spots, "image_id")
+    kept = rows.where((F.col("x") >= F.col("_l")) & (F.col("x") < F.col("_l") + cw) & (F.col("y") >= F.col("_t")) & (F.col("y") < F.col("_t") + ch))
+    return kept.select("image_id", (F.col("y") - F.col("_t")).alias("y"), (F.col("x") - F.col("_l")).alias("x"), "r", "g", "b", "a")

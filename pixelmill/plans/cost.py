@@ -7,10 +7,13 @@ the first reason to refuse), and the best by the objective.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.errors import RangeError
+from pixelmill.functions import color as C
 from pixelmill.operators.resample import pick_filter
 
 # Microseconds for a million pixels, factors in thousandths.
@@ -28,24 +31,136 @@ REASONS = ("none", "format", "alpha", "uncharacterized", "peak", "quality", "bud
 OBJECTIVES = ("min_bytes", "min_time", "max_quality")
 
 
-def plan_cost(plan, resolution) -> int:
-    """Point price of a resolved plan without decoding: a pass for sampling, one for colour, one for each neighbourhood."""
-    w, h, total = plan.width, plan.height, 0
-    colors = 0
+# Reading, in microseconds for a million samples by denominator 1, 2, 4, 8 (in one pass, progressive), and for a
+# million compressed bytes; thousandths of a file's bytes that are read; how far a region shortens reading.
+DENOMINATORS = (1, 2, 4, 8)
+READ = {
+    "png": ((5680, 14783, 14333, 13752), (5680, 14783, 14333, 13752)),
+    "jpeg": ((5829, 2384, 1554, 475), (6240, 5504, 4285, 947)),
+    "bmp": ((5319, 2834, 2036, 1939), (5319, 2834, 2036, 1939)),
+    "gif": ((6687, 6373, 5898, 5831), (6687, 6373, 5898, 5831)),
+    "tiff": ((4698, 2746, 1975, 1920), (4698, 2746, 1975, 1920)),
+    "webp": ((7741, 8751, 7726, 7335), (7741, 8751, 7726, 7335)),
+    "avif": ((193612, 195673, 193258, 195634), (193612, 195673, 193258, 195634)),
+}
+READ_BYTES = {"png": (7907, 7907), "jpeg": (15483, 13199), "tiff": (3986, 3986), "webp": (75758, 75758)}
+CONSUMED = {"jpeg": ((987, 987, 987, 987), (996, 996, 994, 212)), "tiff": ((997,) * 4,) * 2, "avif": ((995,) * 4,) * 2}
+STORED = {"bmp": 900, "tiff": 900}
+REACH = {"png": "rows", "webp": "rows", "gif": "all", "avif": "all"}
+FAST_READ = {"jpeg": (902, 1000, 1000, 1000), "webp": (1000, 763, 724, 767), "avif": (389, 382, 380, 378)}
+COMPRESSION = {"none": 327, "fast": 606, "best": 1884}
+_MOST = (1 << 32) - 1
+
+
+@dataclass(frozen=True)
+class Source:
+    """What a file's header says."""
+
+    format: str
+    size: int = 0
+    channels: int = 3
+    progressive: bool = False
+    lossless: bool = False
+
+
+def decode_cost(source: Source, width: int, height: int, region: tuple[int, int, int, int] | None = None, den: int = 1, fast: bool = False, upper: bool = False) -> int:
+    """Price of reading a region at a reduction: the samples that are traversed, and the bytes that no reduction saves.
+
+    A format that is read top down is traversed to the region's last row; progressive streams and some formats as a whole.
+    Files that are stored without compression have no byte term.
+    """
+    if source.format not in READ:
+        return 0
+    x, y, w, h = region or (0, 0, 0, 0)
+    x, y = min(x, width), min(y, height)
+    w, h = min(w or width, width - x), min(h or height, height - y)
+    late, at = int(source.progressive and source.format == "jpeg"), DENOMINATORS.index(den) if den in DENOMINATORS else 0
+    reach = "all" if source.progressive else REACH.get(source.format, "region")
+    samples = {"all": width * height, "rows": width * (y + h), "region": w * h}[reach]
+    total = samples * READ[source.format][late][at] // 1_000_000
+    raw = width * height * source.channels
+    stored = source.format in STORED and source.size * 1000 >= raw * STORED[source.format]
+    if source.format in READ_BYTES and not stored and height:
+        taken = source.size * CONSUMED.get(source.format, ((1000,) * 4,) * 2)[late][at] // 1000
+        total += (taken * (y + h) // height if reach == "rows" else taken) * READ_BYTES[source.format][late] // 1_000_000
+    if fast and not (source.format == "webp" and source.lossless):
+        total = total * FAST_READ.get(source.format, (1000,) * 4)[at] // 1000
+    return min(_MOST, total * UPPER_DECODE[source.format] // 1000 if upper else total)
+
+
+def plan_cost(plan, resolution, source: Source | None = None, upper: bool = False) -> int:
+    """Price of a resolved plan: reading (with a source), one sampling pass, colour stages, and each neighbourhood pass.
+
+    The passes are priced by the samples of the result; ``upper`` bounds the reading.
+    """
+    out = resolution.width * resolution.height
+    at = lambda rate: out * rate // 1_000_000
+    total = decode_cost(source, plan.width, plan.height, resolution.region, resolution.den, plan.fast, upper) if source else 0
+    sampled, w, h = 0, plan.width, plan.height
     for op in resolution.ops:
         nw, nh = plan._extent(op, w, h)
-        pixels = nw * nh
-        if op.kind in ("resize", "fit"):
+        if op.kind in ("resize", "fit") and (nw, nh) != (w, h):
             name = op.args[2] if op.kind == "resize" and len(op.args) > 2 else "auto"
-            kind = pick_filter(name, w / nw, plan.fast)
-            total += max(pixels, w * h if kind == "box" else pixels) * SAMPLE[kind] // 1_000_000
-        elif op.group == "neighborhood":
-            total += pixels * NEIGHBORHOOD // 1_000_000
-        elif op.group != "geometry":
-            total += pixels * (COLOR_MORE if colors else COLOR_FIRST) // 1_000_000
-            colors += 1
+            sampled = max(sampled, *(SAMPLE[pick_filter(name, step, plan.fast)] for step in (w / nw, h / nh)))
         w, h = nw, nh
-    return total
+    total += at(sampled)
+    stages = sum(len(C.fuse(what)) if plan.fusion else len(what) for kind, what in plan._segments(resolution.ops) if kind == "color")
+    if stages:
+        total += at(COLOR_FIRST) + at(COLOR_MORE * (stages - 1))
+    total += sum(at(NEIGHBORHOOD) for op in resolution.ops if op.group == "neighborhood")
+    return min(_MOST, total)
+
+
+def encode_price(fmt: str, width: int, height: int, quality: int = 0, lossless: bool = False, compression: str = "auto", alpha: bool = False, fast: bool = False, upper: bool = False) -> int:
+    """Price of one encoder; :func:`encode_cost` is the same over columns."""
+    pixels = width * height
+    cost = pixels * ENCODE.get(fmt, 0) // 1_000_000
+    if lossless and fmt == "webp":
+        cost = cost * LOSSLESS_WEBP[2 if pixels >= 1_000_000 else 1 if pixels >= 100_000 else 0] // 1000
+    elif quality and fmt in QUALITY:
+        near = min(range(len(QUALITY_POINTS)), key=lambda i: (abs(quality - QUALITY_POINTS[i]), -i))
+        cost = cost * QUALITY[fmt][near] // 1000
+    if alpha:
+        cost = cost * ALPHA.get(fmt, 1000) // 1000
+    if fmt in ("png", "tiff"):
+        cost = cost * COMPRESSION.get(compression, 1000) // 1000
+    if fast and not (lossless and fmt == "webp"):
+        cost = cost * FAST_ENCODE.get(fmt, 1000) // 1000
+    return cost * UPPER_ENCODE.get(fmt, 1000) // 1000 if upper else cost
+
+
+@dataclass(frozen=True)
+class Admission:
+    """Whether a request fits its budget; prices are scaled by the machine's factor and rounded up."""
+
+    decision: str
+    degraded: tuple[str, ...]
+    cost_us: int
+    cost_upper_us: int
+    encode_us: int
+    encode_upper_us: int
+    margin_us: int
+
+
+def admit_plan(plan, source: Source, budget_us: int, fmt: str, scale_milli: int = 1000, degrade: bool = False, **encoder) -> Admission:
+    """Admit a plan if its upper price fits; with ``degrade`` give up quality until it does."""
+    from pixelmill.plans.lattice import rung
+
+    if scale_milli <= 0:
+        raise RangeError("scale")
+    got, varied = plan.resolve(), plan
+    encode, encode_upper = (encode_price(fmt, got.width, got.height, upper=u, **encoder) for u in (False, True))
+    limit, decision, lost = budget_us * 1000, "admit", ()
+    fits = lambda p, r: (plan_cost(p, r, source, True) + encode_upper) * scale_milli <= limit
+    if not fits(plan, got):
+        decision = "reject"
+        if degrade:
+            got, lost, varied = rung(plan, max(1, limit // scale_milli - encode_upper), source, "upper")
+            lost = tuple(lost)
+            decision = "degraded" if fits(varied, got) else "reject"
+    scaled = lambda v: min(_MOST, -(-v * scale_milli // 1000))
+    upper = scaled(plan_cost(varied, got, source, True) + encode_upper)
+    return Admission(decision, lost, scaled(plan_cost(varied, got, source) + encode), upper, scaled(encode), scaled(encode_upper), budget_us - upper)
 
 
 def _nearest_quality(q: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from pixelmill.errors import RangeError
+from pixelmill.plans import cost
 from pixelmill.plans.ir import Op, Plan, Resolution
 
 MAX_CANDIDATES = 16
@@ -80,23 +82,46 @@ def enumerate_candidates(plan: Plan) -> list[Candidate]:
     return out
 
 
-def within_budget(plan: Plan, micros: int) -> tuple[Resolution, list[str]]:
-    """The first rung of the ladder that fits a budget, and what it gave up; the cheapest if none does.
+def within_budget(plan: Plan, micros: int, source: cost.Source | None = None, basis: str = "point") -> tuple[Resolution, list[str]]:
+    """The first rung of the ladder that fits a budget, and what it gave up; the cheapest if none does."""
+    return rung(plan, micros, source, basis)[:2]
+
+
+def rung(plan: Plan, micros: int, source: cost.Source | None = None, basis: str = "point") -> tuple[Resolution, list[str], Plan]:
+    """Like :func:`within_budget`, with the rung's plan.
 
     Rungs: the plan, the fast effort, nearest taps, then one to three halvings; a rung that is not cheaper is skipped.
+    ``basis`` tells which price must fit, the point or the upper one.
     """
+    if basis not in ("point", "upper"):
+        raise RangeError(basis)
     rungs = [(False, False, 0, []), (True, False, 0, ["effort"]), (True, True, 0, ["effort", "filter"]), *((True, True, s, ["effort", "filter", "scale"]) for s in (1, 2, 3))]
-    best = None
+    best, least = None, 0
     for fast, nearest, steps, lost in rungs:
-        got = _varied(plan, fast, nearest, steps).resolve()
-        if best is None or got.cost < best[0].cost:
+        version = _varied(plan, fast, nearest, steps)
+        got = version.resolve()
+        price = cost.plan_cost(version, got, source, basis == "upper")
+        if best is None or price < least:
             got.degraded = lost
-            best = (got, lost)
-        if best[0].cost <= micros or not micros:
+            best, least = (got, lost, version), price
+        if least <= micros or not micros:
             break
     return best
 
 
+def rows(lever: DataFrame, encode: DataFrame) -> tuple[int, int]:
+    """Row counts of the two tables of distortions."""
+    return lever.count(), encode.count()
+
+
+def lever_row(lever: DataFrame, index: int) -> DataFrame:
+    """One row of a table of lever distortions that has the column idx; an index outside is an error."""
+    got = lever.where(F.col("idx") == index)
+    if index < 0 or not got.limit(1).count():
+        raise RangeError("index")
+    return got
+
+
 def select_ladder(chosen: DataFrame, source_format: str) -> DataFrame:
     """Of ranked candidates (request, format, steps, total_us, ...), the first in search order of the source's own format."""
     first = Window.partitionBy("request").orderBy("candidate", "variant")

@@ -54,6 +54,10 @@ class Raster:
             return lambda *a: self._with(tone.curve(self.pixels, name, *a))
         raise AttributeError(name)
 
+    def dpr(self, factor: float) -> Raster:
+        """A zoom to a device's pixel ratio."""
+        return self._with(resample.zoom(self.pixels, factor))
+
     def preset(self, name: str) -> Raster:
         return self._with(tone.preset(self.pixels, name))
 

@@ -1,4 +1,4 @@
-"""Codecs for PNG, BMP, TIFF, GIF and (in its own module) baseline JPEG, sniffing for all eight formats and header probes, in numpy and zlib.
+"""Codecs for PNG, BMP, TIFF, GIF and (in their own modules) JPEG and lossless WebP, sniffing for all eight formats and header probes, in numpy and zlib.
 
 They run on Arrow batches (see :mod:`pixelmill.sources.images`), one image at a time, so memory is bounded by one image.
 What a codec does not support raises; nothing is approximated.
@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from pixelmill.errors import CorruptError, TooLargeError, UnknownFormatError, UnsupportedCodecError, UnsupportedVariantError
-from pixelmill.sources import jpeg
+from pixelmill.errors import CorruptError, RasterError, TooLargeError, UnknownFormatError, UnsupportedCodecError, UnsupportedVariantError
+from pixelmill.sources import jpeg, webp
 
 # Limits of one image, formats by their first bytes, extensions.
 MAX_PIXELS, MAX_BYTES = 16_000_000, 33_554_432
@@ -40,12 +40,13 @@ def sniff(data: bytes) -> str:
             return name
     if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
         return "webp"
-    if data[4:8] == b"ftyp":
-        size = min(len(data), int.from_bytes(data[:4], "big") or len(data))
-        brands = [data[8:12], *(data[i : i + 4] for i in range(16, size - 3, 4))]
-        for name, known in (("avif", AVIF_BRANDS), ("heif", HEIF_BRANDS)):
-            if any(b in known for b in brands):
-                return name
+    if len(data) >= 12 and data[4:8] == b"ftyp":
+        # any brand of the list makes an AVIF file, but only the major one a HEIF file
+        size = min(len(data), int.from_bytes(data[:4], "big"))
+        if any(data[i : i + 4] in AVIF_BRANDS for i in (8, *range(16, size - 3, 4)) if i + 4 <= size):
+            return "avif"
+        if data[8:12] in HEIF_BRANDS:
+            return "heif"
     return "unknown"
 
 
@@ -548,8 +549,8 @@ def median_cut(image: np.ndarray, count: int) -> np.ndarray:
 
 # registry
 
-DECODERS = {"png": decode_png, "bmp": decode_bmp, "tiff": decode_tiff, "gif": decode_gif, "jpeg": jpeg.decode}
-ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tiff": encode_tiff, "gif": encode_gif, "jpeg": jpeg.encode}
+DECODERS = {"png": decode_png, "bmp": decode_bmp, "tiff": decode_tiff, "gif": decode_gif, "jpeg": jpeg.decode, "webp": webp.decode}
+ENCODERS = {"png": encode_png, "bmp": encode_bmp, "tiff": encode_tiff, "gif": encode_gif, "jpeg": jpeg.encode, "webp": webp.encode}
 
 
 def probe(data: bytes) -> Info:
@@ -609,7 +610,7 @@ def decode(data: bytes) -> np.ndarray:
     try:
         return DECODERS[kind](data)
     except (struct.error, IndexError, zlib.error, ValueError) as e:
-        if isinstance(e, (CorruptError, UnsupportedVariantError, TooLargeError)):
+        if isinstance(e, RasterError):
             raise
         raise CorruptError(str(e)) from None
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill.errors import RangeError
 from pixelmill.sources import codecs
 
 DENSE = "image_id long, width int, height int, channels int, format string, data binary, error string"
@@ -36,10 +37,13 @@ def read_image_source(spark: SparkSession, path: str) -> DataFrame:
 
 def sniffed(content: Column) -> Column:
     """The format by the first bytes, as an expression in the JVM."""
-    out = F.lit("unknown")
     brand = F.substring(content, 9, 4)
-    for name, brands in (("heif", codecs.HEIF_BRANDS), ("avif", codecs.AVIF_BRANDS)):
-        out = F.when((F.substring(content, 5, 4) == F.lit(b"ftyp")) & brand.isin(*(F.lit(b) for b in brands)), name).otherwise(out)
+    # any brand of the list, behind the version at the fourth place, makes an AVIF file, but only the major one a HEIF file
+    size = F.least(F.conv(F.hex(F.substring(content, 1, 4)), 16, 10).cast("long"), F.length(content).cast("long"))
+    places = F.sequence(F.lit(9).cast("long"), F.greatest(F.lit(9).cast("long"), size - 3), F.lit(4).cast("long"))
+    listed = F.exists(places, lambda i: (i != 13) & (i + 3 <= size) & content.substr(i.cast("int"), F.lit(4)).isin(*(F.lit(b) for b in codecs.AVIF_BRANDS)))
+    boxed = (F.length(content) >= 12) & (F.substring(content, 5, 4) == F.lit(b"ftyp"))
+    out = F.when(boxed & listed, "avif").when(boxed & brand.isin(*(F.lit(b) for b in codecs.HEIF_BRANDS)), "heif").otherwise("unknown")
     out = F.when((F.substring(content, 1, 4) == F.lit(b"RIFF")) & (brand == F.lit(b"WEBP")), "webp").otherwise(out)
     for name, head in reversed(codecs.MAGIC):
         out = F.when(F.substring(content, 1, len(head)) == F.lit(head), name).otherwise(out)
@@ -148,6 +152,13 @@ def encoded(dense: DataFrame, kind: str, colors: int | None = None) -> DataFrame
     return _rows(dense.where("data is not null").select("image_id", "width", "height", "channels", "data"), ["image_id", "format", "content"], [pa.int64(), pa.string(), pa.binary()], "image_id long, format string, content binary", make)
 
 
+def with_quality(rows: DataFrame, quality: int) -> DataFrame:
+    """Remember the quality that an encoder should use, 0 (its own) to 100."""
+    if not 0 <= quality <= 100:
+        raise RangeError("quality")
+    return rows.withColumn("quality", F.lit(quality))
+
+
 def artifact_key(origin: str, content: Column, options: dict[str, object]) -> Column:
     """A cache key: origin, SHA-256 of the bytes and the options in order."""
     query = "&".join(f"{k}={options[k]}" for k in sorted(options))

@@ -1,8 +1,9 @@
-"""Baseline JPEG: a decoder and an encoder with standard Huffman tables, transforms and colour in numpy.
+"""JPEG: a decoder of baseline and progressive streams and a baseline encoder, transforms and colour in numpy.
 
-The decoder reads sequential Huffman streams of 8 bits, grey or three components, any sampling, restart markers; the
-entropy-coded part is walked symbol by symbol through 16-bit prefix tables.  Progressive and arithmetic streams and four
-components raise.  Chroma is enlarged by a triangle filter; a reduction of 2, 4 or 8 uses block means.
+The decoder reads Huffman streams of 8 bits: grey, three components (YCbCr, or RGB by their ids or by an Adobe mark) and
+four (CMYK or YCCK, multiplied by black), any sampling, restart markers, interleaved and separate scans, spectral selection
+and successive approximation.  Every scan is walked symbol by symbol through 16-bit prefix tables into coefficients, which
+are transformed once at the end.  Lossless and arithmetic streams raise.  Chroma is enlarged by a triangle filter.
 """
 
 from __future__ import annotations
@@ -73,11 +74,14 @@ class _Bits:
     def value(self, n: int) -> int:
         if not n:
             return 0
+        v = self.raw(n)
+        return v if v >> (n - 1) else v - (1 << n) + 1
+
+    def raw(self, n: int) -> int:
         if self.held < n:
             self.fill()
         self.held -= n
-        v = self.hold >> self.held & ((1 << n) - 1)
-        return v if v >> (n - 1) else v - (1 << n) + 1
+        return self.hold >> self.held & ((1 << n) - 1)
 
 
 def _segments(data: bytes):
@@ -105,9 +109,48 @@ def _segments(data: bytes):
             yield mark, body, b""
 
 
+class _Frame:
+    """Extent, components (id, horizontal and vertical sampling, table) and their coefficients, block by block."""
+
+    def __init__(self, body: bytes, progressive: bool):
+        depth, self.h, self.w, n = struct.unpack_from(">BHHB", body)
+        if depth != 8 or n not in (1, 3, 4):
+            raise UnsupportedVariantError("depth or components")
+        if not self.w or not self.h:
+            raise CorruptError("an empty image")
+        if self.w * self.h > MAX_PIXELS:
+            raise TooLargeError(f"{self.w} x {self.h}")
+        self.progressive = progressive
+        self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        if any(not 1 <= x <= 4 for _, u, v, _ in self.parts for x in (u, v)):
+            raise CorruptError("a sampling factor")
+        self.hmax, self.vmax = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        self.mx, self.my = -(-self.w // (8 * self.hmax)), -(-self.h // (8 * self.vmax))
+        self.blocks = [[[0] * 64 for _ in range(self.my * v * self.mx * u)] for _, u, v, _ in self.parts]
+
+    def own(self, i: int) -> tuple[int, int]:
+        """Rows and columns of samples of a component."""
+        _, u, v, _ = self.parts[i]
+        return -(-self.h * v // self.vmax), -(-self.w * u // self.hmax)
+
+    def units(self, chosen: list[int]):
+        """For each unit of a scan its (component, block) pairs: all of a unit's blocks, or one of a single component."""
+        if len(chosen) == 1:
+            i = chosen[0]
+            rows, cols = (-(-n // 8) for n in self.own(i))
+            stride = self.mx * self.parts[i][1]
+            for r in range(rows):
+                for c in range(cols):
+                    yield ((0, self.blocks[i][r * stride + c]),)
+            return
+        for r in range(self.my):
+            for c in range(self.mx):
+                yield [(k, self.blocks[i][(r * v + y) * self.mx * u + c * u + x]) for k, i in enumerate(chosen) for _, u, v, _ in (self.parts[i],) for y in range(v) for x in range(u)]
+
+
 def decode(data: bytes) -> np.ndarray:
     """An (h, w, 1 or 3) array."""
-    tables, quant, frame, restart, out = {}, {}, None, 0, None
+    tables, quant, frame, restart, adobe, seen = {}, {}, None, 0, None, False
     for mark, body, scan in _segments(data):
         if mark == 0xDB:
             at = 0
@@ -121,41 +164,40 @@ def decode(data: bytes) -> np.ndarray:
                 n = sum(body[at + 1 : at + 17])
                 tables[body[at]] = _Huffman(body[at + 1 : at + 17], body[at + 17 : at + 17 + n])
                 at += 17 + n
-        elif mark in (0xC0, 0xC1):
-            depth, h, w, n = struct.unpack_from(">BHHB", body)
-            if depth != 8 or n not in (1, 3):
-                raise UnsupportedVariantError("depth or components")
-            if not w or not h:
-                raise CorruptError("an empty image")
-            if w * h > MAX_PIXELS:
-                raise TooLargeError(f"{w} x {h}")
-            frame = (h, w, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)])
-        elif 0xC2 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
-            raise UnsupportedVariantError("a progressive, lossless or arithmetic stream")
+        elif mark in (0xC0, 0xC1, 0xC2):
+            frame = _Frame(body, mark == 0xC2)
+        elif 0xC3 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
+            raise UnsupportedVariantError("a lossless, hierarchical or arithmetic stream")
         elif mark == 0xDD:
             restart = int.from_bytes(body[:2], "big")
+        elif mark == 0xEE and body[:5] == b"Adobe" and len(body) >= 12:
+            adobe = body[11]
         elif mark == 0xDA:
             if frame is None:
                 raise CorruptError("a scan without a frame")
-            out = _scan(frame, body, scan, tables, quant, restart)
-    if out is None:
+            _scan(frame, body, scan, tables, restart)
+            seen = True
+    if not seen:
         raise CorruptError("no scan")
-    return out
+    return _colored(frame, quant, adobe)
 
 
-def _scan(frame, head: bytes, scan: bytes, tables, quant, restart: int) -> np.ndarray:
-    h, w, parts = frame
-    if head[0] != len(parts):
-        raise UnsupportedVariantError("separate scans")
-    chosen = {head[1 + 2 * i]: head[2 + 2 * i] for i in range(head[0])}
-    hmax, vmax = max(p[1] for p in parts), max(p[2] for p in parts)
-    mx, my = -(-w // (8 * hmax)), -(-h // (8 * vmax))
+def _scan(frame: _Frame, head: bytes, scan: bytes, tables: dict, restart: int) -> None:
+    n = head[0]
+    places = {p[0]: i for i, p in enumerate(frame.parts)}
     try:
-        use = [(tables[chosen[c] >> 4], tables[16 | (chosen[c] & 15)]) for c, *_ in parts]
-        planes = [np.zeros((my * v, mx * u, 64), np.int64) for _, u, v, _ in parts]
-        scales = [quant[q] for *_, q in parts]
+        chosen = [places[head[1 + 2 * k]] for k in range(n)]
+        dc = [tables.get(head[2 + 2 * k] >> 4) for k in range(n)]
+        ac = [tables.get(16 | (head[2 + 2 * k] & 15)) for k in range(n)]
     except KeyError as e:
-        raise CorruptError("a missing table") from e
+        raise CorruptError("an unknown component") from e
+    first, last, high, low = head[1 + 2 * n], head[2 + 2 * n], head[3 + 2 * n] >> 4, head[3 + 2 * n] & 15
+    if not frame.progressive:
+        first, last, high, low = 0, 63, 0, 0
+    if last > 63 or first > last or (frame.progressive and (first == 0) != (last == 0)) or (first and n > 1):
+        raise CorruptError("a spectral selection")
+    if (not first and not high and None in dc) or (last and None in ac):
+        raise CorruptError("a missing table")
     pieces, at = [], 0
     if restart:
         for i in range(len(scan) - 1):
@@ -163,46 +205,110 @@ def _scan(frame, head: bytes, scan: bytes, tables, quant, restart: int) -> np.nd
                 pieces.append(scan[at:i])
                 at = i + 2
     pieces.append(scan[at:])
-    unit, total = 0, mx * my
+    units = frame.units(chosen)
     for piece in pieces:
-        bits, before = _Bits(piece), [0] * len(parts)
-        for _ in range(min(restart or total, total - unit)):
-            row, col = divmod(unit, mx)
-            for i, (_, u, v, _) in enumerate(parts):
-                dc, ac = use[i]
-                for j in range(v):
-                    for k in range(u):
-                        block = planes[i][row * v + j, col * u + k]
-                        before[i] += bits.value(bits.symbol(dc))
-                        block[0] = before[i]
-                        at = 1
-                        while at < 64:
-                            s = bits.symbol(ac)
-                            if not s:
-                                break
-                            at += s >> 4
-                            if s & 15:
-                                if at > 63:
-                                    raise CorruptError("a run past the block")
-                                block[at] = bits.value(s & 15)
-                            at += 1
-            unit += 1
+        bits, before, run = _Bits(piece), [0] * n, 0
+        for count, unit in enumerate(units, 1):
+            for k, block in unit:
+                if first:
+                    run = (_refine if high else _spectrum)(bits, ac[k], block, first, last, low, run)
+                    continue
+                if high:
+                    block[0] |= bits.raw(1) << low
+                    continue
+                before[k] += bits.value(bits.symbol(dc[k]))
+                block[0] = before[k] * (1 << low)
+                if last:
+                    _spectrum(bits, ac[k], block, 1, last, 0, 0)
+            if count == restart:
+                break
+
+
+def _spectrum(bits: _Bits, table: _Huffman, block: list[int], at: int, last: int, low: int, run: int) -> int:
+    """Coefficients of a block's first pass; the number of blocks after it that have none."""
+    if run:
+        return run - 1
+    while at <= last:
+        s = bits.symbol(table)
+        skip, size = s >> 4, s & 15
+        if not size:
+            if skip < 15:
+                return (1 << skip) - 1 + bits.raw(skip) if skip else 0
+            at += 16
+            continue
+        at += skip
+        if at > last:
+            raise CorruptError("a run past the block")
+        block[at] = bits.value(size) * (1 << low)
+        at += 1
+    return 0
+
+
+def _refine(bits: _Bits, table: _Huffman, block: list[int], at: int, last: int, low: int, run: int) -> int:
+    """One bit more of the coefficients that a block has, and those that begin with this bit."""
+    step = 1 << low
+
+    def more(stop_after: int | None) -> int:
+        """Bits of known coefficients up to the zero behind ``stop_after`` others, or to the end; its place."""
+        i = at
+        while i <= last:
+            if block[i]:
+                if bits.raw(1):
+                    block[i] += step if block[i] > 0 else -step
+            elif stop_after is not None:
+                if not stop_after:
+                    return i
+                stop_after -= 1
+            i += 1
+        return i
+
+    while not run and at <= last:
+        s = bits.symbol(table)
+        skip, size = s >> 4, s & 15
+        if not size and skip < 15:
+            run = (1 << skip) + (bits.raw(skip) if skip else 0)
+            break
+        fresh = (step if bits.raw(1) else -step) if size else 0
+        at = more(skip)
+        if fresh:
+            if at > last:
+                raise CorruptError("a run past the block")
+            block[at] = fresh
+        at += 1
+    if run:
+        more(None)
+        run -= 1
+    return run
+
+
+def _colored(frame: _Frame, quant: dict, adobe: int | None) -> np.ndarray:
     full = []
-    for plane, scale, (_, u, v, _) in zip(planes, scales, parts, strict=True):
+    for i, (_, u, v, q) in enumerate(frame.parts):
+        if q not in quant:
+            raise CorruptError("a missing table")
+        plane = np.array(frame.blocks[i], np.int64).reshape(frame.my * v, frame.mx * u, 64)
         blocks = np.zeros_like(plane)
-        blocks[..., ZIGZAG] = plane * scale
+        blocks[..., ZIGZAG] = plane * quant[q]
         b = blocks.reshape(*plane.shape[:2], 8, 8).astype(float)
         samples = np.clip(np.floor(COSINES.T @ b @ COSINES + 128.5), 0, 255).astype(np.int64)
         flat = samples.transpose(0, 2, 1, 3).reshape(plane.shape[0] * 8, plane.shape[1] * 8)
-        flat = flat[: -(-h * v // vmax), : -(-w * u // hmax)]
-        full.append(_enlarged(flat, vmax // v, hmax // u)[:h, :w])
+        rows, cols = frame.own(i)
+        full.append(_enlarged(flat[:rows, :cols], frame.vmax // v, frame.hmax // u)[: frame.h, : frame.w])
     if len(full) == 1:
         return full[0][..., None].astype(np.uint8)
-    y, cb, cr = full[0], full[1] - 128, full[2] - 128
+    plain = (len(full) == 3 and (adobe == 0 or bytes(p[0] for p in frame.parts) == b"RGB")) or (len(full) == 4 and not adobe)
+    color = np.dstack(full[:3]) if plain else _rgb(*full[:3])
+    if len(full) == 4:  # what is stored is light, or in YCCK ink, times the light that black leaves
+        color = ((color if plain else 255 - color) * full[3][..., None] + 127) // 255
+    return color.astype(np.uint8)
+
+
+def _rgb(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
+    cb, cr = cb - 128, cr - 128
     red = y + ((91881 * cr + 32768) >> 16)
     green = y + ((-22554 * cb - 46802 * cr + 32768) >> 16)
     blue = y + ((116130 * cb + 32768) >> 16)
-    return np.clip(np.dstack([red, green, blue]), 0, 255).astype(np.uint8)
+    return np.clip(np.dstack([red, green, blue]), 0, 255)
 
 
 def _enlarged(a: np.ndarray, fy: int, fx: int) -> np.ndarray:
