@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pixelmill.functions import color as C
 from pixelmill.functions import icc
 from pixelmill.functions import spaces as S
-from pixelmill.oracles import HAND
 from pixelmill.operators import analysis, auto, detect, display, draw, geometry, resample, stencil, text, tone
+from pixelmill.oracles import HAND
 from pixelmill.relation import Pixels, fixture, fixture_gray
+from pixelmill.sources import registry
 
 def _letters() -> text.FontSet:
     glyph = {"A": (5, ["01100", "10010", "11110", "10010"]), "i": (2, ["10", "00", "10", "10"]), ".": (2, ["00", "00", "00", "10"])}
@@ -77,6 +78,11 @@ FORMS: dict[str, Form] = {
     "gradient_hsv": lambda p: S.multigradient(p, [(350, 0.5, 1), (40, 1, 0.5)], 17, hue=True), "gradient_cmyk": lambda p: S.multigradient(p, [(0, 0.2, 1, 0), (1, 0.1, 0, 0.5)], 9),
     "multigradient_rgb": lambda p: S.packed(p, S.multigradient(p, [RED, SEA, (255, 255, 0), (0, 0, 0)], 50)), "multigradient_rgb_sized": lambda p: S.packed(p, S.multigradient(p, [RED, SEA, (255, 255, 0)], 40, [0.3, 0.7])),
     "multigradient_hsl_sized": lambda p: S.multigradient(p, [(10, 1, 0.5), (200, 0.5, 0.4), (330, 0.2, 0.9)], 21, [0.25, 0.75], hue=True),
+    "gradient_hsl": lambda p: S.multigradient(p, [(350, 0.5, 0.4), (40, 1, 0.5)], 17, hue=True), "multigradient_rgba": lambda p: S.packed(p, S.multigradient(p, [(*RED, 255), (*SEA, 40), (0, 0, 0, 0)], 33), True),
+    "multigradient_rgba_sized": lambda p: S.packed(p, S.multigradient(p, [(*RED, 255), (*SEA, 40), (0, 0, 0, 0)], 21, [0.2, 0.8]), True), "multigradient_hsv": lambda p: S.multigradient(p, [(10, 1, 0.5), (200, 0.5, 0.4), (330, 0.2, 0.9)], 13, hue=True),
+    "multigradient_hsv_sized": lambda p: S.multigradient(p, [(10, 1, 0.5), (200, 0.5, 0.4), (330, 0.2, 0.9)], 13, [0.6, 0.4], hue=True), "multigradient_hsl": lambda p: S.multigradient(p, [(300, 1, 0.5), (20, 0.5, 0.4), (90, 0.2, 0.9)], 25, hue=True),
+    "multigradient_cmyk": lambda p: S.multigradient(p, [(0, 0.2, 1, 0), (1, 0.1, 0, 0.5), (0.5, 0.5, 0.5, 0.5)], 9), "multigradient_cmyk_sized": lambda p: S.multigradient(p, [(0, 0.2, 1, 0), (1, 0.1, 0, 0.5), (0.5, 0.5, 0.5, 0.5)], 9, [0.25, 0.75]),
+    "convert_gray": lambda p: registry.converted(p, 4, 1), "convert_gray_alpha": lambda p: registry.converted(p, 4, 2), "convert_rgb": lambda p: registry.converted(p, 4, 3), "convert_spread": lambda p: registry.converted(p, 2, 4),
     # geometry
     "crop": lambda p: geometry.crop(p, 2, 1, 5, 4), "flip_h": geometry.flip_horizontal, "flip_v": geometry.flip_vertical, "rotate90": geometry.rotate90, "rotate180": geometry.rotate180, "rotate270": geometry.rotate270,
     "auto_orient": lambda p: geometry.orient(p, 7), "expand": lambda p: geometry.expand(p, 1, 2, 3, 1, (9, 8, 7, 255)), "border": lambda p: geometry.border(p, 2, (*RED, 255)), "crop_circle": lambda p: geometry.crop_circle(p, 4, 4, 3),
@@ -112,6 +118,7 @@ FORMS: dict[str, Form] = {
     "draw_tile": lambda p: draw.composite(p, geometry.crop(p, 0, 0, 3, 3), "normal", 1, 2, 0.7, "tile"), "draw_center": lambda p: draw.composite(p, geometry.crop(p, 1, 1, 4, 4), "screen", draw="center"), "draw_once": lambda p: draw.composite(p, geometry.rotate90(p), "normal", 3, -2, 0.5),
     "display_render": lambda p: _display().render(p), "icc_p3_to_srgb": lambda p: icc.to_srgb(p, icc.builtin("display-p3")), "icc_adobe_to_srgb": lambda p: icc.to_srgb(p, icc.builtin("adobe-rgb")),
     "blur_boxes": lambda p: detect.blur_boxes(p, "SELECT * FROM (VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) AS b_(image_id, x, y, width, height)", 1.0),
+    "pixelate_boxes": lambda p: detect.pixelate_boxes(p, "SELECT * FROM (VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) AS b_(image_id, x, y, width, height)", 3), "dpr": lambda p: resample.zoom(p, 2.0),
     "draw_text": lambda p: text.draw_text(p, _letters(), "A i.", 0, 1, (*RED, 255), 8), "draw_text_styled": lambda p: text.draw_styled(p, _letters(), "Ai", 1, 1, (*RED, 255), (1, (*SEA, 200)), (1, 1, 1, (0, 0, 0, 180))),
     "draw_coverage": lambda p: draw.coverage(p, p.values(["y", "x", "v"], [(y, x, (40 * x + 60 * y) % 256) for y in range(4) for x in range(5)], "m"), 2, 1, (*RED, 220)),
 }
@@ -131,7 +138,7 @@ def spark_query(form: Form) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-_FLOATING = {"rgb_hsv": "hsv", "rgb_hsl": "hsl", "rgb_cmyk": ["c", "m", "ye", "k"], "focus_auto": ["fx", "fy"], "gradient_hsv": ["c0", "c1", "c2"], "gradient_cmyk": ["c0", "c1", "c2", "c3"], "multigradient_hsl_sized": ["c0", "c1", "c2"]}
+_FLOATING = {"rgb_hsv": "hsv", "rgb_hsl": "hsl", "rgb_cmyk": ["c", "m", "ye", "k"], "focus_auto": ["fx", "fy"], "gradient_hsv": ["c0", "c1", "c2"], "gradient_cmyk": ["c0", "c1", "c2", "c3"], **dict.fromkeys(("multigradient_hsl_sized", "gradient_hsl", "multigradient_hsv", "multigradient_hsv_sized", "multigradient_hsl"), ["c0", "c1", "c2"]), **dict.fromkeys(("multigradient_cmyk", "multigradient_cmyk_sized"), ["c0", "c1", "c2", "c3"])}
 
 
 def duck_query(name: str, form: Form) -> str:

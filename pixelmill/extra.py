@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelmill import oracles
 from pixelmill.catalog import spark_query
 from pixelmill.operators import analysis, geometry, metadata, resample, text
-from pixelmill.plans import cost
+from pixelmill.plans import cost, lattice, transform
 from pixelmill.plans.ir import Plan
 from pixelmill.relation import Pixels, fixture
-from pixelmill.sources import images
+from pixelmill.sources import images, registry
 from pixelmill.streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +142,92 @@ SELECT CAST(request AS BIGINT) AS request, CAST(candidate AS BIGINT) AS candidat
 FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY {order}, candidate, variant) AS n FROM s WHERE db >= 38 AND total_us <= 200000 AND peak <= 25000000) q WHERE n = 1"""
 
 
+def _space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every combination of candidates and variants for each order, with its price, size and distortion."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lattice_ = spark.createDataFrame([(i, i % 2, i // 2 % 2, i // 4) for i in range(12)], "candidate long, effort int, filter int, steps long")
+    variants = spark.createDataFrame([(*v[:3], v[3], v[2] != 50, v[5]) for v in _VARIANTS], "variant long, format string, quality int, alpha_ok boolean, allowed boolean, upper_us long")
+    lever = spark.createDataFrame([r for r in _LEVER if r[3] < 2 or r[0] == "jpeg"], "format string, effort int, filter int, steps long, lever_db double")
+    encode = spark.createDataFrame(_ENCODE, "format string, quality int, bytes_per_pixel double, encode_db double")
+    table = lattice_.crossJoin(variants).join(lever, ["format", "effort", "filter", "steps"], "left").join(encode, ["format", "quality"])  # 120 rows
+    db = F.round(-10 * F.log10(F.pow(F.lit(10.0), -F.col("lever_db") / 10) + F.pow(F.lit(10.0), -F.col("encode_db") / 10)), 9)
+    table = table.select("candidate", "variant", "format", "steps", "allowed", "alpha_ok", "upper_us", "bytes_per_pixel", db.alias("db"))
+    base = orders.select(F.col("o_orderkey").alias("request"), F.floor("o_totalprice").cast("long").alias("base"))
+    space = base.crossJoin(F.broadcast(table))  # a fixed table of 120 rows
+    return space.withColumn("total_us", F.col("base") - F.col("candidate") * 500 + F.col("upper_us")).withColumn("peak_bytes", F.col("base") * 100)
+
+
+def _tuples(rows) -> str:
+    one = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v!r}e0" if isinstance(v, float) else str(v)
+    return ",".join("(" + ",".join(map(one, r)) + ")" for r in rows)
+
+
+def _space_sql() -> str:
+    lever = _tuples(r for r in _LEVER if r[3] < 2 or r[0] == "jpeg")
+    return f"""WITH l AS (SELECT * FROM (VALUES {lever}) v(format, effort, filter, steps, lever_db)), e AS (SELECT * FROM (VALUES {_tuples(_ENCODE)}) v(format, quality, bpp, encode_db)),
+v AS (SELECT * FROM (VALUES {_tuples(_VARIANTS)}) v(variant, format, quality, alpha_ok, allowed_, upper_us)),
+s AS (SELECT o_orderkey AS request, k AS candidate, variant, v.format, k // 4 AS steps, v.quality <> 50 AS allowed, alpha_ok, CAST(floor(o_totalprice) AS BIGINT) - k * 500 + upper_us AS total_us, CAST(floor(o_totalprice) AS BIGINT) * 100 AS peak, bpp,
+ round(-10 * log10(pow(10e0, -lever_db / 10) + pow(10e0, -encode_db / 10)), 9) AS db
+ FROM orders CROSS JOIN range(12) k_(k) CROSS JOIN v LEFT JOIN l ON l.format = v.format AND l.effort = k % 2 AND l.filter = k // 2 % 2 AND l.steps = k // 4 JOIN e ON e.format = v.format AND e.quality = v.quality)"""
+
+
+def _reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = cost.considered(_space(spark, sf_dir), min_db=36.0, budget_us=150_000, peak_cap=20_000_000, alpha=True)
+    return got.groupBy("request", "reason").agg(F.count("*").alias("n"))
+
+
+def _chosen(how: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        space = _space(spark, sf_dir).where("db >= 36 and total_us <= 150000")
+        got = lattice.select_ladder(space, "webp") if how == "ladder" else lattice.select_independent(space)
+        return got.select("request", "candidate", "variant", "format", "total_us")
+
+    return run
+
+
+_SELECTED = "SELECT request, candidate, variant, format, total_us FROM"
+_REASON_SQL = "CASE WHEN NOT allowed THEN 'format' WHEN NOT alpha_ok THEN 'alpha' WHEN db IS NULL THEN 'uncharacterized' WHEN peak > 20000000 THEN 'peak' WHEN db < 36 THEN 'quality' WHEN total_us > 150000 THEN 'budget' ELSE 'none' END"
+_INDEPENDENT_SQL = "(SELECT s.*, row_number() OVER (PARTITION BY s.request ORDER BY s.total_us, s.candidate, s.variant) AS n FROM s JOIN (SELECT request, arg_min(format, (bpp, variant)) AS best FROM s WHERE db >= 36 AND total_us <= 150000 GROUP BY request) b ON b.request = s.request AND b.best = s.format WHERE db >= 36 AND total_us <= 150000) q WHERE n = 1"
+
+
+def _admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select("o_orderkey", F.floor("o_totalprice").cast("long").alias("plan_upper_us"), (F.col("o_custkey") * 7).alias("encode_upper_us"), F.lit(120_000).cast("long").alias("budget_us"))
+    return cost.admit(rows, 850).select("o_orderkey", "decision")
+
+
+_READS = [(f, w, h, n, x, y, d, late, fast) for f in ("png", "jpeg", "tiff", "webp", "gif") for w, h, n in ((1200, 900, 400_000), (640, 480, 3_000_000)) for x, y in ((0, 0), (100, 50)) for d in (1, 2, 8) for late in (0, 1) for fast in (0, 1)]
+
+
+def _read_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price = lambda f, w, h, n, x, y, d, late, fast: cost.decode_cost(cost.Source(f, n, 3, bool(late)), w, h, (x, y, 300, 200), d, bool(fast))
+    return spark.createDataFrame([(i, price(*r)) for i, r in enumerate(_READS)], "i long, micros long")
+
+
+def _read_costs_sql() -> str:
+    """Rates as rows; a region of 300 x 200 is traversed alone, down to its last row, or with the whole picture."""
+    rate = [(f, late, d, cost.READ[f][late][i]) for f in cost.READ for late in (0, 1) for i, d in enumerate((1, 2, 4, 8))]
+    taken = [(f, late, d, cost.CONSUMED[f][late][i]) for f in cost.CONSUMED for late in (0, 1) for i, d in enumerate((1, 2, 4, 8))]
+    quick = [(f, d, cost.FAST_READ[f][i]) for f in cost.FAST_READ for i, d in enumerate((1, 2, 4, 8))]
+    reads = _tuples((i, *r) for i, r in enumerate(_READS))
+    return f"""WITH t AS (SELECT * FROM (VALUES {reads}) v(i, f, w, h, n, x, y, d, late, fast)),
+r AS (SELECT t.*, rate, coalesce(part, 1000) AS part, CASE WHEN fast = 1 THEN coalesce(q.k, 1000) ELSE 1000 END AS k, CASE WHEN late = 1 OR f = 'gif' THEN 'all' WHEN f IN ('png', 'webp') THEN 'rows' ELSE 'region' END AS reach,
+ CASE f WHEN 'png' THEN 7907 WHEN 'webp' THEN 75758 WHEN 'tiff' THEN CASE WHEN n * 1000 >= w * h * 3 * 900 THEN 0 ELSE 3986 END WHEN 'jpeg' THEN CASE late WHEN 1 THEN 13199 ELSE 15483 END ELSE 0 END AS per
+ FROM t JOIN (VALUES {_tuples(rate)}) a(fa, late_a, da, rate) ON a.fa = t.f AND a.da = t.d AND a.late_a = CASE WHEN t.f = 'jpeg' THEN t.late ELSE 0 END
+ LEFT JOIN (VALUES {_tuples(taken)}) c(fc, late_c, dc, part) ON c.fc = t.f AND c.dc = t.d AND c.late_c = CASE WHEN t.f = 'jpeg' THEN t.late ELSE 0 END LEFT JOIN (VALUES {_tuples(quick)}) q(fq, dq, k) ON q.fq = t.f AND q.dq = t.d)
+SELECT CAST(i AS BIGINT) AS i, CAST(((CASE reach WHEN 'all' THEN w * h WHEN 'rows' THEN w * (y + 200) ELSE 300 * 200 END)::BIGINT * rate // 1000000 + (CASE WHEN reach = 'rows' THEN (n::BIGINT * part // 1000) * (y + 200) // h ELSE n::BIGINT * part // 1000 END) * per // 1000000) * k // 1000 AS BIGINT) AS micros FROM r"""
+
+
+def _formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") % 10).alias("number"))
+    return rows.select("event_id", registry.format_name(F.col("number")).alias("name"), registry.format_extension(registry.format_name(F.col("number"))).alias("extension"))
+
+
+def _transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = images.encoded(images.to_dense(pixels(spark, sf_dir)), "png")
+    return images.to_pixels(images.decoded(transform.transform(files, 8, 8, to="webp", crop=(1, 1, 6, 4), rotate=90, invert=True)))
+
+
 _IDS = "(SELECT DISTINCT vec_id // 4 AS image_id FROM embeddings) ids"
 
 
@@ -168,6 +255,18 @@ _SPECS: dict[str, tuple[Query, str | None]] = {
     "tiff_roundtrip": (_round_trip("tiff"), _duck_pixels()),
     "gif_roundtrip": (_round_trip("gif"), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_gif_sql()}) z"),
     "gif_quantized": (_round_trip("gif", 16), None),
+    "webp_roundtrip": (_round_trip("webp"), _duck_pixels()),
+    "jpeg_roundtrip": (_round_trip("jpeg"), None),
+    "transform": (_transformed, f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({oracles.TRANSFORMED}) z"),
+    "format_names": (
+        _formats,
+        "SELECT event_id, coalesce(list_extract(['png', 'jpeg', 'bmp', 'gif', 'tiff', 'webp', 'avif', 'heif'], CASE WHEN event_id % 10 BETWEEN 1 AND 8 THEN event_id % 10 END), 'unknown') AS name, coalesce(list_extract(['.png', '.jpg', '.bmp', '.gif', '.tiff', '.webp', '.avif', '.heic'], CASE WHEN event_id % 10 BETWEEN 1 AND 8 THEN event_id % 10 END), '') AS extension FROM events",
+    ),
+    "decode_cost": (_read_costs, _read_costs_sql()),
+    "admission": (_admitted, "SELECT o_orderkey, CASE WHEN (CAST(floor(o_totalprice) AS BIGINT) + o_custkey * 7) * 850 > 120000000 THEN 'reject' ELSE 'admit' END AS decision FROM orders"),
+    "considered": (_reasons, f"{_space_sql()} SELECT request, {_REASON_SQL} AS reason, count(*) AS n FROM s GROUP BY ALL"),
+    "select_ladder": (_chosen("ladder"), f"{_space_sql()} {_SELECTED} (SELECT *, row_number() OVER (PARTITION BY request ORDER BY candidate, variant) AS n FROM s WHERE db >= 36 AND total_us <= 150000 AND format = 'webp') q WHERE n = 1"),
+    "select_independent": (_chosen("independent"), f"{_space_sql()} {_SELECTED} {_INDEPENDENT_SQL}"),
     "decode_region_scaled": (_scaled, f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_region_sql()}) z"),
     "sniff": (_sniffed, f"SELECT f AS format, count(*) AS n FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp'), ('tiff')) v(f) GROUP BY f"),
     "probe_all": (_probed, f"SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, f AS format, CAST(4 AS BIGINT) AS channels, true AS has_alpha FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp')) v(f)"),

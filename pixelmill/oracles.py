@@ -287,5 +287,21 @@ _MEASURED = {
     "dehaze": f"WITH px AS MATERIALIZED ({_PX}), {_VEILED} SELECT d.image_id, d.y, d.x, {', '.join(f'least(255, greatest(0, floor(({c} - l) / greatest(0.1e0, 1e0 - {0.7 * 0.95!r}::DOUBLE * veil / l) + l + 0.5e0))) AS {c}' for c in 'rgb')}, d.a FROM dark d JOIN air USING (image_id)",
 }
 
+_GRAY = "(13933 * r + 46871 * g + 4732 * b + 32768) >> 16"
+_FACES = "(VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) f(image_id, x, y, w, h)"
+_CELLS = f"SELECT p.image_id, f.x AS fx, f.y AS fy, (p.x - f.x) // 3 AS i, (p.y - f.y) // 3 AS j, {', '.join(f'(sum({c}) + count(*) // 2) // count(*) AS {c}' for c in _C)} FROM ({_PX}) p JOIN {_FACES} ON f.image_id = p.image_id AND p.x BETWEEN f.x AND f.x + f.w - 1 AND p.y BETWEEN f.y AND f.y + f.h - 1 GROUP BY ALL"
+# pixels of the third picture lie in one box at most: the first ends at x = 4, the second begins at x = 5
+_OTHERS = {
+    "convert_gray": f"SELECT image_id, y, x, {_GRAY} AS r, {_GRAY} AS g, {_GRAY} AS b, 255 AS a FROM ({_PX}) p",
+    "convert_gray_alpha": f"SELECT image_id, y, x, {_GRAY} AS r, {_GRAY} AS g, {_GRAY} AS b, a FROM ({_PX}) p",
+    "convert_rgb": f"SELECT image_id, y, x, r, g, b, 255 AS a FROM ({_PX}) p",
+    "convert_spread": f"SELECT image_id, y, x, r, r AS g, r AS b, a FROM ({_PX}) p",
+    "pixelate_boxes": f"SELECT p.image_id, p.y, p.x, {', '.join(f'coalesce(m.{c}, p.{c}) AS {c}' for c in _C)} FROM ({_PX}) p LEFT JOIN {_FACES} ON f.image_id = p.image_id AND p.x BETWEEN f.x AND f.x + f.w - 1 AND p.y BETWEEN f.y AND f.y + f.h - 1 LEFT JOIN ({_CELLS}) m ON m.image_id = f.image_id AND m.fx = f.x AND m.fy = f.y AND m.i = (p.x - f.x) // 3 AND m.j = (p.y - f.y) // 3",
+    "dpr": _resized(_PX, 8, 8, 16, 16, "auto"),
+}
+
+#: Files that are read, cut, turned, inverted and written: columns 1 to 6 of rows 1 to 4, a quarter turn clockwise.
+TRANSFORMED = f"SELECT image_id, x - 1 AS y, 4 - y AS x, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM ({_PX}) p WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 4"
+
 #: Plain queries by name; they take the place of the operator's own twin.
-HAND: dict[str, str] = {**_DRAWING, **_GRADIENTS, **_RESIZING, **_WARPS, **_MEASURED}
+HAND: dict[str, str] = {**_DRAWING, **_GRADIENTS, **_RESIZING, **_WARPS, **_MEASURED, **_OTHERS}

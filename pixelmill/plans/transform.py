@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pixelmill.errors import RangeError
 from pixelmill.operators import geometry, stencil
+from pixelmill.plans import cost, lattice
 from pixelmill.plans.ir import Plan
 from pixelmill.raster import Raster
 from pixelmill.relation import Pixels
@@ -38,24 +39,43 @@ def planned(width: int, height: int, **options) -> tuple[Plan, dict]:
     return plan, rest
 
 
-def transform(files: DataFrame, width: int, height: int, to: str = "png", colors: int | None = None, **options) -> DataFrame:
+#: Formats that are tried when none is named: the better artifact first, then by price.
+AUTO = ("webp", "jpeg")
+
+
+def choose_format(width: int, height: int, plan_us: int = 0, budget_us: int | None = None) -> str:
+    """The first of the automatic formats that a budget allows behind a plan of a price, else the last; without a budget the first."""
+    if budget_us is None:
+        return AUTO[0]
+    return next((f for f in AUTO if plan_us + cost.encode_price(f, width, height) <= budget_us), AUTO[-1])
+
+
+def transform(files: DataFrame, width: int, height: int, to: str = "png", colors: int | None = None, budget_us: int | None = None, **options) -> DataFrame:
     """image_id, format, content of files (image_id, content) of one extent; without work to do the bytes pass through.
 
-    Files that are already of the format, with no option that changes a pixel, are not decoded.
+    Files that are already of the format, with no option that changes a pixel, are not decoded.  The plan's region and
+    reduction are handed to the decoders, so pixels that a crop removes never leave them.  ``to`` may be "auto"; with a
+    budget the plan gives up quality, rung by rung, until its price and the encoder's fit, if any rung does.
     """
     plan, rest = planned(width, height, **options)
-    resolved = plan.resolve()
+    if to == "auto":
+        got = plan.resolve()
+        to = choose_format(got.width, got.height, got.cost, budget_us)
+    if budget_us is not None:
+        got = plan.resolve()
+        _, _, plan = lattice.rung(plan, max(1, budget_us - cost.encode_price(to, got.width, got.height)))
+    resolved, behind = plan.behind_reading()
     if not resolved.ops and not rest:
         done = files.select("image_id", images.sniffed(F.col("content")).alias("format"), "content").where(F.col("format") == to)
         work = files.where(images.sniffed(F.col("content")) != to)
         return done.unionByName(images.encoded(images.decoded(work), to, colors))
-    pixels = images.to_pixels(images.decoded(files))
-    p = plan.apply(Pixels("SELECT image_id, y, x, r, g, b, a FROM {pixels}", width, height))
+    pixels = images.to_pixels(images.decoded(files, resolved.region, resolved.den))
+    p = behind.apply(Pixels("SELECT image_id, y, x, r, g, b, a FROM {pixels}", behind.width, behind.height))
     if "sharpen" in rest:
         p = stencil.sharpen(p, rest["sharpen"])
     if "trim" in rest:
         p = geometry.trim(p, rest["trim"])
-    return images.encoded(images.to_dense(Raster(pixels, width, height, p).df), to, colors)
+    return images.encoded(images.to_dense(Raster(pixels, behind.width, behind.height, p).df), to, colors)
 
 
 def work(df: DataFrame, name: str = "work"):

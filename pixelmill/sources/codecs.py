@@ -119,7 +119,8 @@ def _png_samples(rows: np.ndarray, width: int, depth: int, channels: int) -> np.
     return (bits @ (1 << np.arange(depth)[::-1])).astype(np.uint16)
 
 
-def decode_png(data: bytes) -> np.ndarray:
+def decode_png(data: bytes, bottom: int | None = None) -> np.ndarray:
+    """Rows from ``bottom`` on are neither inflated nor unfiltered, unless the file is interlaced."""
     head, palette, clear, body = None, None, None, []
     for kind, chunk in _png_chunks(data):
         if kind == b"IHDR":
@@ -138,7 +139,11 @@ def decode_png(data: bytes) -> np.ndarray:
     _guard(w, h)
     channels = _PNG_CHANNELS[color]
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+        if bottom and bottom < h and not lace:
+            h = bottom
+            raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), h * (1 + -(-w * channels * depth // 8))), np.uint8)
+        else:
+            raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
     except zlib.error as e:
         raise CorruptError(str(e)) from None
     step = max(1, channels * depth // 8)
@@ -600,15 +605,15 @@ def probe(data: bytes) -> Info:
     raise CorruptError(kind)
 
 
-def decode(data: bytes) -> np.ndarray:
-    """An (h, w, channels) array of bytes."""
+def decode(data: bytes, bottom: int | None = None) -> np.ndarray:
+    """An (h, w, channels) array of bytes; where a format is read top down, only the rows above ``bottom``."""
     kind = sniff(data)
     if kind == "unknown":
         raise UnknownFormatError("no known signature")
     if kind not in DECODERS:
         raise UnsupportedCodecError(kind)
     try:
-        return DECODERS[kind](data)
+        return decode_png(data, bottom) if kind == "png" else DECODERS[kind](data)
     except (struct.error, IndexError, zlib.error, ValueError) as e:
         if isinstance(e, RasterError):
             raise

@@ -85,7 +85,7 @@ def decoded(files: DataFrame, region: tuple[int, int, int, int] | None = None, d
 
     def make(image_id, content):
         try:
-            image = codecs.decode(content or b"")
+            image = codecs.decode(content or b"", region[1] + region[3] if region else None)
             if region:
                 x, y, w, h = region
                 image = image[y : y + h, x : x + w]
