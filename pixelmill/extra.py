@@ -210,7 +210,7 @@ def _read_costs_sql() -> str:
     taken = [(f, late, d, cost.CONSUMED[f][late][i]) for f in cost.CONSUMED for late in (0, 1) for i, d in enumerate((1, 2, 4, 8))]
     quick = [(f, d, cost.FAST_READ[f][i]) for f in cost.FAST_READ for i, d in enumerate((1, 2, 4, 8))]
     reads = _tuples((i, *r) for i, r in enumerate(_READS))
-    return f"""WITH t AS (SELECT * FROM (VALUES {reads}) v(i, f, w, h, n, x, y, d, late, fast)),
+    return f"""WITH t AS (SELECT i, f, CAST(w AS BIGINT) AS w, CAST(h AS BIGINT) AS h, CAST(n AS BIGINT) AS n, x, y, d, late, fast FROM (VALUES {reads}) v(i, f, w, h, n, x, y, d, late, fast)),
 r AS (SELECT t.*, rate, coalesce(part, 1000) AS part, CASE WHEN fast = 1 THEN coalesce(q.k, 1000) ELSE 1000 END AS k, CASE WHEN late = 1 OR f = 'gif' THEN 'all' WHEN f IN ('png', 'webp') THEN 'rows' ELSE 'region' END AS reach,
  CASE f WHEN 'png' THEN 7907 WHEN 'webp' THEN 75758 WHEN 'tiff' THEN CASE WHEN n * 1000 >= w * h * 3 * 900 THEN 0 ELSE 3986 END WHEN 'jpeg' THEN CASE late WHEN 1 THEN 13199 ELSE 15483 END ELSE 0 END AS per
  FROM t JOIN (VALUES {_tuples(rate)}) a(fa, late_a, da, rate) ON a.fa = t.f AND a.da = t.d AND a.late_a = CASE WHEN t.f = 'jpeg' THEN t.late ELSE 0 END

@@ -300,3 +300,99 @@ def draw_text(p: Pixels, fonts: FontSet, text: str, x: int, y: int, color: Seque
 
     rows = coverage_rows(fonts, text, width, align)
     return coverage(p, p.values(["y", "x", "v"], rows, "m"), x, y, color) if rows else p
+
+
+MAX_RUNS = 16
+
+
+@dataclass(frozen=True)
+class Run:
+    """A stretch of text with fonts and paints of its own; a stroke is (radius, colour), a shadow (dx, dy, radius, colour)."""
+
+    fonts: FontSet
+    text: str
+    color: Sequence[int] | None = None
+    stroke: tuple[int, Sequence[int]] | None = None
+    shadow: tuple[int, int, int, Sequence[int]] | None = None
+
+
+Cells = list[tuple[str, int]]  # characters with the number of their run
+
+
+def _run_lines(runs: Sequence[Run], width: int | None) -> list[Cells]:
+    """Greedy lines over all runs, broken like those of one text."""
+    if not 1 <= len(runs) <= MAX_RUNS:
+        raise RangeError("one to sixteen runs")
+    size = lambda cells: sum(runs[r].fonts.advance(c) for c, r in cells)
+    lines: list[Cells] = []
+    line: Cells = []
+    word: Cells = []
+    gap: Cells = []
+
+    def close() -> None:
+        """Put the word that ends here on the line, or on new ones where it does not fit."""
+        nonlocal line, word, gap
+        if width and line and size(line + gap + word) > width:
+            lines.append(line)
+            line, gap = [], []
+        line += gap + word
+        while width and len(line) > 1 and size(line) > width:
+            n = max(1, next(i for i in range(1, len(line) + 1) if size(line[:i]) > width) - 1)
+            lines.append(line[:n])
+            line = line[n:]
+        word, gap = [], []
+
+    for r, run in enumerate(runs):
+        for c in run.text:
+            if c == "\n":
+                close()
+                lines.append(line)
+                line = []
+            elif c == " ":
+                close()
+                gap = [(c, r)]
+            else:
+                word.append((c, r))
+    close()
+    return [*lines, line]
+
+
+def _extents(runs: Sequence[Run], line: Cells) -> tuple[int, int]:
+    """Ascent and height of a line: the largest of its runs, of the first run where it is empty."""
+    fonts = [f for r in ({r for _, r in line} or {0}) for f in runs[r].fonts.fonts]
+    return max(f.ascent for f in fonts), max(f.line_height for f in fonts)
+
+
+def measure_runs(runs: Sequence[Run], width: int | None = None) -> dict:
+    """Extent of runs in one box; ascent and line_height are those of the first line."""
+    lines = _run_lines(runs, width)
+    extents = [_extents(runs, x) for x in lines]
+    cells = [c for x in lines for c in x]
+    return {
+        "width": max(sum(runs[r].fonts.advance(c) for c, r in x) for x in lines), "height": sum(h for _, h in extents), "lines": len(lines), "ascent": extents[0][0], "line_height": extents[0][1],
+        "glyphs": len(cells), "missing": sum(not runs[r].fonts.face(ord(c)).has_glyph(ord(c)) for c, r in cells),
+    }
+
+
+def draw_runs(p: Pixels, runs: Sequence[Run], x: int, y: int, color: Sequence[int], width: int | None = None, align: str = "left") -> Pixels:
+    """Runs in one box on common baselines: all shadows, then all strokes, then all fills."""
+    from pixelmill.operators.draw import coverage
+
+    masks: list[list[tuple[int, int, int]]] = [[] for _ in runs]
+    top = 0
+    for line in _run_lines(runs, width):
+        ascent, height = _extents(runs, line)
+        slack = max(0, (width or 0) - sum(runs[r].fonts.advance(c) for c, r in line))
+        pen = {"left": 0, "center": slack // 2, "right": slack}[align] if width else 0
+        for c, r in line:
+            glyph = runs[r].fonts.face(ord(c)).glyphs.get(ord(c))
+            if glyph:
+                masks[r] += [(top + ascent - glyph.top + dy, pen + glyph.left + dx, 255) for dy, row in enumerate(glyph.rows) for dx, bit in enumerate(row) if bit == "1"]
+            pen += runs[r].fonts.advance(c)
+        top += height
+    layers = [(softened(m, r.shadow[2]), r.shadow[0], r.shadow[1], r.shadow[3]) for m, r in zip(masks, runs, strict=True) if r.shadow]
+    layers += [(grown(m, r.stroke[0]), 0, 0, r.stroke[1]) for m, r in zip(masks, runs, strict=True) if r.stroke]
+    for mask, dx, dy, ink in [*layers, *((m, 0, 0, r.color or color) for m, r in zip(masks, runs, strict=True))]:
+        if mask:
+            p = coverage(p, p.values(["y", "x", "v"], mask, "m"), x + dx, y + dy, ink)
+    return p
