@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +52,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    got = count_tokens(_documents(spark, sf_dir), tokenizer or public_tokenizers.path("word_bpe_49k.json"))
+    if tokenizer is None:
+        import public_tokenizers  # the vocabulary files are outside the repository
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    got = count_tokens(_documents(spark, sf_dir), tokenizer)
     return got.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"), "n_chunks", "n_widened")
 
 
