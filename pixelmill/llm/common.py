@@ -147,14 +147,17 @@ def prefix_sums(
     keys = [*by, "_coarse", "_bucket"]
     df = df.withColumns({"_coarse": coarse.cast("int"), "_bucket": F.pmod(F.xxhash64(spread, F.lit(7)), F.lit(buckets)).cast("int")})
     df = df.withColumns({f"_v_{k}": v for k, v in values.items()})
-    # totals of buckets, and of lots of buckets: no task sums more than about the root of a group's buckets in order
+    # totals of buckets; where these are many also of lots of them, so no task sums more than about their root in order
     totals = df.groupBy(*keys).agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values)).withColumn("_lot", F.floor(F.col("_bucket") / lot).cast("int"))
-    lots = totals.groupBy(*by, "_coarse", "_lot").agg(*(F.sum(f"_t_{k}").alias(f"_l_{k}") for k in values))
     running = lambda w, name, k: F.coalesce(F.sum(name).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_o_{k}")
-    outer = lots.select(*by, "_coarse", "_lot", *(running(Window.partitionBy(*by).orderBy("_coarse", "_lot"), f"_l_{k}", k) for k in values))
-    within = totals.select(*keys, "_lot", *(running(Window.partitionBy(*by, "_coarse", "_lot").orderBy("_bucket"), f"_t_{k}", k) for k in values))
-    offsets = _joined(within, outer, [*by, "_coarse", "_lot"], "_y_", {f"_o_{k}": "_x_" for k in values})
-    offsets = offsets.select(*keys, *((F.col(f"_o_{k}") + F.col(f"_x__o_{k}")).alias(f"_o_{k}") for k in values))
+    if buckets <= 1024:
+        offsets = totals.select(*keys, *(running(Window.partitionBy(*by).orderBy("_coarse", "_bucket"), f"_t_{k}", k) for k in values))
+    else:
+        lots = totals.groupBy(*by, "_coarse", "_lot").agg(*(F.sum(f"_t_{k}").alias(f"_l_{k}") for k in values))
+        outer = lots.select(*by, "_coarse", "_lot", *(running(Window.partitionBy(*by).orderBy("_coarse", "_lot"), f"_l_{k}", k) for k in values))
+        within = totals.select(*keys, "_lot", *(running(Window.partitionBy(*by, "_coarse", "_lot").orderBy("_bucket"), f"_t_{k}", k) for k in values))
+        offsets = _joined(within, outer, [*by, "_coarse", "_lot"], "_y_", {f"_o_{k}": "_x_" for k in values})
+        offsets = offsets.select(*keys, *((F.col(f"_o_{k}") + F.col(f"_x__o_{k}")).alias(f"_o_{k}") for k in values))
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumns({f"_p_{k}": F.coalesce(F.sum(f"_v_{k}").over(inner), F.lit(0)) for k in values})
     joined = _joined(df, offsets, keys, "_k_", {})

@@ -32,7 +32,9 @@ from pixelmill.llm.common import forget, prefix_sums, small, written
 
 # Fixed value: a word is a maximal run of other characters than these.
 WORD = r"[^\x20\x09-\x0D]+"
-_STEPS = 100
+_STEPS = 25
+#: Rows of sources and sizes that are one task's work.
+_ALONE = 500_000
 
 
 def word_count(text: Column) -> Column:
@@ -68,33 +70,43 @@ def tilted(size: Column, mean: Column, lam: Column, cap: int) -> Column:
     return F.lit(float(cap)) / (F.lit(1.0) + F.exp(F.lit(math.log((cap - least) / least)) - lam * size / mean))
 
 
+def _newton(sizes: DataFrame, state: DataFrame, cap: int, within: float) -> DataFrame:
+    """The state after one step; every source has a size, so the join keeps all of them."""
+    exact = lambda x: F.sum(F.round(x, 6).cast("decimal(38,6)")).cast("double")
+    held = ["source_size", "target", "mean", "lam", "lo", "hi"]
+    x = sizes.join(state.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
+    rate = tilted(F.col("size"), F.col("mean"), F.col("lam"), cap)
+    mass = F.col("n") * F.col("size") * rate
+    now = x.groupBy("source").agg(*(F.first(c).alias(c) for c in held), exact(mass).alias("_f"), exact(mass * F.col("size") / F.col("mean") * (1 - rate / float(cap))).alias("_g"))
+    miss = F.col("_f") - F.col("target")
+    lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
+    now = now.select("source", "source_size", "target", "mean", "lam", lo.alias("lo"), hi.alias("hi"), miss.alias("residual"), F.when(F.col("_g") > 0, -miss / F.col("_g")).alias("step"))
+    inner = F.when(F.col("hi") == float("inf"), F.col("lo") + 4).when(F.col("lo") == float("-inf"), F.col("hi") - 4).otherwise((F.col("lo") + F.col("hi")) / 2)
+    to = F.col("lam") + F.col("step")
+    moved = F.when((to > F.col("lo")) & (to < F.col("hi")) & (F.abs("step") <= 4), to).otherwise(inner)
+    lam = F.when(F.abs("residual") <= within, F.col("lam")).when(F.col("lam").isNotNull(), moved)
+    return now.select("source", "source_size", "target", "mean", lam.alias("lam"), "lo", "hi", "residual")
+
+
 def balanced(sizes: DataFrame, targets: DataFrame, cap: int, within: float = 0.5) -> DataFrame:
     """source, source_size, target, mean, lam and residual (tokens at the rates less the target) for every source.
 
     ``sizes`` are the numbers ``n`` of documents of each source and size.  A source without tokens or whose target is 0
     has no lambda, nor has one whose target is ``cap`` times its size: rates are 0, or all ``cap``.
     """
-    exact = lambda x: F.sum(F.round(x, 6).cast("decimal(38,6)")).cast("double")
     documents = sizes.where("size > 0").groupBy(F.col("source").alias("_source")).agg(F.sum("n").alias("_n"))
     state = targets.join(documents, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     free = (F.col("source_size") > 0) & (F.col("target") > 0) & (F.col("target") < F.lit(float(cap)) * F.col("source_size"))
     state = state.select("source", "source_size", "target", (F.col("source_size") / F.col("_n")).alias("mean"), F.when(free, F.lit(0.0)).alias("lam"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(None).cast("double").alias("residual"))
+    # a table that fits in one task's batch stays in one: its aggregations then need no exchange
+    if sizes.limit(_ALONE + 1).count() <= _ALONE:
+        sizes, state = sizes.coalesce(1), state.coalesce(1)
     state = written(state, "mix-dual")
     for _ in range(_STEPS):
-        here = small(state.where("lam is not null").withColumnRenamed("source", "_source"))
-        x = sizes.join(here, F.col("source").eqNullSafe(F.col("_source")))
-        rate = tilted(F.col("size"), F.col("mean"), F.col("lam"), cap)
-        mass = F.col("n") * F.col("size") * rate
-        sums = x.groupBy("source").agg(exact(mass).alias("_f"), exact(mass * F.col("size") / F.col("mean") * (1 - rate / float(cap))).alias("_g"))
-        now = state.drop("residual").join(sums.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-        miss = F.col("_f") - F.col("target")
-        lo, hi = F.when(miss < 0, F.col("lam")).otherwise(F.col("lo")), F.when(miss > 0, F.col("lam")).otherwise(F.col("hi"))
-        now = now.select("source", "source_size", "target", "mean", "lam", lo.alias("lo"), hi.alias("hi"), miss.alias("residual"), F.when(F.col("_g") > 0, -miss / F.col("_g")).alias("step"))
-        inner = F.when(F.col("hi") == float("inf"), F.col("lo") + 4).when(F.col("lo") == float("-inf"), F.col("hi") - 4).otherwise((F.col("lo") + F.col("hi")) / 2)
-        to = F.col("lam") + F.col("step")
-        held = F.when((to > F.col("lo")) & (to < F.col("hi")) & (F.abs("step") <= 4), to).otherwise(inner)
-        lam = F.when(F.abs("residual") <= within, F.col("lam")).when(F.col("lam").isNotNull(), held)
-        before, state = state, written(now.select("source", "source_size", "target", "mean", lam.alias("lam"), "lo", "hi", "residual"), "mix-dual")
+        now = state
+        for _ in range(4):
+            now = _newton(sizes, now, cap, within)
+        before, state = state, written(now, "mix-dual")
         forget(before)
         if not state.where(F.abs("residual") > within).limit(1).count():
             break
