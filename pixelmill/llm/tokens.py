@@ -10,7 +10,12 @@ White space is stable for a tokenizer whose normaliser turns it into one space a
 (``word_bpe_49k.json``): no piece contains any.  For the same reason the encoder may look at each run of non-space
 characters by itself; it keeps the library's answer for runs it has met, in a table of bounded size.
 
-Nulls and empty texts have no tokens.  Very long texts cost memory in proportion to one chunk.  Repeated rows each give a row.
+A file whose normaliser, pre-tokenizer, model or added tokens are others (:func:`known_rules`) is counted by the library
+alone, whole text by whole text, so no assumption about white space or pieces can miscount it.
+
+Nulls and empty texts have no tokens.  Repeated rows each give a row, an empty table gives an empty result, and columns
+besides doc_id and text are not read.  Memory is in proportion to a chunk plus the longest run without white space, which
+is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -33,6 +38,27 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff
 _PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
+# The rules under which white space parts texts and pieces are cut by _PIECE.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+
+def known_rules(config: dict) -> bool:
+    """Whether a tokenizers file has the rules that splicing and the merge loop rest on."""
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    model, added = config.get("model") or {}, config.get("added_tokens") or []
+    return (
+        (config.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and len(cuts) == 2
+        and (cuts[0].get("type"), cuts[0].get("pattern"), cuts[0].get("behavior"), cuts[0].get("invert")) == ("Split", {"Regex": _PATTERN}, "Removed", True)
+        and (cuts[1].get("type"), cuts[1].get("add_prefix_space"), cuts[1].get("use_regex")) == ("ByteLevel", False, False)
+        and model.get("type") == "BPE"
+        and model.get("end_of_word_suffix")
+        and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+        and all(x["content"].startswith("<|") and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"]) for x in added)
+    )
+
+
 class Merges:
     """The merges of a byte-level BPE model with word ends, applied to many pieces at once.
 
@@ -135,7 +161,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.merges = Merges(json.loads(self.library.to_str())["model"])
+        config = json.loads(self.library.to_str())
+        self.plain = not known_rules(config)
+        self.merges = None if self.plain else Merges(config["model"])
         self.keep, self.young, self.old, self.ends = keep, {}, {}, {}
 
     def _learn(self, new: set[str]) -> None:
@@ -153,6 +181,8 @@ class Encoder:
 
     def counts(self, texts: list[str]) -> list[int]:
         """The number of tokens that the library gives for each whole text."""
+        if self.plain:
+            return [len(x) for x in self.library.encode_batch(texts, add_special_tokens=False)]
         cut = []
         for text in texts:
             if not _OTHER.search(text) and "<|" not in text:
@@ -241,8 +271,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, chunk: int = 65_536, overlap:
         if "it" not in held:
             held["it"] = Encoder(tokenizer)
         encoder, texts = held["it"], [x or "" for x in batch.column("text").to_pylist()]
-        rows = [(n, 1, 0) for n in encoder.counts(["" if len(x) > chunk else x for x in texts])]
-        rows = [count_spliced(encoder, x, chunk, overlap) if len(x) > chunk else r for x, r in zip(texts, rows, strict=True)]
+        long = [len(x) > chunk and not encoder.plain for x in texts]
+        rows = [(n, 1, 0) for n in encoder.counts(["" if y else x for x, y in zip(texts, long, strict=True)])]
+        rows = [count_spliced(encoder, x, chunk, overlap) if y else r for x, y, r in zip(texts, long, rows, strict=True)]
         n_bytes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64())
         tokens, chunks, widened = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays(

@@ -1,9 +1,10 @@
+import json
 import random
 
 import public_tokenizers
 import pytest
 
-from pixelmill.llm.tokens import Encoder, count_spliced, count_tokens
+from pixelmill.llm.tokens import Encoder, count_spliced, count_tokens, known_rules
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 PARTS = ["a", "B", "é", "É", "ß", "'s", "'", "'ll", "1", " ", "\n", "\x1c", "\x85", "ſ", "İ", "x́", "<|endoftext|>", "<|", ".", "--", "µ", "ÿ", "Ÿ", "×", "€", "日本", "\x00", "\x7f", "the", "ing", " th", "thinking", "ΑΣ", "　"]
@@ -43,3 +44,21 @@ def test_rows_with_nulls_and_extra_columns(spark):
     got = sorted(count_tokens(docs, PATH, chunk=60, overlap=8).select("n_bytes", "n_tokens", "doc_id").collect(), key=str)
     assert sorted((r[0], r[1]) for r in got) == [(0, 0), (0, 0), (0, 0), (9, 2), (200, 100)]
     assert count_tokens(docs.limit(0), PATH).collect() == []
+
+
+def test_other_rules_are_left_to_the_library(spark, encoder, tmp_path):
+    config = json.loads(encoder.library.to_str())
+    assert known_rules(config) and not encoder.plain
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": None}, {"added_tokens": [{**config["added_tokens"][0], "content": "the thing"}]}):
+        assert not known_rules(config | change)
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as f:
+        json.dump(config | {"added_tokens": [{**config["added_tokens"][0], "content": "the thing"}]}, f)
+    other = Encoder(path)
+    texts = ["see the thing here", "the thing" * 9, "the  thing"]
+    assert other.plain and other.counts(texts) == library(other, texts) != encoder.counts(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, path, chunk=8, overlap=2).collect()}
+    assert [got[i] for i in range(3)] == library(other, texts)
+    whole = Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert whole.plain and whole.counts(["a  b", ""]) == library(whole, ["a  b", ""])
