@@ -18,9 +18,9 @@ tried in rounds, each of which makes rows in proportion to the buckets' rows and
   original rather than one of its edits).  What links is one component.
 * Then nodes of a bucket in different components are compared, in cells of bounded size (:func:`_dealt`).  A cell emits the
   nearest pairs (four) of a node and a component that pass the filter and takes the two for one from there on, so it emits
-  fewer than four times as many pairs as it has components.  Where all of a bucket's pairs are links, the bucket is done: what passes the
-  filter lies in one component.  Otherwise the bucket comes again without the pairs that failed and may try 16 times as
-  many pairs at a time, until none fails.
+  fewer than four times as many pairs as it has components.  Where all of a bucket's pairs are links, the bucket is done:
+  what passes the filter lies in one component.  Otherwise the bucket comes again without the pairs that failed and may
+  try 16 times as many pairs at a time, until none fails.
 
 So a large group of copies costs a few stars, not all its pairs, and no link between components is lost.
 
@@ -471,11 +471,11 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     base = written(sketched(docs, k, percent), "sets")
     by_sig = Window.partitionBy("sig")
     rows = base.where("sigs is not null").select("id", F.explode("sigs").alias("sig"))
-    rows = rows.withColumns({"least": F.min("id").over(by_sig), "most": F.max("id").over(by_sig)}).where("least != most").select("sig", "id")
-    common = base.where("size(common) > 0").select(F.explode("common").alias("sig"), "id")
-    shared = written(rows.distinct().unionByName(common.distinct()).distinct(), "buckets")
-    sizes = shared.groupBy("sig").agg(F.count("*").alias("rows"))
-    weights = shared.join(sizes, "sig").groupBy("id").agg(F.sum("rows").alias("weight"))
+    rows = rows.withColumns({"least": F.min("id").over(by_sig), "most": F.max("id").over(by_sig), "rows": F.count("id").over(by_sig)}).where("least != most").select("sig", "id", "rows")
+    common = base.where("size(common) > 0").select(F.explode("common").alias("sig"), "id", F.lit(4 * _COMMON).cast("long").alias("rows"))
+    shared = written(rows.unionByName(common).groupBy("sig", "id").agg(F.max("rows").alias("rows")), "buckets")
+    # a node's weight, about the size of its buckets, only chooses leaders: what is found does not depend on it
+    weights = shared.groupBy("id").agg(F.sum("rows").alias("weight"))
     nodes = base.where("sketch is not null").groupBy("id").agg(F.min("doc_id").alias("doc"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     info = written(nodes.join(weights, "id"), "info")
     whole, base = base, written(base.select("doc_id", "n", "id"), "ids")
