@@ -38,10 +38,17 @@ def auto_contrast(p: Pixels) -> Pixels:
     return p.of(f"SELECT t.image_id, t.y, t.x, {body}, t.a FROM ({p.sql}) t JOIN {clip_range(p, 'luma')} k ON k.image_id = t.image_id")
 
 
-def auto_levels(p: Pixels) -> Pixels:
-    joins = " ".join(f"JOIN {clip_range(p, c)} k{c} ON k{c}.image_id = t.image_id" for c in COLORS)
-    body = ", ".join(f"{_stretch(p, f't.{c}', f'k{c}.lo', f'k{c}.hi')} AS {c}" for c in COLORS)
-    return p.of(f"SELECT t.image_id, t.y, t.x, {body}, t.a FROM ({p.sql}) t {joins}")
+def auto_levels(p: Pixels, fraction: float = 0.005) -> Pixels:
+    """Each colour stretched by a range of its own; the three histograms come from one pass."""
+    pick = "CASE k.c WHEN 0 THEN t.r WHEN 1 THEN t.g ELSE t.b END"
+    counted = f"(SELECT t.image_id, k.c, {pick} AS v, count(*) AS n FROM ({p.sql}) t CROSS JOIN {p.values(['c'], [(0,), (1,), (2,)], 'k')} GROUP BY t.image_id, k.c, {pick})"
+    part = "OVER (PARTITION BY image_id, c"
+    runs = f"(SELECT image_id, c, v, sum(n) {part} ORDER BY v) AS up, sum(n) {part} ORDER BY v DESC) AS down, sum(n) {part}) AS total FROM {counted} h)"
+    ends = f"(SELECT image_id, c, min(CASE WHEN up > total * {num(fraction)} THEN v END) AS lo, max(CASE WHEN down > total * {num(fraction)} THEN v END) AS hi FROM {runs} r GROUP BY image_id, c)"
+    wide = ", ".join(f"max(CASE WHEN c = {i} THEN CASE WHEN lo < hi THEN lo ELSE 0 END END) AS lo_{c}, max(CASE WHEN c = {i} THEN CASE WHEN lo < hi THEN hi ELSE 255 END END) AS hi_{c}" for i, c in enumerate(COLORS))
+    ranges = f"(SELECT image_id, {wide} FROM {ends} e GROUP BY image_id)"
+    body = ", ".join(f"{_stretch(p, f't.{c}', f'k.lo_{c}', f'k.hi_{c}')} AS {c}" for c in COLORS)
+    return p.of(f"SELECT t.image_id, t.y, t.x, {body}, t.a FROM ({p.sql}) t JOIN {ranges} k ON k.image_id = t.image_id")
 
 
 def _means(p: Pixels) -> str:

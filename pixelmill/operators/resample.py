@@ -185,18 +185,18 @@ def warp(p: Pixels, width: int, height: int, sx: str, sy: str, background: Seque
     at = f"(SELECT g.image_id, g.y, g.x, round({sx}, {drops}) AS sx, round({sy}, {drops}) AS sy FROM {G.grid(p, width, height)} g)"
     taps_ = p.values(["dx", "dy"], [(0, 0), (1, 0), (0, 1), (1, 1)], "k")
     fx, fy = "(q.sx - floor(q.sx))", "(q.sy - floor(q.sy))"
+    inside = "true" if clamp_edges else f"q.sx >= -0.5e0 AND q.sx < {num(p.width - 0.5)} AND q.sy >= -0.5e0 AND q.sy < {num(p.height - 0.5)}"
+    near = lambda c, last: f"CASE WHEN {inside} THEN least(greatest({p.floor(f'q.s{c}')} + k.d{c}, 0), {last}) END AS j{c}"
+    # a place outside has no neighbour: its sums are null, so one join and one aggregate make the whole canvas
     corner = (
-        f"(SELECT q.image_id, q.y, q.x, least(greatest({p.floor('q.sx')} + k.dx, 0), {p.width - 1}) AS jx, least(greatest({p.floor('q.sy')} + k.dy, 0), {p.height - 1}) AS jy, "
-        f"(CASE WHEN k.dx = 1 THEN {fx} ELSE 1e0 - {fx} END) * (CASE WHEN k.dy = 1 THEN {fy} ELSE 1e0 - {fy} END) AS w FROM {at} q CROSS JOIN {taps_}"
-        + ("" if clamp_edges else f" WHERE q.sx >= -0.5e0 AND q.sx < {num(p.width - 0.5)} AND q.sy >= -0.5e0 AND q.sy < {num(p.height - 0.5)}")
-        + ")"
+        f"(SELECT q.image_id, q.y, q.x, {near('x', p.width - 1)}, {near('y', p.height - 1)}, "
+        f"(CASE WHEN k.dx = 1 THEN {fx} ELSE 1e0 - {fx} END) * (CASE WHEN k.dy = 1 THEN {fy} ELSE 1e0 - {fy} END) AS w FROM {at} q CROSS JOIN {taps_})"
     )
-    # a fixed order of the four products keeps double sums equal whatever the order of rows
-    sums = ", ".join(f"sum(CAST(floor(n.w * 16777216e0 + 0.5e0) AS BIGINT) * t.{c}) AS s_{c}" for c in CHANNELS)
-    got = f"(SELECT n.image_id, n.y, n.x, {sums} FROM {corner} n JOIN ({p.sql}) t ON t.image_id = n.image_id AND t.y = n.jy AND t.x = n.jx GROUP BY n.image_id, n.y, n.x)"
-    body = ", ".join(f"CASE WHEN v.s_{c} IS NULL THEN {f} ELSE least(255, {p.shr(f'CAST(v.s_{c} AS BIGINT) + 8388608', 24)}) END AS {c}" for c, f in zip(CHANNELS, fill, strict=True))
-    sql = f"SELECT g.image_id, g.y, g.x, {body} FROM {G.grid(p, width, height)} g LEFT JOIN {got} v ON v.image_id = g.image_id AND v.y = g.y AND v.x = g.x"
-    return p.of(sql, width=width, height=height, channels=4)
+    # weights are integers of 2 ** -24, so sums are the same in any order of rows
+    sums = ", ".join(f"CAST(sum(CAST(floor(n.w * 16777216e0 + 0.5e0) AS BIGINT) * t.{c}) AS BIGINT) AS s_{c}" for c in CHANNELS)
+    got = f"(SELECT n.image_id, n.y, n.x, {sums} FROM {corner} n LEFT JOIN ({p.sql}) t ON t.image_id = n.image_id AND t.y = n.jy AND t.x = n.jx GROUP BY n.image_id, n.y, n.x)"
+    body = ", ".join(f"CASE WHEN s_{c} IS NULL THEN {f} ELSE least(255, {p.shr(f's_{c} + 8388608', 24)}) END AS {c}" for c, f in zip(CHANNELS, fill, strict=True))
+    return p.of(f"SELECT image_id, y, x, {body} FROM {got} v", width=width, height=height, channels=4)
 
 
 def affine(p: Pixels, width: int, height: int, inverse: Sequence[float], background=None) -> Pixels:

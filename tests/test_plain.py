@@ -284,6 +284,20 @@ def test_automatic_colour(spark, table):
     assert (arrays(spark, auto.auto_gamma(dark))[1][0, 0, :3] != (0, 1, 0)).any()  # a mean below 1 is no reason to stay
 
 
+def test_levels_of_each_colour(spark, table):
+    def want(p):
+        out = p.copy()
+        for c in range(3):
+            v = np.sort(p[..., c].ravel())
+            skip = int(len(v) * 0.005)
+            lo, hi = v[skip], v[len(v) - 1 - skip]
+            lo, hi = (lo, hi) if lo < hi else (0, 255)
+            out[..., c] = plain.half_up(255 * np.clip((p[..., c] - lo) / (hi - lo), 0, 1))
+        return out
+
+    same(spark, auto.auto_levels(table), want)
+
+
 def test_dehaze(spark, table):
     def want(p):
         low = np.pad(p[..., :3].min(2), 1, mode="edge")
