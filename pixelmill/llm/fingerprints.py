@@ -14,6 +14,8 @@ mean over the rounds of the estimated Jaccard similarity of the name sets: that
 ones of both texts if there are fewer, or of all names where both texts have fewer than 24.
 
 A null text counts as empty; empty texts have the empty fingerprint, which is like itself (1) and unlike all others (0).
+Repeated rows each give a row, an empty table gives an empty result, columns besides doc_id and text are not read.  A text
+is parsed as a whole, in memory of about forty times its bytes.
 """
 
 from __future__ import annotations

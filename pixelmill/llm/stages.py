@@ -14,7 +14,11 @@ from pixelmill.llm.toxicity import not_toxic
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier does not reject; it learns from the labels of documents outside the held-out fold."""
+    """Rows that the classifier does not reject; it learns from the labels of documents outside the held-out fold.
+
+    Null and empty texts have the score of the bias alone; repeated rows share their fate; a score of one half rejects.
+    Without a label, and in an empty table, every row stays.  Texts are scored whole, whatever their length.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return not_toxic(docs, labels)
 
@@ -50,7 +54,11 @@ def _one_row_each(docs: DataFrame, mark: Column) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose text holds no benchmark item."""
+    """Rows whose text holds no benchmark item.
+
+    Null and empty texts hold nothing and stay, as all rows do if the benchmark is empty; repeated rows share their fate.
+    An item that is held to 0.8 of its shingles exactly counts as held.  Texts are searched whole.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hidden = [c for c in docs.columns if c != "hits"]
     if len(hidden) < len(docs.columns):  # a column of that name is the table's own
@@ -82,5 +90,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row."""
+    """doc_id, size, text_crc32, shard and slot of every row.
+
+    Null texts have size 8 and are linked with nothing; repeated rows are separate rows with slots of their own, ties are
+    broken by hashes; an empty table gives an empty result.
+    """
     return shard(docs)

@@ -73,3 +73,16 @@ def test_whole_licences_and_headers_get_their_own_names():
             assert [x["license"] for x in scanner.found(pa.array([text]))[0]] == [name + "-or-later"]
             text = text.replace("either ", "").replace(", or (at your option) any later version", "")
             assert [x["license"] for x in scanner.found(pa.array([text]))[0]] == [name]
+
+
+def test_many_notices_take_time_in_proportion():
+    import time
+
+    scanner, took = Scanner(TEMPLATES, 0.8), {}
+    for n in (1000, 8000):
+        text = "Licensed under the MIT License. some filler words here today " * n
+        began = time.process_time()
+        got = scanner.found(pa.array([text]))[0]
+        took[n] = time.process_time() - began
+        assert len(got) == n and {x["license"] for x in got} == {"MIT"}
+    assert took[8000] < 30 * max(0.05, took[1000])

@@ -405,3 +405,49 @@ def test_a_cell_gives_the_nearest_pairs_of_components():
     assert pairs([0, 0, 0, 0, 4, 5], nothing, 3) == [(4, 0), (4, 1), (4, 2)]
     assert pairs([0, 0, 0, 0, 4, 5], [None] * 4 + [[0, 1], None], 1) == [(4, 2)]
     assert pairs([0, 0, 0, 0, 4, 5], [[4], [4], [4], [4], None, None], 9) == []
+
+
+def test_texts_longer_than_a_step(spark):
+    """Texts of more than a megabyte among short ones: what stands at their ends is found, and they compare as a whole."""
+    rng = random.Random(23)
+    item = "the quick test item that should never stand in any corpus at all"
+    tail = f' password = "Zx81kfe9Q2mmPl0" mail last.one@example.org {item} Licensed under the MIT License.'
+    long = " ".join(sentence(rng, 1000) for _ in range(190)) + tail
+    assert len(long) > 1 << 20
+    rows = [(1, long, "en", "s", 1), (2, long + " more", "en", "s", 1), (3, "short text", "en", "s", 1), (4, None, "en", "s", 1), (5, long, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS).coalesce(1)
+    secrets = {r.doc_id: r for r in find_secrets(docs).collect()}
+    at = long.index("password")
+    assert f"assign:{at}:{at + 27}" in secrets[1].spans and secrets[1].spans == secrets[5].spans and secrets[3].n_assign == secrets[4].n_assign == 0
+    mail = long.index("last.one@")
+    assert f"email:{mail}:{mail + 20}" in {r.doc_id: r for r in find_pii(docs).collect()}[2].spans
+    assert {r.doc_id: r.license for r in license_summary(docs).collect()} == {1: "MIT", 2: "MIT", 5: "MIT", 3: None, 4: None}
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.containment) for r in contaminated(docs, bench).collect()) == [(i, 7, 1.0) for i in (1, 2, 5)]
+    sets = {r[0]: len(shingle_set(r[1], 4)) for r in rows}
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs, 4, 85).collect()} == {(1, sets[1], 1), (2, sets[2], 1), (5, sets[5], 1), (3, 1, 3), (4, 0, 4)}
+    prints = {r.doc_id: r.fingerprint for r in fingerprints(docs).collect()}
+    assert prints[1] == prints[5] and parse_likeness(prints[1], prints[2]) > 0.99
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity(docs, labels).collect()}
+    assert scores[1] == scores[5] and len(scores) == 5
+    assert {r.doc_id: r.size for r in mix(docs).collect()} == {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    check_shards(shard(docs, 2).collect(), rows, 2)
+
+
+def test_null_texts_are_not_linked(spark):
+    rows = [(None, None, "en", "s", 1)] * 200 + [(i, f"text number {i} " * 5, "en", "s", 1) for i in range(40)]
+    got = shard(spark.createDataFrame(rows, COLUMNS), 4).collect()
+    check_shards(got, rows, 4)
+    spread = Counter(r.shard for r in got if r.doc_id is None)
+    assert len(spread) > 1 or max(spread.values()) < 200
+
+
+def test_equal_rows_are_mixed_together(spark, tmp_path):
+    rows = [(1, "one two three", "en", "a", 1)] * 5 + [(2, "four five", "en", "a", 1), (None, "six seven eight", "en", "b", 1), (None, None, "en", "b", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS).repartition(3)
+    total = Counter()
+    for r in mix(docs).collect():
+        total[r.doc_id, r.size] += r.copies
+    got = Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in stages.mix_sources(spark, docs, str(tmp_path)).collect())
+    assert got == Counter({k: n for k, n in total.items() if n})

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pixelmill.llm.pii import luhn, mod97, pii_spans
 from pixelmill.llm.secrets import base_spans, form, lexed_spans, secret_spans
@@ -94,3 +95,21 @@ def test_pii_query_returns_scores_and_context_words(spark, tmp_path):
     got = {r.doc_id: r for r in op3_pii(spark, str(tmp_path)).collect()}
     (found,) = pii_spans(texts[0][1])
     assert got[1].scores == ":".join(map(str, found)) and got[2].scores == got[3].scores == ""
+
+
+def seconds(f, *a):
+    began = time.process_time()
+    f(*a)
+    return time.process_time() - began
+
+
+def test_time_is_in_proportion_to_the_text():
+    for make in (lambda n: "=".join(f"a{i}" for i in range(n)), lambda n: ":".join(f"a{i}" for i in range(n)), lambda n: "\n".join(f"password = Zx81kfe9Q2mmPl{i}" for i in range(n)), lambda n: "a=\"b' " * n):
+        short, long = make(10_000), make(80_000)
+        secret_spans(short)
+        assert seconds(secret_spans, long) < 30 * max(0.02, seconds(secret_spans, short))  # eight times as long; sixty-four if quadratic
+
+
+def test_a_bare_word_ends_before_the_next_operator():
+    t = "user=ab12CD34ef;password=Zx81kfe9Q2mm==\napi_token:Qw12er34Ty56:tail"
+    assert [t[s[1] : s[2]] for s in lexed_spans(t)] == ["Zx81kfe9Q2mm==", "Qw12er34Ty56"]
