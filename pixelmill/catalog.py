@@ -120,6 +120,7 @@ FORMS: dict[str, Form] = {
     "blur_boxes": lambda p: detect.blur_boxes(p, "SELECT * FROM (VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) AS b_(image_id, x, y, width, height)", 1.0),
     "pixelate_boxes": lambda p: detect.pixelate_boxes(p, "SELECT * FROM (VALUES (3, 1, 1, 4, 5), (3, 5, 0, 3, 3), (9, 0, 0, 8, 8)) AS b_(image_id, x, y, width, height)", 3), "dpr": lambda p: resample.zoom(p, 2.0),
     "draw_text": lambda p: text.draw_text(p, _letters(), "A i.", 0, 1, (*RED, 255), 8), "draw_text_styled": lambda p: text.draw_styled(p, _letters(), "Ai", 1, 1, (*RED, 255), (1, (*SEA, 200)), (1, 1, 1, (0, 0, 0, 180))),
+    "draw_text_box": lambda p: text.draw_box(p, _letters(), "A i.", 1, 0, text.Box(7, 0, "right"), (*RED, 200)), "draw_text_runs": lambda p: text.draw_runs(p, [text.Run(_letters(), "A"), text.Run(_letters(), "i.", (*SEA, 255), (1, (0, 0, 0, 90)))], 0, 2, (*RED, 255)),
     "draw_coverage": lambda p: draw.coverage(p, p.values(["y", "x", "v"], [(y, x, (40 * x + 60 * y) % 256) for y in range(4) for x in range(5)], "m"), 2, 1, (*RED, 220)),
 }
 

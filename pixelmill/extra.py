@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pixelmill import oracles
 from pixelmill.catalog import spark_query
-from pixelmill.operators import analysis, geometry, metadata, resample, text
+from pixelmill.functions import color as C
+from pixelmill.operators import analysis, geometry, metadata, resample, stencil, text, tone
 from pixelmill.plans import cost, lattice, transform
 from pixelmill.plans.ir import Plan
 from pixelmill.relation import Pixels, fixture
@@ -249,6 +250,49 @@ def _chain_sql() -> str:
     return f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_chain(fixture('duck'), False).sql}) q"
 
 
+def _eager(p: Pixels) -> Pixels:
+    """What the plan of ``plan_tone`` comes to, operator by operator."""
+    p = stencil.gaussian_blur(tone.matrix(p, C.contrast(1.2)), 1.0)
+    p = stencil.despeckle(tone.matrix(p, C.saturation(0.5)))
+    p = stencil.dilate(tone.curve(p, "gamma", 1.4), 1)
+    p = stencil.box_blur(tone.curve(p, "levels", 20, 230, 1.2, 0, 255), 1)
+    return tone.matrix(p, C.square((0.5, 0.5, 0, 0, 1, 0, 0.2, 0, 0.8)))
+
+
+def _planned(p: Pixels) -> Pixels:
+    plan = Plan(8, 8).contrast(1.2).gaussian_blur(1.0).saturation(0.5).effect("median").gamma(1.4).effect("dilate", 1).curve("levels", 20, 230, 1.2, 0, 255).blur(1)
+    return plan.matrix(C.square((0.5, 0.5, 0, 0, 1, 0, 0.2, 0, 0.8))).apply(p)
+
+
+_PLANS = {
+    "turns": lambda: Plan(400, 200).rotate(90).rotate(270).brightness(1.0).invert(),
+    "crops": lambda: Plan(400, 200).crop(10, 20, 100, 100).contrast(2).crop(5, 5, 50, 0),
+    "thumbnail": lambda: Plan(1600, 1200).crop(0, 0, 800, 800).brightness(1.1).gamma(2).resize(90, 90),
+    "barrier": lambda: Plan(400, 200).flip_h().blur(3).flip_h().grayscale().hue(40),
+    "fitted": lambda: Plan(400, 200).fit(100, 100, "cover").rotate(90),
+}
+
+
+def _resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = []
+    for name, make in _PLANS.items():
+        plan = make()
+        got = plan.resolve()
+        rows.append((name, len(plan.ops), ",".join(op.kind for op in got.ops), got.width, got.height, got.channels, got.stages, got.den, str(got.region or "")))
+    return spark.createDataFrame(rows, "name string, appended long, ops string, width long, height long, channels long, stages long, den long, region string")
+
+
+_RESOLUTIONS = """SELECT name, CAST(COLUMNS(['appended', 'width', 'height', 'channels', 'stages', 'den']) AS BIGINT), ops, region FROM (VALUES
+ ('turns', 4, 'invert', 400, 200, 4, 1, 1, ''), ('crops', 3, 'crop,contrast', 50, 95, 4, 1, 1, '(15, 25, 50, 95)'), ('thumbnail', 4, 'crop,brightness,gamma,resize', 90, 90, 4, 1, 8, '(0, 0, 800, 800)'),
+ ('barrier', 5, 'flip_h,blur,flip_h,grayscale', 400, 200, 2, 1, 1, ''), ('fitted', 2, 'fit,rotate', 100, 100, 4, 0, 1, '')) v(name, appended, ops, width, height, channels, stages, den, region)"""
+
+
+def _exif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    tagged = metadata.set_exif(rows.where("event_id % 3 > 0"), b"II*\x00").unionByName(metadata.strip_exif(metadata.set_exif(rows.where("event_id % 3 = 0"), b"x")))
+    return tagged.select("event_id", metadata.has_exif(tagged).alias("tagged"), F.length(metadata.get_exif(tagged)).cast("long").alias("bytes"))
+
+
 _SPECS: dict[str, tuple[Query, str | None]] = {
     "png_roundtrip": (_round_trip("png"), _duck_pixels()),
     "bmp_roundtrip": (_round_trip("bmp"), _duck_pixels()),
@@ -283,6 +327,13 @@ _SPECS: dict[str, tuple[Query, str | None]] = {
     "dominant_color": (lambda s, d: analysis.dominant_color(pixels(s, d)), None),
     "remove_background": (lambda s, d: analysis.remove_background(pixels(s, d), 8, 8, 90), None),
     "plan_fused_vs_eager": (spark_query(_chain), _chain_sql()),
+    "plan_tone": (spark_query(_planned), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_eager(fixture('duck')).sql}) q"),
+    "plan_resize": (spark_query(lambda p: Plan(8, 8).resize(12, 3).apply(p)), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({oracles.HAND['resize_auto']}) q"),
+    "plan_resize_with": (spark_query(lambda p: Plan(8, 8).resize(5, 5, "box").apply(p)), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({oracles.HAND['resize_box_5']}) q"),
+    "plan_fit": (spark_query(lambda p: Plan(8, 8, background=(1, 2, 3, 255)).crop(0, 0, 8, 5).fit(6, 6, "pad").apply(p)), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({oracles.HAND['fit_pad']}) q"),
+    "plan_fit_with": (spark_query(lambda p: Plan(8, 8).crop(0, 0, 8, 5).fit(4, 4, "cover", "se").apply(p)), f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({oracles.HAND['gravity_se']}) q"),
+    "plan_fields": (_resolutions, _RESOLUTIONS),
+    "exif": (_exif, "SELECT event_id, event_id % 3 > 0 AS tagged, CASE WHEN event_id % 3 > 0 THEN CAST(4 AS BIGINT) END AS bytes FROM events"),
     "encode_cost": (_encode_cost, _encode_cost_sql()),
     **{f"select_{o}": (_select(o), _select_sql(o)) for o in cost.OBJECTIVES},
 }

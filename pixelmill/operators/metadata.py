@@ -36,6 +36,11 @@ def set_exif(images: DataFrame, blob: bytes | None) -> DataFrame:
     return images.withColumn("exif", F.lit(bytes(blob) if blob else None).cast("binary"))
 
 
+def get_exif(images: DataFrame) -> Column:
+    """The EXIF block, or null."""
+    return F.col("exif")
+
+
 def strip_exif(images: DataFrame) -> DataFrame:
     return set_exif(images, None)
 

@@ -250,6 +250,31 @@ def lay_out(fonts: FontSet, text: str, box: Box) -> list[dict]:
     return out
 
 
+def box_rows(fonts: FontSet, text: str, box: Box) -> list[tuple[int, int, int]]:
+    """(y, x, v) of a text's set pixels in its box; what overflows the height is left out, justified lines spread their spaces."""
+    out, lines = [], lay_out(fonts, text, box)
+    for i, line in enumerate(lines):
+        x, spaces = line["x"], line["content"].count(" ")
+        spread = box.width - line["width"] if box.align == "justify" and spaces and i + 1 < len(lines) else 0
+        seen = 0
+        for char in line["content"]:
+            glyph = fonts.face(ord(char)).glyphs.get(ord(char))
+            at = x + spread * seen // max(1, spaces)
+            if glyph:
+                out += [(line["baseline"] - glyph.top + dy, at + glyph.left + dx, 255) for dy, row in enumerate(glyph.rows) for dx, bit in enumerate(row) if bit == "1"]
+            seen += char == " "
+            x += fonts.advance(char)
+    return out
+
+
+def draw_box(p: Pixels, fonts: FontSet, text: str, x: int, y: int, box: Box, color: Sequence[int]) -> Pixels:
+    """A text laid out in a box whose corner is at (x, y)."""
+    from pixelmill.operators.draw import coverage
+
+    rows = box_rows(fonts, text, box)
+    return coverage(p, p.values(["y", "x", "v"], rows, "m"), x, y, color) if rows else p
+
+
 def grown(rows: list[tuple[int, int, int]], radius: int) -> list[tuple[int, int, int]]:
     """A mask widened by a square radius: the stroke of a text."""
     best: dict[tuple[int, int], int] = {}

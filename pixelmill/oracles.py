@@ -303,5 +303,10 @@ _OTHERS = {
 #: Files that are read, cut, turned, inverted and written: columns 1 to 6 of rows 1 to 4, a quarter turn clockwise.
 TRANSFORMED = f"SELECT image_id, x - 1 AS y, 4 - y AS x, 255 - r AS r, 255 - g AS g, 255 - b AS b, a FROM ({_PX}) p WHERE x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 4"
 
+_A = [(0, 1), (0, 2), (1, 0), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (3, 0), (3, 3)]  # the rows 01100, 10010, 11110, 10010
+#: Lines of 5 rows, each 6 wide in a box of 7 from x = 1, to the right: "A" and "i." begin at x = 2; the fourth row of the second line is outside.
+BOXED = [(y, x + 2) for y, x in _A] + [(5, 2), (7, 2)]
+_OTHERS["draw_text_box"] = _shape(f"(y, x) IN ({', '.join(map(str, BOXED))})", (*_RED, 200))
+
 #: Plain queries by name; they take the place of the operator's own twin.
 HAND: dict[str, str] = {**_DRAWING, **_GRADIENTS, **_RESIZING, **_WARPS, **_MEASURED, **_OTHERS}
