@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelmill.functions.color import check
 from pixelmill.relation import CHANNELS, Pixels, luma, num
+from pixelmill.sources.images import image_array
 
 
 def average_color(p: Pixels) -> str:
@@ -89,11 +91,10 @@ def palette(pixels: DataFrame, count: int, rounds: int = 12, most: int = 32_768)
     check(1 <= count <= 256, "count")
     schema = "image_id long, rank int, r int, g int, b int, a int, members long"
 
-    def run(key, pdf):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         import numpy as np
-        import pandas as pd
 
-        data = pdf.sort_values(["y", "x"])[list(CHANNELS)].to_numpy(np.float32)
+        data = image_array(table, CHANNELS)[0].astype(np.float32)
         samples = data[:: max(1, len(data) // most)]
         k = min(count, len(samples))
         center = samples[[len(samples) * i // k for i in range(k)]].copy()
@@ -104,10 +105,11 @@ def palette(pixels: DataFrame, count: int, rounds: int = 12, most: int = 32_768)
             for i in np.flatnonzero(members):
                 center[i] = samples[best == i].mean(0)
         order = np.argsort(-members, kind="stable")
-        colors = np.clip(np.floor(center[order] + 0.5), 0, 255).astype(int)
-        return pd.DataFrame({"image_id": key[0], "rank": range(k), **{c: colors[:, i] for i, c in enumerate(CHANNELS)}, "members": members[order]})
+        colors = np.clip(np.floor(center[order] + 0.5), 0, 255).astype(np.int32)
+        columns = {"image_id": pa.array([key[0].as_py()] * k, pa.int64()), "rank": pa.array(range(k), pa.int32()), **{c: pa.array(colors[:, i]) for i, c in enumerate(CHANNELS)}}
+        return pa.table({**columns, "members": pa.array(members[order].astype(np.int64))})
 
-    return pixels.groupBy("image_id").applyInPandas(run, schema)
+    return pixels.groupBy("image_id").applyInArrow(run, schema)
 
 
 def dominant_color(pixels: DataFrame) -> DataFrame:
@@ -120,11 +122,10 @@ def remove_background(pixels: DataFrame, width: int, height: int, tolerance: int
     A fill is a fixpoint with as many rounds as the longest path, so each image is filled as one group of its pixels.
     """
 
-    def run(key, pdf):
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         import numpy as np
 
-        pdf = pdf.sort_values(["y", "x"])
-        data = pdf[list(CHANNELS)].to_numpy(np.int64).reshape(height, width, 4)
+        data = image_array(table, CHANNELS)[0].astype(np.int64).reshape(height, width, 4)
         far = np.abs(data - data[0, 0]).max(2)
         near = far <= tolerance
         reach = np.zeros_like(near)
@@ -150,6 +151,8 @@ def remove_background(pixels: DataFrame, width: int, height: int, tolerance: int
         alpha = data[..., 3].copy()
         alpha[soft] = alpha[soft] * colors[soft] // (2 * (tolerance + 1))
         alpha[reach] = 0
-        return pdf.assign(a=alpha.ravel())[["image_id", "y", "x", *CHANNELS]]
+        y, x = np.divmod(np.arange(height * width), width)
+        named = {"image_id": np.full(height * width, key[0].as_py(), np.int64), "y": y, "x": x, **{c: np.ascontiguousarray(data[..., i]).ravel() for i, c in enumerate("rgb")}, "a": alpha.ravel()}
+        return pa.table({k: pa.array(v) for k, v in named.items()})
 
-    return pixels.groupBy("image_id").applyInPandas(run, "image_id long, y long, x long, r long, g long, b long, a long")
+    return pixels.groupBy("image_id").applyInArrow(run, "image_id long, y long, x long, r long, g long, b long, a long")

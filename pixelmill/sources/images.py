@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pixelmill.errors import RangeError
 from pixelmill.sources import codecs
 
 DENSE = "image_id long, width int, height int, channels int, format string, data binary, error string"
+_DENSE_KINDS = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string()]
 PROBE = "image_id long, width int, height int, frames int, format string, channels int, bit_depth int, has_alpha boolean, progressive boolean, error string"
 
 
@@ -127,17 +130,25 @@ def to_pixels(dense: DataFrame) -> DataFrame:
 
 
 def to_dense(pixels: DataFrame, channels: int = 4) -> DataFrame:
-    """Dense rows from pixels: one group per image, bounded by one image."""
+    """Dense rows from pixels: one Arrow group per image, bounded by one image."""
+    names = ["r", "g", "b", "a"][:channels] if channels >= 3 else ["r", "a"][:channels]
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        data, h, w = image_array(table, names)
+        body = data.astype("uint8").tobytes()
+        columns = [[key[0].as_py()], [w], [h], [channels], [None], [body], [None]]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, _DENSE_KINDS, strict=True)], names=[c.split()[0] for c in DENSE.split(", ")])
+
+    return pixels.groupBy("image_id").applyInArrow(run, DENSE)
 
-    def run(key, pdf):
-        import pandas as pd
 
-        pdf = pdf.sort_values(["y", "x"])
-        data = pdf[["r", "g", "b", "a"][:channels] if channels >= 3 else ["r", "a"][:channels]].to_numpy("uint8")
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        return pd.DataFrame([(key[0], w, h, channels, None, data.tobytes(), None)], columns=[c.split()[0] for c in DENSE.split(", ")])
+def image_array(table: pa.Table, names: Sequence[str]):
+    """Samples of one image's pixels as an array (pixels in order, names), its height and its width."""
+    import numpy as np
 
-    return pixels.groupBy("image_id").applyInPandas(run, DENSE)
+    y, x = table.column("y").to_numpy(), table.column("x").to_numpy()
+    order = np.lexsort((x, y))
+    return np.stack([table.column(c).to_numpy()[order] for c in names], 1), int(y.max()) + 1, int(x.max()) + 1
 
 
 def encoded(dense: DataFrame, kind: str, colors: int | None = None) -> DataFrame:
