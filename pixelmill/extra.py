@@ -64,6 +64,29 @@ def _adler(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").mapInArrow(run, "doc_id long, adler long")
 
 
+def _bytes_sql() -> str:
+    """The UTF-8 bytes of each document as a list of numbers."""
+    return "SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents"
+
+
+def _adler_sql() -> str:
+    """Sums of the bytes, and of the running sums, modulo the largest prime below 2 ** 16."""
+    sums = "1 + coalesce(list_sum(bytes), 0) AS a, len(bytes) + coalesce(list_sum(list_transform(bytes, lambda v, i: v * (len(bytes) - i + 1))), 0) AS b"
+    return f"SELECT doc_id, CAST(coalesce((b % 65521) * 65536 + a % 65521, 1) AS BIGINT) AS adler FROM (SELECT doc_id, {sums} FROM ({_bytes_sql()}) t) s"
+
+
+def _crc_sql() -> str:
+    """The division by the polynomial 0xEDB88320, a byte at a time through the remainders of all bytes."""
+    table = []
+    for v in range(256):
+        for _ in range(8):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        table.append(v)
+    rest = "[" + ",".join(map(str, table)) + "]::BIGINT[]"
+    step = "lambda c, v: xor(c >> 8, list_extract(t, CAST(xor(c, v) & 255 AS INTEGER) + 1))"
+    return f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), {step}), 4294967295::BIGINT) AS BIGINT) END AS crc FROM (SELECT *, {rest} AS t FROM ({_bytes_sql()}) d) q"
+
+
 def _histogram(slide: str | None) -> Query:
     return lambda spark, sf_dir: windows.histogram(spark.read.parquet(f"{sf_dir}/events.parquet"), "1 hour", slide)
 
@@ -314,8 +337,8 @@ _SPECS: dict[str, tuple[Query, str | None]] = {
     "decode_region_scaled": (_scaled, f"SELECT CAST(COLUMNS(*) AS BIGINT) FROM ({_region_sql()}) z"),
     "sniff": (_sniffed, f"SELECT f AS format, count(*) AS n FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp'), ('tiff')) v(f) GROUP BY f"),
     "probe_all": (_probed, f"SELECT image_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, f AS format, CAST(4 AS BIGINT) AS channels, true AS has_alpha FROM {_IDS} CROSS JOIN (VALUES ('png'), ('bmp')) v(f)"),
-    "crc32": (_crc, None),
-    "adler32": (_adler, None),
+    "crc32": (_crc, _crc_sql()),
+    "adler32": (_adler, _adler_sql()),
     "hist_tumbling": (_histogram(None), f"SELECT date_trunc('hour', ts) AS start, {_BIN} AS bin, count(*) AS n FROM events GROUP BY 1, 2"),
     "hist_sliding": (
         _histogram("30 minutes"),
