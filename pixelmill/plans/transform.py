@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,6 +80,20 @@ def transform(files: DataFrame, width: int, height: int, to: str = "png", colors
     return images.encoded(images.to_dense(Raster(pixels, behind.width, behind.height, p).df), to, colors)
 
 
+def transform_mixed(files: DataFrame, to: str = "png", most: int = 64, **options) -> DataFrame:
+    """:func:`transform` of files of several extents, which their headers tell: one plan for each, all in one query.
+
+    More than ``most`` extents are refused, as every extent is a plan of its own; unreadable files are left out.
+    """
+    known = images.probed(files).where("error is null").select("image_id", "width", "height")
+    extents = [(r.width, r.height) for r in known.select("width", "height").distinct().orderBy("width", "height").limit(most + 1).collect()]
+    if len(extents) > most:
+        raise RangeError(f"more than {most} extents")
+    sized = files.join(known, "image_id")
+    parts = [transform(sized.where((F.col("width") == w) & (F.col("height") == h)).select("image_id", "content"), w, h, to, **options).select("image_id", "format", "content") for w, h in extents]
+    return reduce(DataFrame.unionByName, parts) if parts else files.select("image_id", F.lit(to).alias("format"), "content").limit(0)
+
+
 def work(df: DataFrame, name: str = "work"):
     """The pixels with counters that are filled while an action runs: rows, and pixels that are clear or partly so."""
     from pyspark.sql import Observation

@@ -127,3 +127,15 @@ def test_fit_around_a_focus(spark):
         got.setdefault(r.image_id, set()).add((r.x, r.r))
     left = {i: min(v for x, v in s if x == 0) for i, s in got.items()}
     assert left == {1: 0, 2: 8, 3: 4} and all({x for x, _ in s} == {0, 1, 2, 3} for s in got.values())
+
+
+def test_files_of_several_extents(spark):
+    rng = np.random.default_rng(3)
+    pictures = {1: rng.integers(0, 256, (6, 8, 3)), 2: rng.integers(0, 256, (9, 5, 3)), 3: rng.integers(0, 256, (6, 8, 3))}
+    files = spark.createDataFrame([(i, codecs.encode(p.astype(np.uint8), "png" if i < 3 else "webp")) for i, p in pictures.items()] + [(9, b"no picture")], "image_id long, content binary")
+    got = {r.image_id: codecs.decode(bytes(r.content)) for r in transform.transform_mixed(files, to="bmp", crop=(1, 1, 3, 4), invert=True).collect()}
+    assert set(got) == set(pictures)
+    for i, p in pictures.items():
+        assert (got[i][..., :3] == 255 - p[1:5, 1:4]).all()
+    with pytest.raises(RangeError):
+        transform.transform_mixed(files, most=1)
